@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, neardup
+from . import bpe, fingerprints, langid, mixing, neardup, packed_ids, repetition, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +19,55 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_locally_consistent_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "frame_bytes")
+
+
+def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(table(spark, sf_dir, "documents"))
+
+
+def op5_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op7_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_ids.packed_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.dictionaries(langid.learned_rows(docs)))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op2_locally_consistent_fingerprints": op2_locally_consistent_fingerprints,
+    "op3_dictionary_warc": op3_dictionary_warc,
+    "op4_repetition_coverage": op4_repetition_coverage,
+    "op5_recurrent_toxicity": op5_recurrent_toxicity,
+    "op7_packed_token_ids": op7_packed_token_ids,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_compression_language": op10_compression_language,
 }
 
 SQL: dict[str, str] = {
