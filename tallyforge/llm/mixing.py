@@ -50,7 +50,7 @@ def _ranked(sizes: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
     """Adds q, the document's random odds over its inclusion odds, and its bin."""
     df = sizes.join(plan, ["s_null", "s"])
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("key_id").cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / 4503599627370496.0
-    a = F.floor(1000 * F.col("size") * F.col("n") / (F.col("size") * F.col("n") + F.col("source_size")))
+    a = F.floor(F.try_divide(1000 * F.col("size") * F.col("n"), F.col("size") * F.col("n") + F.col("source_size")))
     df = df.withColumn("u", u).withColumn("p", F.when(F.col("part") > 0, F.col("part") + F.col("part") * (1 - F.col("part")) * ((a - F.col("lean")) / 1000.0)))
     df = df.withColumn("q", (F.col("u") * (1 - F.col("p"))) / ((1 - F.col("u")) * F.col("p")))
     return df.withColumn("bin", F.least(F.floor(F.col("q") / (F.col("q") + 1) * BINS), F.lit(BINS - 1)))
@@ -70,7 +70,7 @@ def mix_plan(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3
     plan = target.withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(ratio), F.lit(most))).otherwise(0).cast("long"))
     plan = plan.withColumn("part", F.when(F.col("source_size") > 0, ratio - F.col("whole")).otherwise(0.0))
     plan = materialize(plan, "mix-targets")
-    a = F.floor(1000 * F.col("size") * F.col("n") / (F.col("size") * F.col("n") + F.col("source_size")))
+    a = F.floor(F.try_divide(1000 * F.col("size") * F.col("n"), F.col("size") * F.col("n") + F.col("source_size")))
     lean = sizes.join(plan.select("s_null", "s", "n", "source_size"), ["s_null", "s"]).groupBy("s_null", "s").agg((F.sum(a * F.col("size")).cast("double") / F.nullif(F.max("source_size"), F.lit(0))).alias("lean"))
     plan = materialize(plan.join(lean, ["s_null", "s"]).withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size")), "mix-plan")
     ranked = _ranked(sizes, plan, seed).filter("part > 0")
