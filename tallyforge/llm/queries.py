@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, mixing, neardup, packed_ids, repetition, toxicity, warc
+from . import bpe, fingerprints, langid, mixing, neardup, packed_ids, repetition, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op5_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op6_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings(spark)), "doc_id")
+    return found.select("doc_id", "rule", F.col("start").cast("long"), F.length("match").cast("long").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op7_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.packed_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_dictionary_warc": op3_dictionary_warc,
     "op4_repetition_coverage": op4_repetition_coverage,
     "op5_recurrent_toxicity": op5_recurrent_toxicity,
+    "op6_forest_secrets": op6_forest_secrets,
     "op7_packed_token_ids": op7_packed_token_ids,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_near_duplicates": op9_near_duplicates,

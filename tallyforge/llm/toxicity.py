@@ -301,9 +301,9 @@ def score(docs: DataFrame, net: Network, *keep: str) -> DataFrame:
     no window and scores 0. Repeated rows score alike; extra columns are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    kept = [docs[c].alias(f"kept_{c}") for c in keep]
+    kept = [docs[c].alias(f"kept_{c}") for c in keep if c not in ("doc_id", "text")]
     docs = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"), *kept)
-    extra = [f for f in docs.schema.fields if f.name.startswith("kept_")]
+    extra = [f for f in docs.schema.fields if f.name.startswith("kept_") or f.name == "text" and "text" in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
