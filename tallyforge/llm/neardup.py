@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Words, column, hash_segments, materialize, mix64, text_chunks
@@ -58,7 +58,7 @@ def _set_key(d: np.ndarray, s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _minima(d: np.ndarray, s: np.ndarray, size: np.ndarray, hashes: int) -> np.ndarray:
-    """(documents with shingles, hashes) minima, 32 bits each."""
+    """(documents with shingles, hashes) minima of 32-bit hashes."""
     at = np.flatnonzero(size)
     first = (np.cumsum(size) - size)[at]
     out = np.empty((len(at), hashes), np.uint32)
@@ -73,39 +73,43 @@ def _minima(d: np.ndarray, s: np.ndarray, size: np.ndarray, hashes: int) -> np.n
     return out
 
 
-def _sketcher(k: int, hashes: int, lower: bool):
+def _sketcher(k: int, hashes: int, longs: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offsets in text_chunks(b.column("text")):
                 d, s = _shingles(Words(data, offsets, lower), k)
                 key, size = _set_key(d, s, j - i)
                 sig: list = [None] * (j - i)
+                bits = np.zeros((j - i, longs), np.int64)
                 if len(s):
-                    for row, m in zip(np.flatnonzero(size), _minima(d, s, size, hashes)):
-                        sig[row] = m.tobytes()
+                    m = _minima(d, s, size, hashes)
+                    low = m.astype("<u2")
+                    for at, row in enumerate(np.flatnonzero(size)):
+                        sig[row] = low[at].tobytes()
+                    bits[size > 0] = np.packbits((m[:, : 64 * longs] >> 20 & 1).astype(np.uint8), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(key[:, 0].view(np.int64)), pa.array(key[:, 1].view(np.int64)), pa.array(sig, pa.binary())],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "sig"],
+                    [b.column("doc_id").slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(key[:, 0].view(np.int64)), pa.array(key[:, 1].view(np.int64)), pa.array(sig, pa.binary()), pa.array(bits.tolist(), pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "sig", "bits"],
                 )
 
     return run
 
 
-def posterior_bounds(similarity: float, miss: float, hashes: int) -> list[int]:
-    """For each batch end n, the fewest matches with P(J >= similarity | matches of n) >= miss under a uniform prior.
+def fewest_matches(n: int, agree: float, miss: float) -> int:
+    """The fewest matches m of n with P(p >= agree | m of n) >= miss for a match probability p under a uniform prior.
 
-    With m matches of n the posterior is Beta(m + 1, n - m + 1); its upper tail at t equals P(Binomial(n + 1, t) <= m).
+    The posterior is Beta(m + 1, n - m + 1); its upper tail at p equals P(Binomial(n + 1, p) <= m).
     """
-    bounds = []
-    for n in range(BATCH, hashes + 1, BATCH):
-        tail, m = 0.0, 0
-        while True:
-            tail += math.comb(n + 1, m) * similarity**m * (1 - similarity) ** (n + 1 - m)
-            if tail >= miss:
-                break
-            m += 1
-        bounds.append(m)
-    return bounds
+    tail, m = 0.0, -1
+    while tail < miss:
+        m += 1
+        tail += math.comb(n + 1, m) * agree**m * (1 - agree) ** (n + 1 - m)
+    return m
+
+
+def posterior_bounds(similarity: float, miss: float, hashes: int) -> list[int]:
+    """fewest_matches at each batch end."""
+    return [fewest_matches(n, similarity, miss) for n in range(BATCH, hashes + 1, BATCH)]
 
 
 def _pruner(bounds: list[int]):
@@ -113,7 +117,7 @@ def _pruner(bounds: list[int]):
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, -1) for c in ("sig_a", "sig_b"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("sig_a", "sig_b"))
             alive, matches = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
             for t, least in enumerate(bounds):
                 span = slice(t * BATCH, (t + 1) * BATCH)
@@ -149,15 +153,34 @@ def _verifier(k: int, percent: int, lower: bool):
     return run
 
 
+def _set_writer(k: int, lower: bool):
+    """32 bits of every shingle of a text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, offsets in text_chunks(b.column("text")):
+                d, s = _shingles(Words(data, offsets, lower), k)
+                size = np.bincount(d, minlength=j - i)
+                flat = pa.array((s >> U64(32)).astype(np.uint32).view(np.int32))
+                sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), sets], ["rep", "members"])
+
+    return run
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
     """(id, component) for every id in links, component the smallest id reachable.
 
-    Alternating large-star and small-star steps: every id points at the least id around it until nothing changes.
+    Alternating large-star and small-star steps: every id points at the least id around it until only stars are left.
     Each step is a grouped minimum and a join, both of which Spark splits; what is written each round cuts lineage.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    edges, before = materialize(edges, name), None
+    edges = materialize(edges, name)
     while True:
+        roots = edges.select(F.col("v").alias("u")).distinct()
+        ends = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        if not ends.join(roots.withColumn("root", F.lit(True)), "u", "left").filter("n > 1 or root").take(1):
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
@@ -165,87 +188,104 @@ def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "compon
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
-        if state == before:
-            break
-        before = state
-    roots = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
-    return roots.unionByName(roots.select(F.col("component").alias("id"), "component").distinct())
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, lower: bool = True, miss: float = 2e-5, rows: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, lower: bool = True, miss: float = 2e-5, rows: int = 7) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs.
 
     Documents whose sets of word shingles overlap by percent of their union or more are linked; component_id is the
     least doc_id reachable. Equal sets are one class from the start. Bands of MinHash values bring candidate classes
-    together; within a band's group the members, ordered by set size, are compared with hubs: first with the first
-    member, then the next, the next two, the next four and so on, and only with members of other components by then.
-    So a group of copies costs its size, not its square, and no pair in reach is left out: rounds go on until every
-    group is one component or all its pairs that the set sizes allow have been compared. Candidates pass signature
-    batches: one whose posterior probability of reaching the threshold falls below miss is dropped; survivors are
-    confirmed on their full sets.
+    together in groups. Verification is sequential: the posterior probability that a pair reaches the threshold is
+    bounded from batches of one bit a value while pairs are joined, then from batches of the values; a pair whose
+    probability falls below miss is dropped, and survivors are confirmed on their full sets.
+
+    A group of copies costs its size, not its square: two rounds compare each member with the group's first, then its
+    second (by set size and id), and find the components so far. A third round takes the groups that still hold
+    several components: their members outside the group's largest component meet all members of other components,
+    each pair in the first group that it shares, tested within the join on signature bits and 32-bit set members (two
+    members' slack for collisions). So no pair of the groups is left out, and only near certain links leave the join.
 
     A null or wordless text has an empty set, links with nothing and is its own component. Rows that repeat a doc_id
     are placed by their own texts, and classes whose least id is the same count as one; a null doc_id gives component
     null, kept true. Extra columns are ignored; an empty table gives no rows.
     """
     t = percent / 100
-    hashes = -(-banding(t, miss, rows) * rows // BATCH) * BATCH
-    bands = hashes // rows
+    bands = banding(t, miss, rows)
+    hashes = -(-bands * rows // BATCH) * BATCH
+    longs = max(1, hashes // 64)
     docs = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
-    sketch = materialize(docs.mapInArrow(_sketcher(shingle, hashes, lower), "doc_id long, n_shingles long, set_a long, set_b long, sig binary"), "neardup-sketch")
+    sketch = materialize(docs.mapInArrow(_sketcher(shingle, hashes, longs, lower), "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bits array<long>"), "neardup-sketch")
     filled = sketch.filter("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    classes = materialize(classes.select("rep", "n_shingles", "sig", "set_a", "set_b"), "neardup-classes")
-
-    spans = [F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("sig", i * rows * 4 + 1, rows * 4)).alias("bucket")) for i in range(bands)]
-    banded = classes.select("rep", "n_shingles", F.inline(F.array(*spans)))
-    crowded = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    members = materialize(banded.join(crowded, ["band", "bucket"]), "neardup-members")
-
-    links, tested, known, start, width = None, None, None, 0, 1
-    needed = materialize(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").filter("text is not null"), "neardup-texts")
-    while True:
-        active = members.filter(F.col("m") > start + 1)
-        if known is not None:
-            active = active.join(known.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            open_ = active.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "bucket")
-            active = active.join(open_, ["band", "bucket"])
-        else:
-            active = active.withColumn("component", F.col("rep"))
-        ranked = _hub_ranks(active, start, width)
-        hubs = ranked.select("band", "bucket", F.col("hub.rep").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.component").alias("c_a"))
-        if start and not hubs.take(1):
-            break
-        pairs = active.join(hubs, ["band", "bucket"]).filter((F.col("component") != F.col("c_a")) & (F.col("rep") != F.col("a")) & (F.struct("n_shingles", "rep") > F.struct(F.col("n_a"), F.col("a"))) & (100 * F.col("n_a") >= percent * F.col("n_shingles")))
-        pairs = pairs.select("a", F.col("rep").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "neardup-pairs")
-        sig = classes.select("rep", "sig")
-        close = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-        close = close.mapInArrow(_pruner(posterior_bounds(t, miss, hashes)), "a long, b long").distinct()
+    classes = filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
+    classes = materialize(classes, "neardup-classes")
+
+    spans = [F.xxhash64(F.lit(i), F.substring("sig", i * rows * 2 + 1, rows * 2)) for i in range(bands)]
+    banded = classes.select("rep", "n_shingles", F.explode(F.array(*spans)).alias("bucket"))
+    crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    members = materialize(banded.join(crowded, "bucket"), "neardup-groups")
+    reps = materialize(members.select("rep").distinct(), "neardup-reps")
+    sketches = materialize(classes.select("rep", "sig", "bits").join(reps, "rep"), "neardup-sigs")
+    members = materialize(members.join(sketches.select("rep", "bits"), "rep"), "neardup-members")
+    needed = materialize(docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").filter("text is not null"), "neardup-texts")
+
+    def bits_apart(n: int):
+        return sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits_a")[i])) for i in range(1, n)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("bits_a")[0])))
+
+    reach = (F.col("component") != F.col("c_a")) & (100 * F.least("n_a", "n_shingles") >= percent * F.greatest("n_a", "n_shingles"))
+    for n in range(1, longs + 1):
+        reach &= bits_apart(n) <= 64 * n - fewest_matches(64 * n, (1 + t) / 2, miss)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The links among pairs: the values' batches, then the full sets."""
+        close = pairs.join(sketches.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").join(sketches.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
+        close = materialize(close.mapInArrow(_pruner(posterior_bounds(t, miss, hashes)), "a long, b long").distinct(), "neardup-close")
+        texts = needed.join(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
         # The many-sided b first: then the rows that a hub gathers carry a text each and Spark sees their size.
-        exact = close.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        found = materialize(exact.mapInArrow(_verifier(shingle, percent, lower), "a long, b long").distinct(), "neardup-links")
-        if links is None or found.take(1):
-            links = found if links is None else links.unionByName(found)
-            known = materialize(components(links), "neardup-known")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        start, width = start + width, max(1, start + width)
+        exact = close.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        return materialize(exact.mapInArrow(_verifier(shingle, percent, lower), "a long, b long").distinct(), "neardup-links")
+
+    def joined(found: DataFrame, known: DataFrame) -> DataFrame:
+        return materialize(components(found.unionByName(known.select(F.col("id").alias("a"), F.col("component").alias("b")))), "neardup-known")
+
+    def still_open(known: DataFrame) -> DataFrame:
+        """Members of groups that hold several components."""
+        active = members.join(known.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        open_ = active.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+        return materialize(active.join(open_, "bucket"), "neardup-open")
+
+    known, active = None, members.withColumn("component", F.col("rep"))
+    for place in (0, 1):
+        hubs = _hubs(active, place).select("bucket", F.col("hub.rep").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.component").alias("c_a"), F.col("hub.bits").alias("bits_a"))
+        pairs = active.join(hubs, "bucket").filter((F.col("rep") != F.col("a")) & reach).select("a", F.col("rep").alias("b")).distinct()
+        found = confirmed(materialize(pairs, "neardup-pairs"))
+        known = materialize(components(found), "neardup-known") if known is None else joined(found, known)
+        active = still_open(known)
+
+    # The rest: outside the largest component of each open group, against all of the group.
+    largest = active.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    whole = needed.join(active.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_set_writer(shingle, lower), "rep long, members array<int>")
+    sets = whole.join(classes.select("rep", F.array(*spans).alias("buckets")), "rep")
+    earlier = F.slice("buckets", 1, F.array_position("buckets", F.col("bucket")).cast("int") - 1)
+    full = materialize(active.join(largest, "bucket").join(sets, "rep").withColumn("earlier", earlier), "neardup-full")
+    outside = full.filter("component <> largest").select("bucket", F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"), F.col("bits").alias("bits_a"), F.col("members").alias("members_a"), F.col("earlier").alias("earlier_a"))
+    # Both outside the largest: the lower id leads. Then the bits, the first shared group, and the set members.
+    once = (F.col("component") == F.col("largest")) | (F.col("a") < F.col("rep"))
+    both = F.size(F.array_intersect("members", "members_a")) + 2
+    near = 100 * both >= percent * (F.col("n_shingles") + F.col("n_a") - both - 2)
+    rest = full.select("bucket", "rep", "n_shingles", "component", "largest", "bits", "members", "earlier").join(outside, "bucket").filter(once & reach & ~F.arrays_overlap("earlier", "earlier_a") & near)
+    known = joined(confirmed(materialize(rest.select("a", F.col("rep").alias("b")).distinct(), "neardup-rest")), known)
 
     per_class = classes.join(known.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.join(per_class, ["set_a", "set_b", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = sketch.select("doc_id", "n_shingles", "set_a", "set_b").join(per_class, ["set_a", "set_b", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _hub_ranks(active: DataFrame, start: int, width: int) -> DataFrame:
-    """One row a hub: the members that stand at start .. start + width of their group, by set size and id.
-
-    The first round takes a plain minimum. Later ones rank the groups that are still open.
-    """
-    member = F.struct(F.col("n_shingles").alias("n"), F.col("rep"), F.col("component"))
-    if start == 0:
-        return active.groupBy("band", "bucket").agg(F.min(member).alias("hub"))
-    w = Window.partitionBy("band", "bucket").orderBy("n_shingles", "rep")
-    return active.withColumn("r", F.row_number().over(w)).filter((F.col("r") > start) & (F.col("r") <= start + width)).select("band", "bucket", member.alias("hub"))
+def _hubs(active: DataFrame, place: int) -> DataFrame:
+    """One row a group: its first or second member, by set size and id."""
+    member = F.struct(F.col("n_shingles").alias("n"), F.col("rep"), F.col("component"), F.col("bits"))
+    first = active.groupBy("bucket").agg(F.min(member).alias("hub"))
+    if not place:
+        return first
+    rest = active.join(first, "bucket").filter(F.col("rep") != F.col("hub.rep")).drop("hub")
+    return rest.groupBy("bucket").agg(F.min(member).alias("hub"))
