@@ -6,6 +6,7 @@ import base64
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ from tokenizers import Tokenizer
 from .common import column
 
 #: Distinct matches whose ids a worker keeps; it starts anew beyond that.
-KEPT = 400_000
+KEPT = 300_000
 #: Texts whose characters all lie below this are split by a plain character-class form of the pattern.
 _PLAIN = 0x250
 
@@ -78,8 +79,22 @@ def plain_pattern(pattern: str) -> str:
     return out.replace(r"(?!\S)", f"(?![^{space}])").replace(r"\s", f"[{space}]")
 
 
+class _Known(dict):
+    """Ids of the matches seen so far, as bytes; a new match is merged by the tokenizer's model when it is asked for."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenize = tokenizer.model.tokenize
+        self.shown = dict(enumerate(byte_characters()))
+
+    def __missing__(self, match: str) -> bytes:
+        # Bytes as Latin-1 characters, so that one translation gives the byte-level spelling.
+        tokens = self.tokenize(match.encode().decode("latin-1").translate(self.shown))
+        self[match] = ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return ids
+
+
 class Encoder:
-    """Ids of whole texts, each match of the pattern separately; every distinct match is encoded once.
+    """Ids of whole texts, each match of the pattern separately; a distinct match is merged once.
 
     encode() gives little-endian unsigned 32-bit ids as bytes. Special tokens' strings are ordinary text.
     """
@@ -89,25 +104,17 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.any, self.plain = regex.compile(pattern), re.compile(plain_pattern(pattern))
         self.beyond = re.compile(f"[^\\x00-{chr(_PLAIN - 1)}]")
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self.tokenizer)
 
     def split(self, text: str) -> list[str]:
         return (self.any if self.beyond.search(text) else self.plain).findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Texts are taken some at a time, so that the distinct matches held stay bounded."""
         out: list[bytes] = []
-        for lo in range(0, len(texts), 200):
-            matches = [self.split(t) for t in texts[lo : lo + 200]]
+        for text in texts:
             if len(self.known) > KEPT:
                 self.known.clear()
-            new = list(set().union(*matches).difference(self.known)) if matches else []
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for m, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    self.known[m] = np.array(e.ids, "<u4").tobytes()
-            known = self.known.__getitem__
-            out += [b"".join(map(known, m)) for m in matches]
+            out.append(b"".join(map(self.known.__getitem__, self.split(text))))
         return out
 
     def offsets(self, text: str) -> list[tuple[int, int, int]]:

@@ -27,19 +27,26 @@ from .bpe import definition_of, encoder
 from .common import column, scratch
 from .files import read_files, write_frames
 
-BLOCK, PERCENTILE = 512, 90
+BLOCK, PERCENTILE = 4096, 90
 MARKER = "\x1ePFR\x1e"
 NULL_ID = -(2**63)
 
 
+def _low_bits(values: np.ndarray, width: int) -> bytes:
+    if not width:
+        return b""
+    wide = np.ascontiguousarray(values, "<u2" if width <= 16 else "<u4").view(np.uint8).reshape(len(values), -1)
+    return np.packbits(np.unpackbits(wide, axis=1, bitorder="little", count=width), bitorder="little").tobytes()
+
+
 def pack(ids: np.ndarray) -> bytes:
     """One block."""
     low = int(ids.min())
     rest = (ids - np.uint32(low)).astype(np.uint32)
-    width = int(np.sort(rest)[(len(rest) - 1) * PERCENTILE // 100]).bit_length()
+    at = (len(rest) - 1) * PERCENTILE // 100
+    width = int(np.partition(rest, at)[at]).bit_length()
     over = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
-    bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    return struct.pack("<IBHH", low, width, len(ids), len(over)) + np.packbits(bits, bitorder="little").tobytes() + over.astype("<u2").tobytes() + (rest[over] >> np.uint32(width)).astype("<u4").tobytes()
+    return struct.pack("<IBHH", low, width, len(ids), len(over)) + _low_bits(rest & np.uint32((1 << width) - 1), width) + over.astype("<u2").tobytes() + (rest[over] >> np.uint32(width)).astype("<u4").tobytes()
 
 
 def unpack(data: bytes, at: int) -> np.ndarray:
@@ -48,9 +55,10 @@ def unpack(data: bytes, at: int) -> np.ndarray:
     size = (n * width + 7) // 8
     rest = np.zeros(n, np.uint32)
     if width:
-        bits = np.zeros((n, 32), np.uint8)
+        room = 2 if width <= 16 else 4
+        bits = np.zeros((n, 8 * room), np.uint8)
         bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little", count=n * width).reshape(n, width)
-        rest = np.packbits(bits, axis=1, bitorder="little").view("<u4")[:, 0].astype(np.uint32)
+        rest = np.packbits(bits, axis=1, bitorder="little").view(f"<u{room}")[:, 0].astype(np.uint32)
     at += size
     over = np.frombuffer(data, "<u2", extra, at)
     rest[over] |= np.frombuffer(data, "<u4", extra, at + 2 * extra).astype(np.uint32) << np.uint32(width)
