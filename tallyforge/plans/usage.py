@@ -35,8 +35,9 @@ def priced(facts: DataFrame, prices: DataFrame) -> DataFrame:
     """
     rates = ["input", "output", "cache_read", "cache_write"]
     df = first_pattern(facts, "model", prices, "pattern", "ordinal", *rates)
-    total = F.col("input_tokens") * F.col("input") + F.col("output_tokens") * F.col("output") + F.col("cache_read_tokens") * F.coalesce("cache_read", "input") + F.col("cache_write_tokens") * F.coalesce("cache_write", "input")
-    return df.withColumn("estimated_cost", F.bround(total / 1_000_000, 4)).drop(*rates)
+    money = lambda tokens, price: F.col(tokens).cast("decimal(16,0)") * price.cast("decimal(12,4)")
+    total = money("input_tokens", F.col("input")) + money("output_tokens", F.col("output")) + money("cache_read_tokens", F.coalesce("cache_read", "input")) + money("cache_write_tokens", F.coalesce("cache_write", "input"))
+    return df.withColumn("estimated_cost", F.bround(total * F.lit("0.000001").cast("decimal(7,6)"), 4).cast("decimal(18,4)")).drop(*rates)
 
 
 def repriced(facts: DataFrame, prices: DataFrame) -> DataFrame:

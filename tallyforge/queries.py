@@ -281,13 +281,15 @@ PRICES = [(0, "^gpt-5-mini", 0.25, 2.0, 0.025, None), (1, "^gpt-5", 1.25, 10.0,
 
 
 @query(f"""
-with {USAGE} select model, sum(round_even((input_tokens * i + output_tokens * o) / 1000000, 4))::double as estimated_cost, count(*) as n from u
-left join (values ('gpt-5-mini', 0.25::double, 2.0::double), ('claude-sonnet-4', 3.0, 15.0), ('o3', 2.0, 8.0)) p(m, i, o) on m = model group by 1
+with {USAGE}, p as (select * from (values ('gpt-5-mini', 2500, 20000), ('claude-sonnet-4', 30000, 150000), ('o3', 20000, 80000)) p(m, i, o)),
+t as (select model, input_tokens * i + output_tokens * o as t from u left join p on m = model),
+q as (select model, t // 1000000 + case when t % 1000000 > 500000 or (t % 1000000 = 500000 and t // 1000000 % 2 = 1) then 1 else 0 end as q from t)
+select model, sum(q)::bigint / 10000 as estimated_cost, count(*) as n from q group by 1
 """)
 def price_first_match(spark, d):
     prices = spark.createDataFrame(PRICES, "ordinal int, pattern string, input double, output double, cache_read double, cache_write double")
     out = usage.priced(usage_facts(spark, d).drop("estimated_cost"), prices)
-    return out.groupBy("model").agg(F.sum("estimated_cost").alias("estimated_cost"), F.count(F.lit(1)).alias("n"))
+    return out.groupBy("model").agg(F.sum("estimated_cost").cast("double").alias("estimated_cost"), F.count(F.lit(1)).alias("n"))
 
 
 TEAMS = [("ones", ["user-1*"], 0), ("odd", ["USER-*7", "user-23"], 1)]
