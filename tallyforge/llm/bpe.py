@@ -80,18 +80,31 @@ def plain_pattern(pattern: str) -> str:
 
 
 class _Known(dict):
-    """Ids of the matches seen so far, as bytes; a new match is merged by the tokenizer's model when it is asked for."""
+    """Ids of matches, as bytes. A match that is not here is merged by the tokenizer's model when it is asked for, and
+    stays from the second time on, so that matches seen once, the most of them, take no room."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenize = tokenizer.model.tokenize
+        self.once: set[str] = set()
         self.shown = dict(enumerate(byte_characters()))
 
     def __missing__(self, match: str) -> bytes:
         # Bytes as Latin-1 characters, so that one translation gives the byte-level spelling.
         tokens = self.tokenize(match.encode().decode("latin-1").translate(self.shown))
-        self[match] = ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        if match in self.once:
+            self.once.discard(match)
+            self[match] = ids
+        else:
+            self.once.add(match)
         return ids
 
+    def trim(self) -> None:
+        if len(self) > KEPT:
+            self.clear()
+        if len(self.once) > KEPT:
+            self.once.clear()
+
 
 class Encoder:
     """Ids of whole texts, each match of the pattern separately; a distinct match is merged once.
@@ -107,13 +120,12 @@ class Encoder:
         self.known = _Known(self.tokenizer)
 
     def split(self, text: str) -> list[str]:
-        return (self.any if self.beyond.search(text) else self.plain).findall(text)
+        return (self.plain if text.isascii() or not self.beyond.search(text) else self.any).findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for text in texts:
-            if len(self.known) > KEPT:
-                self.known.clear()
+            self.known.trim()
             out.append(b"".join(map(self.known.__getitem__, self.split(text))))
         return out
 

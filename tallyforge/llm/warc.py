@@ -113,19 +113,25 @@ def _pages(pages: DataFrame) -> DataFrame:
     return pages.select(column(pages, "page_id", "long").alias("page_id"), column(pages, "url", "string").alias("url"), html.alias("payload"))
 
 
+def _sampled(pages: DataFrame) -> list:
+    """SAMPLE pages by hash of their id, at most: ids are ranked alone, then only those pages are fetched."""
+    ids = [r[0] for r in pages.filter("page_id is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).collect()]
+    return sorted(pages.filter(F.col("page_id").isin(ids)).limit(2 * SAMPLE).collect(), key=lambda r: (r.page_id, r.payload)) if ids else []
+
+
 def write_warc(pages: DataFrame, path: str, least: int = 0, date: str | None = None) -> None:
     """One archive a partition at path. Of pages with equal payloads of at least `least` bytes, that with the smallest
     page_id becomes a response and the others revisit it; smaller payloads are all responses."""
     spark = pages.sparkSession
     date = date or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     pages = _pages(pages)
-    sample = pages.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).collect()
-    shared = spark.sparkContext.broadcast(build_dictionary([record(r.page_id, r.url, bytes(r.payload), None, None, date) for r in sample]))
+    shared = spark.sparkContext.broadcast(build_dictionary([record(r.page_id, r.url, bytes(r.payload), None, None, date) for r in _sampled(pages)]))
     keyed = pages.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
-    first = keyed.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"))
-    # Only payloads that recur need the join; the rest of the pages find no partner.
-    dealt = keyed.join(first.filter("n > 1").drop("n"), ["digest", "size"], "left")
-    dealt = dealt.select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"), "first_url")
+    # Who revisits whom is settled on digests alone; payloads meet it once, by page, where no key is hot.
+    slim = keyed.filter(F.col("size") >= least).select("page_id", "url", "digest", "size")
+    first = slim.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("refers_to"), F.min_by("url", "page_id").alias("first_url")).filter("n > 1")
+    revisits = slim.join(first, ["digest", "size"]).filter("page_id <> refers_to").select("page_id", "digest", "size", "refers_to", "first_url").distinct()
+    dealt = keyed.join(revisits, ["page_id", "digest", "size"], "left").select("page_id", "url", "payload", "refers_to", "first_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, begun = shared.value, False
