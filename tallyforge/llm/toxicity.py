@@ -7,6 +7,7 @@ whole in overlapping windows of words; a text's score is that of its most toxic
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import U64, Words, column, mix64, text_chunks
 
 #: Labelled documents of each class that training reads, at most.
-SAMPLE = 800
+SAMPLE = 700
 WINDOW, STRIDE = 24, 16
 WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 13, 1 << 14, 6, 10, 8
 
@@ -283,15 +284,24 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Network:
-    """Trains on per_class documents of each class at most, chosen by hash of doc_id; only those texts are fetched."""
+    """Trains on per_class documents of each class at most, chosen by hash of doc_id; only those texts are fetched, into
+    the one task that trains, and only the network comes to the driver."""
     known = labels.filter(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids: list[tuple[int, int]] = []
     for label in (0, 1):
         ids += [(r[0], label) for r in known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id").collect()]
     of = dict(ids)
-    rows = docs.select("doc_id", "text").filter(F.col("doc_id").isin(list(of)) & F.col("text").isNotNull()).collect() if of else []
-    rows = sorted({(r[0], r[1]) for r in rows})
-    return train([r[1] for r in rows], [of[r[0]] for r in rows])
+    if not of:
+        return Network()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted({r for b in batches for r in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())})
+        net = train([r[1] for r in rows], [of[r[0]] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+    chosen = docs.select("doc_id", "text").filter(F.col("doc_id").isin(list(of)) & F.col("text").isNotNull())
+    trained = chosen.repartition(1).mapInArrow(run, "net binary").collect()
+    return pickle.loads(bytes(trained[0][0])) if trained else Network()
 
 
 def score(docs: DataFrame, net: Network, *keep: str) -> DataFrame:
