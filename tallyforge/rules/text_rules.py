@@ -71,7 +71,7 @@ def compose(files: DataFrame) -> DataFrame:
 def settings(files: DataFrame) -> DataFrame:
     """Verbose default logging and detailed errors in settings that are not for development."""
     f = files.filter(F.col("path").rlike(r"(?i)(^|/)appsettings[^/]*\.json$") & ~F.col("path").rlike(r"(?i)(Development|Local|Test)[^/]*$"))
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("content", r"(?m)^\s*//.*$", ""), r"(?s)/\*.*?\*/", ""), r",(\s*[}\]])", "$1")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("content", r"(?m)(^|\s)//[^\n]*$", ""), r"(?s)/\*.*?\*/", ""), r",(\s*[}\]])", "$1")
     f = f.withColumns({"level": F.get_json_object(text, "$.Logging.LogLevel.Default"), "detailed": F.lower(F.get_json_object(text, "$.DetailedErrors")), "line": F.lit(None).cast("int")})
     verbose = _emit(f.filter(F.col("level").isin("Debug", "Trace")), "infra.appsettings.verbose-logging", 1, F.lit("Logging:LogLevel:Default"))
     return verbose.unionByName(_emit(f.filter("detailed = 'true'"), "infra.appsettings.detailed-errors", 2, F.lit("DetailedErrors")))

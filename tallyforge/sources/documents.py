@@ -63,7 +63,9 @@ def sarif_findings(documents: DataFrame, column: str = "content", prefix: str =
     """(rule_id, severity, message, file_path, line_start, line_end) of the first tool's runs of each SARIF document."""
     d = documents.select(F.from_json(column, SARIF)["runs"].alias("runs")).withColumn("tool", F.col("runs")[0]["tool"]["driver"]["name"])
     r = d.select("tool", F.explode("runs").alias("run")).filter(F.col("run.tool.driver.name").eqNullSafe(F.col("tool")))
-    scores = F.map_from_entries(F.transform(F.array_distinct(F.filter(F.coalesce(F.col("run.tool.driver.rules"), F.array()), lambda x: x["id"].isNotNull())), lambda x: F.struct(x["id"], F.try_element_at(x["properties"], F.lit("security-severity")).try_cast("double"))))
+    rules = F.filter(F.col("run.tool.driver.rules"), lambda x: x["id"].isNotNull())
+    scored = F.array_distinct(F.transform(rules, lambda x: F.struct(x["id"], F.try_element_at(x["properties"], F.lit("security-severity")).try_cast("double"))))
+    scores = F.map_from_entries(scored)
     r = r.select("tool", scores.alias("scores"), F.explode("run.results").alias("f"))
     loc = F.col("f.locations")[0]["physicalLocation"]
     return r.select(F.concat_ws(".", F.lit(prefix), slug(F.col("tool")), slug(F.coalesce("f.ruleId", F.lit("unknown")))).alias("rule_id"), sarif_severity(F.try_element_at("scores", F.col("f.ruleId")), F.col("f.level")).alias("severity"), F.col("f.message.text").alias("message"), loc["artifactLocation"]["uri"].alias("file_path"), loc["region"]["startLine"].alias("line_start"), loc["region"]["endLine"].alias("line_end"))

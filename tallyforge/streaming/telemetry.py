@@ -8,8 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.latest import latest_per_key
 
@@ -17,36 +16,31 @@ from ..operators.latest import latest_per_key
 TTL_MS = 3 * 24 * 3600 * 1000
 
 
-class CounterDeltas(StatefulProcessor):
-    """Remembers each stream's last value and start; a lower value or a new start is a reset and counts whole."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = StructType([StructField("value", DoubleType()), StructField("started", LongType())])
-        self.last = handle.getValueState("last", schema, TTL_MS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = self.last.get() if self.last.exists() else None
-        value, started = (state[0], state[1]) if state else (None, None)
-        out = []
-        for pdf in rows:
-            for at, v, s in zip(pdf["at"], pdf["value"], pdf["started"]):
-                fresh = value is None or v < value or (s != 0 and s != started)
-                out.append((key[0], at, max(0.0, v if fresh else v - value)))
-                value, started = float(v), int(s)
-        if value is not None:
-            self.last.update((value, started))
-        yield pd.DataFrame(out, columns=["stream_key", "at", "delta"])
-
-    def close(self) -> None:
-        pass
-
-
-def counter_deltas(points: DataFrame) -> DataFrame:
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, forget: bool) -> Iterator[pd.DataFrame]:
+    """Remembers a stream's last value and start; a lower value or a new start is a reset and counts whole."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    value, started = state.get if state.exists else (None, None)
+    out = []
+    for pdf in batches:
+        for at, v, s in zip(pdf["at"], pdf["value"], pdf["started"]):
+            fresh = value is None or v < value or (s != 0 and s != started)
+            out.append((key[0], at, max(0.0, v if fresh else v - value)))
+            value, started = float(v), int(s)
+    state.update((value, started))
+    if forget:
+        state.setTimeoutDuration(TTL_MS)
+    yield pd.DataFrame(out, columns=["stream_key", "at", "delta"])
+
+
+def counter_deltas(points: DataFrame, forget: bool = True) -> DataFrame:
     """(stream_key, at, delta) of a stream of (stream_key, at, value, started), in the order of arrival.
 
-    Needs the RocksDB state store: spark.sql.streaming.stateStore.providerClass.
+    forget: idle streams leave the state after TTL_MS. Such a query never runs dry, so bounded runs turn it off.
     """
-    return points.groupBy("stream_key").transformWithStateInPandas(CounterDeltas(), "stream_key string, at timestamp, delta double", "Append", "ProcessingTime")
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
+    return points.groupBy("stream_key").applyInPandasWithState(lambda k, b, s: _advance(k, b, s, forget), "stream_key string, at timestamp, delta double", "value double, started long", "append", timeout)
 
 
 def daily_usage(events: DataFrame, lateness: str = "2 days") -> DataFrame:
