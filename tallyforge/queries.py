@@ -436,11 +436,11 @@ def counter_delta(spark, d):
 
 
 @query("""
-select conv_id, turn, last_value(case when role = 'user' then length(text) end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding)::int as asked from conversations
+select conv_id, turn, coalesce(last_value(case when role = 'user' then length(text) end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding), 0)::int as asked from conversations
 """)
 def role_forward_fill(spark, d):
     c = table(spark, d, "conversations").withColumn("asked", F.when(F.col("role") == "user", F.length("text")))
-    return latest.forward_fill(c, ["conv_id"], ["turn"], "asked").select("conv_id", "turn", "asked")
+    return latest.forward_fill(c, ["conv_id"], ["turn"], "asked").select("conv_id", "turn", F.coalesce("asked", F.lit(0)).alias("asked"))
 
 
 # Findings as state

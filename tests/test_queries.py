@@ -24,7 +24,7 @@ def duck():
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
             return "null"
         return repr(round(float(v), 6)) if isinstance(v, (float, np.floating, int, np.integer)) and not isinstance(v, bool) else str(v)
 
