@@ -20,8 +20,9 @@ LEVEL = 3
 
 
 def folded(text: Column) -> Column:
-    """Lower-case letters with single spaces between: what case, digits and signs say of a language is noise here."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
+    """Lower-case letters with single spaces between, a word said over and over once: the rest is noise here."""
+    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
+    return F.regexp_replace(plain, r"(?<![^ ])(\p{L}+)(?: \1(?![^ ]))+", "$1")
 
 
 def learned_rows(docs: DataFrame) -> DataFrame:
