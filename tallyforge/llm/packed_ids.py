@@ -28,6 +28,8 @@ from .common import column, scratch
 from .files import read_files, write_frames
 
 BLOCK, PERCENTILE = 4096, 90
+#: About the most documents that a file holds, as files are read whole.
+DOCS_PER_FILE = 20_000
 MARKER = "\x1ePFR\x1e"
 NULL_ID = -(2**63)
 
@@ -124,7 +126,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
     spark = docs.sparkSession
     docs = docs.select(column(docs, "doc_id", "long").alias("doc_id"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"))
     shared = spark.sparkContext.broadcast(definition_of(tokenizer))
-    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // DOCS_PER_FILE)
     dealt = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
@@ -164,7 +166,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     files = read_files(spark, path)
     per_file = files.mapInArrow(totals, "path string, total long")
-    base = per_file.select("path", (F.sum("total").over(Window.orderBy("path")) - F.col("total")).alias("base"))
+    base = per_file.select("path", (F.sum("total").over(Window.orderBy(F.regexp_extract("path", r"part-(\d+)", 1).cast("long"))) - F.col("total")).alias("base"))
     rows = files.mapInArrow(run, "path string, doc_id long, local long, n_tokens long, ids_crc32 long")
     return rows.join(base, "path").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
