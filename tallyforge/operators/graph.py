@@ -22,15 +22,20 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(src, dst) of all paths of one edge or more. Paths double in length each round; safe on cycles."""
-    paths = _cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
-    n = paths.count()
+    """(src, dst) of all paths of one edge or more. Paths double in length each round; safe on cycles.
+
+    A round joins the pairs that the last one found to all pairs: the first half of a new shortest path is always among
+    them. Sources that reach every node with an edge in have nothing left to find and drop out of the joins.
+    """
+    paths = new = _cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
+    ends = paths.select("dst").distinct().count()
     while True:
-        longer = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        paths = _cut(paths.unionByName(longer).distinct())
-        if (m := paths.count()) == n:
+        done = paths.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == ends).select("src")
+        longer = new.join(done, "src", "left_anti").alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
+        new = _cut(longer.subtract(paths))
+        if not new.take(1):
             return paths
-        n = m
+        paths = _cut(paths.unionByName(new))
 
 
 def reachable_from(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -489,8 +489,8 @@ with c as (select o_orderkey as id, 'a' || (o_custkey % 3) || '/b' || (o_custkey
 o as (select unnest(['a0', 'a0/b1', 'a1', 'a2/b4']) as folder)
 select id, arg_max(folder, length(folder)) as folder from c left join o on starts_with(path, folder || '/') group by 1
 """)
-def longest_prefix_owner(spark, d):
-    f = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("a"), (F.col("o_custkey") % 3).cast("string"), F.lit("/b"), (F.col("o_custkey") % 5).cast("string"), F.lit("/f"), F.col("o_custkey").cast("string")).alias("path"))
+def longest_prefix_owner(spark, d, rows="o_orderkey % 10 = 0"):
+    f = table(spark, d, "orders").filter(rows).select(F.col("o_orderkey").alias("id"), F.concat(F.lit("a"), (F.col("o_custkey") % 3).cast("string"), F.lit("/b"), (F.col("o_custkey") % 5).cast("string"), F.lit("/f"), F.col("o_custkey").cast("string")).alias("path"))
     owners = spark.createDataFrame([("a0",), ("a0/b1",), ("a1",), ("a2/b4",)], "folder string")
     return matching.longest_prefix(f, "path", owners, "folder").select("id", "folder")
 
@@ -564,9 +564,9 @@ with recursive e as (select distinct l_suppkey as src, l_partkey % (select count
 p as (select src, dst from e union select p.src, e.dst from p join e on p.dst = e.src)
 select src, count(*) as n from p group by 1
 """)
-def graph_closure(spark, d):
+def graph_closure(spark, d, rows="l_orderkey % 400 = 0"):
     n = table(spark, d, "supplier").count()
-    e = table(spark, d, "lineitem").filter("l_orderkey % 400 = 0").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
+    e = table(spark, d, "lineitem").filter(rows).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
     return graph.reachable(e).groupBy("src").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -574,17 +574,17 @@ def graph_closure(spark, d):
 with e as (select distinct l_suppkey as a, l_partkey % 50 as b from lineitem where l_orderkey % 100 = 0)
 select node, sum(o)::bigint as fan_out, sum(i)::bigint as fan_in from (select a as node, 1 as o, 0 as i from e union all select b, 0, 1 from e) group by 1
 """)
-def graph_degrees(spark, d):
-    e = table(spark, d, "lineitem").filter("l_orderkey % 100 = 0").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50).alias("dst"))
+def graph_degrees(spark, d, rows="l_orderkey % 100 = 0"):
+    e = table(spark, d, "lineitem").filter(rows).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50).alias("dst"))
     return graph.degrees(e)
 
 
 # Modernization
 
 
-def estates(spark, d):
+def estates(spark, d, rows="id % 40 = 0"):
     key = "assessment_id"
-    f = order_findings(spark, d).filter("id % 40 = 0")
+    f = order_findings(spark, d).filter(rows)
     rules = F.array(*map(F.lit, ["dependency.migration-blocker.mb-002", "dependency.migration-blocker.mb-006", "dependency.migration-blocker.mb-008", "quality.tests.none", "architecture.cycle.project", "dependency.package.vulnerable"]))
     f = f.select(key, F.element_at(rules, (F.col("id") / 40 % 6 + 1).cast("int")).alias("rule_id"), "category", "severity", F.col("file").alias("file_path"), F.lit(None).cast("map<string,string>").alias("data"))
     n = table(spark, d, "nation").select(F.col("n_name").alias(key), F.col("n_nationkey").cast("long").alias("k"))
@@ -612,8 +612,8 @@ select assessment_id, greatest(0, least(100, 20 + case when legacy = 0 then 55 e
   greatest(0, least(100, 40 + case when legacy > 0 then 15 else 0 end + case when high > 0 then 20 else 0 end + case when projects between 5 and 60 then 15 else 0 end + case when tests then 10 else 0 end + case when cycles > 0 then 5 else 0 end))::int as incremental
 from q
 """)
-def strategy_fit(spark, d):
-    s = modernization.strategies(estates(spark, d), "assessment_id")
+def strategy_fit(spark, d, rows="id % 40 = 0"):
+    s = modernization.strategies(estates(spark, d, rows), "assessment_id")
     return s.groupBy("assessment_id").agg(*[F.max(F.when(F.col("strategy") == n, F.col("fit"))).alias(a) for n, a in (("KeepStabilize", "keep"), ("UpgradeInPlace", "upgrade"), ("Incremental", "incremental"))])
 
 
@@ -622,18 +622,18 @@ def strategy_fit(spark, d):
    * (case when not tests then 1.3::double else 1.1::double end * case when cx > 10 then 1.2::double else 1.0::double end * case when cycles > 0 then 1.1::double else 1.0::double end), 40.0::double) as raw from q)
 select assessment_id, round_even(raw / 10, 0) * 10 as hours, round_even(round_even(raw / 10, 0) * 10 * 60.0::double, 0) as cost from y
 """)
-def upgrade_cost(spark, d):
-    return modernization.costs(estates(spark, d), "assessment_id").filter("strategy = 'UpgradeInPlace'").select("assessment_id", "hours", "cost")
+def upgrade_cost(spark, d, rows="id % 40 = 0"):
+    return modernization.costs(estates(spark, d, rows), "assessment_id").filter("strategy = 'UpgradeInPlace'").select("assessment_id", "hours", "cost")
 
 
 @query(ESTATES + "select assessment_id, case when legacy > 0 then legacy * 2000.0::double + case when ef6 then 5000.0::double else 0.0::double end end as annual from q")
-def annual_savings(spark, d):
-    return modernization.savings(estates(spark, d), "assessment_id").select("assessment_id", "annual")
+def annual_savings(spark, d, rows="id % 40 = 0"):
+    return modernization.savings(estates(spark, d, rows), "assessment_id").select("assessment_id", "annual")
 
 
 @query()
-def modernization_roadmap(spark, d):
-    p = estates(spark, d)
+def modernization_roadmap(spark, d, rows="id % 40 = 0"):
+    p = estates(spark, d, rows)
     best = modernization.strategies(p, "assessment_id").filter("recommended").join(modernization.costs(p, "assessment_id"), ["assessment_id", "strategy"]).select("assessment_id", "strategy", "hours")
     return modernization.roadmap(p, best, "assessment_id")
 
@@ -656,3 +656,23 @@ def distinct_ordered(spark, d):
 @query("select o_orderkey, o_orderpriority from orders order by o_orderpriority, o_orderdate desc, o_orderkey offset 40 limit 25")
 def pagination(spark, d):
     return latest.page(table(spark, d, "orders"), [F.col("o_orderpriority"), F.desc("o_orderdate"), F.col("o_orderkey")], 40, 25).select("o_orderkey", "o_orderpriority")
+
+
+# The queries above whose SQL takes every n-th row, on every row
+
+
+def over_all(name: str, rows: str) -> None:
+    """Registers NAME_all: the query NAME, and its SQL if it has one, without the filter on rows."""
+
+    def run(spark, d):
+        return QUERIES[name](spark, d, rows="true")
+
+    run.__name__ = f"{name}_all"
+    query(SQL[name].replace(f" where {rows}", "") if name in SQL else None)(run)
+
+
+over_all("longest_prefix_owner", "o_orderkey % 10 = 0")
+over_all("graph_closure", "l_orderkey % 400 = 0")
+over_all("graph_degrees", "l_orderkey % 100 = 0")
+for _name in ("strategy_fit", "upgrade_cost", "annual_savings", "modernization_roadmap"):
+    over_all(_name, "id % 40 = 0")

@@ -1,6 +1,7 @@
 """Published numbers of the analytics, ported."""
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
@@ -195,3 +196,14 @@ def test_modernization(spark):
     assert all(abs(r.s - 1) < 0.01 for r in shares)
     c = modernization.calibration(spark.createDataFrame([(100.0, 150.0), (100.0, 140.0), (100.0, 90.0)], "estimated_hours double, actual_hours double")).first()
     assert (c.points, c.median_ratio, c.advice) == (3, 1.4, "raise-rates")
+
+
+@pytest.mark.parametrize("n, m, seed", [(12, 14, 1), (12, 60, 2), (40, 39, 3), (6, 36, 4)])
+def test_reachable_against_brute_force(spark, n, m, seed):
+    r = random.Random(seed)
+    edges = {(i, i + 1) for i in range(m)} if n == m + 1 else {(r.randrange(n), r.randrange(n)) for _ in range(m)}
+    paths = set(edges)
+    while more := {(a, d) for a, b in paths for c, d in edges if b == c} - paths:
+        paths |= more
+    got = [tuple(x) for x in graph.reachable(spark.createDataFrame(sorted(edges), "src long, dst long")).collect()]
+    assert sorted(got) == sorted(paths)
