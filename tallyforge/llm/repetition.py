@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, column, line_hashes, mix64, text_chunks
 
-#: Largest share of a text's word characters that duplicated n-grams of each length may cover.
-NGRAM_LIMITS = {5: 0.30, 7: 0.28, 10: 0.25}
-#: Largest share that lines equal to an earlier line may hold.
-LINE_LIMIT = 0.30
+#: Largest share of a text's word characters that duplicated n-grams of each length may cover: the published limits, all
+#: below the base rule's 20 % of words, so that they decide over texts that pass it.
+NGRAM_LIMITS = {5: 0.15, 7: 0.13, 10: 0.10}
+#: Largest share that lines equal to an earlier line may hold, likewise.
+LINE_LIMIT = 0.20
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 
 

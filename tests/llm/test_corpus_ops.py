@@ -232,6 +232,22 @@ def test_repetition_long_range_lines():
     assert m["dup_line_share"][0] == pytest.approx(0.5) and m["dup_5_share"][0] > 0.9
 
 
+def test_repetition_limits_bind_below_the_base(spark):
+    word = iter(f"w{i:03d}" for i in range(900))
+    some = lambda n: [next(word) for _ in range(n)]
+    phrase, passage, short, line = some(9), some(10), some(6), "\n" + " ".join(c * 40 for c in "abcd") + "\n"
+    texts = [
+        " ".join(some(30) + phrase + some(30) + phrase + some(22)),
+        " ".join(some(60) + passage + some(60) + passage + some(43)),
+        " ".join(some(40)) + line + " ".join(some(26)) + line + " ".join(some(26)),
+        " ".join(some(30) + short + some(30) + short + some(28)),
+    ]
+    got = repetition.repetition(documents(spark, texts)).toPandas().set_index("doc_id").sort_index()
+    assert not got.base_failed.any()
+    assert got.kept.tolist() == [False, False, False, True]
+    assert got.dup_5_share[0] == pytest.approx(0.18) and 0.10 < got.dup_10_share[1] < 0.13 and 0.20 < got.dup_line_share[2] < 0.30
+
+
 # toxicity
 
 
