@@ -10,21 +10,25 @@ from pyspark.sql import functions as F
 
 from .common import column
 
-# Published token formats, and the names that assignments of secrets go by.
+# Published token formats, and the names that assignments of secrets go by. No secret has an upper bound: a
+# match that stops early leaves the rest in the text. A key block without an END runs to the end of the text.
+_BLOCK = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?s:.*?)(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|\z)"
+_ASSIGNED = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret)[\"']?\s{0,3}[:=]\s{0,3}"
 RULES = {
-    "private-key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+    "private-key": _BLOCK,
     "aws-access-key-id": r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA)[0-9A-Z]{16}\b",
-    "github-token": r"\bgh[pousr]_[0-9A-Za-z]{36,255}\b",
-    "slack-token": r"\bxox[abpors]-[0-9A-Za-z-]{10,250}",
-    "stripe-key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,250}\b",
-    "google-api-key": r"\bAIza[0-9A-Za-z_-]{35}",
-    "json-web-token": r"\beyJ[0-9A-Za-z_-]{8,500}\.eyJ[0-9A-Za-z_-]{8,2000}\.[0-9A-Za-z_-]{8,500}",
-    "url-credentials": r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,128}@",
-    "assignment": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[^\s\"'<>;,]{6,128})",
-    "hex-string": r"\b[0-9a-f]{32,64}\b",
+    "github-token": r"\b(?:gh[pousr]_[0-9A-Za-z]{36,}|github_pat_[0-9A-Za-z_]{36,})",
+    "slack-token": r"\bxox[abeoprs]-[0-9A-Za-z-]{10,}",
+    "stripe-key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}",
+    "google-api-key": r"\bAIza[0-9A-Za-z_-]{35,}",
+    "json-web-token": r"\beyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
+    "url-credentials": r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:[^\s/@]{3,}@",
+    "bearer": r"(?i:\bbearer\s{1,3}[0-9a-z._~+/=-]{16,})",
+    "assignment": rf"(?i:\b{_ASSIGNED}(?:[\"']?(?-i:{_BLOCK})|[\"']?bearer\s{{1,3}}[^\s\"'<>;,]{{6,}}|\"[^\s\"]{{6,}}|'[^\s']{{6,}}|[^\s\"'<>;,]{{6,}}))",
+    "hex-string": r"\b[0-9A-Fa-f]{32,}\b",
 }
 CANDIDATE = "|".join(RULES.values())
-_NAME = r"^(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)"
+_NAME = rf"^(?i:{_ASSIGNED}[\"']?(?:bearer\s{{1,3}})?|bearer\s{{1,3}})"
 # Words that placeholders are made of, words beside secrets, and words beside harmless strings.
 PLACEHOLDER = "password|passwd|example|sample|changeme|change|your|secret|token|dummy|test|demo|user|admin|default|placeholder|none|null|true|false|required|value|string|here|insert|enter|redacted|hidden|foo|bar|key|api|get|env|config|var|name|my|the|abc|xyz|qwerty|letmein|welcome|login|access|client|file|path|data|html|json|http|www|com|org|doc"
 SECRET_WORDS = r"(?i)password|passwd|secret|token|api.?key|credential|auth|private|access.?key|bearer|login"
@@ -108,7 +112,11 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         F.concat(F.lit("AIza"), b64("j", 35)),
         F.concat(F.lit("eyJ"), b64("k", 20), F.lit(".eyJ"), b64("l", 40), F.lit("."), b64("m", 43)),
         F.concat(F.lit("postgres://svc:"), b64("n", 16), F.lit("@db.internal:5432/main")),
-        F.lit("-----BEGIN RSA PRIVATE KEY-----"),
+        F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), b64("o", 64), F.lit("\n"), b64("p", 64), F.lit("\n-----END RSA PRIVATE KEY-----")),
+        F.concat(pick("bearer", ["Bearer ", "bearer "]), b64("s", 40)),
+        F.concat(name, eq, q, F.lit("eyJ"), b64("t", 20), F.lit(".eyJ"), b64("u", 64), b64("v", 64), F.lit("."), b64("x", 43), q),
+        F.concat(pick("hexname", ["auth ", "private key ", "signing secret ", "login credential "]), hexes("y", 64)),
+        F.concat(pick("hexname", ["auth ", "private key ", "signing secret ", "login credential "]), F.upper(hexes("z", 128))),
     ]
     harmless = [
         F.concat(name, eq, q, pick("p", ["changeme", "your_password_here", "example", "xxxxxxxx", "********", "placeholder", "test1234", "password", "insert-token-here", "********************", "dummy_value", "none-required"]), q),
