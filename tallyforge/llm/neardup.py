@@ -7,13 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Words, column, hash_segments, materialize, mix64, text_chunks
 
 #: Signature values are compared this many at a time.
 BATCH = 16
+#: Rows of one key that a task takes, about: a key with more is dealt over several parts.
+PART = 256
+#: Members of a group that meet as one block in the last round; a larger group becomes pairs of blocks.
+BLOCK = 1024
 
 
 def banding(similarity: float, miss: float, rows: int = 6) -> int:
@@ -88,8 +92,8 @@ def _sketcher(k: int, hashes: int, longs: int, lower: bool):
                         sig[row] = low[at].tobytes()
                     bits[size > 0] = np.packbits((m[:, : 64 * longs] >> 20 & 1).astype(np.uint8), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(key[:, 0].view(np.int64)), pa.array(key[:, 1].view(np.int64)), pa.array(sig, pa.binary()), pa.array(bits.tolist(), pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "sig", "bits"],
+                    [b.column("doc_id").slice(i, j - i), b.column("text_hash").slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(key[:, 0].view(np.int64)), pa.array(key[:, 1].view(np.int64)), pa.array(sig, pa.binary()), pa.array(bits.tolist(), pa.list_(pa.int64()))],
+                    ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "sig", "bits"],
                 )
 
     return run
@@ -154,16 +158,19 @@ def _verifier(k: int, percent: int, lower: bool):
 
 
 def _set_writer(k: int, lower: bool):
-    """32 bits of every shingle of a text's set."""
+    """32 bits of every shingle of a text's set, and how many of them equal another's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offsets in text_chunks(b.column("text")):
                 d, s = _shingles(Words(data, offsets, lower), k)
                 size = np.bincount(d, minlength=j - i)
-                flat = pa.array((s >> U64(32)).astype(np.uint32).view(np.int32))
-                sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), sets], ["rep", "members"])
+                short = (s >> U64(32)).astype(np.uint32)
+                # Sets are sorted, so equal values stand side by side.
+                twin = (short[1:] == short[:-1]) & (d[1:] == d[:-1])
+                lost = np.bincount(d[1:][twin], minlength=j - i)
+                sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(short.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column("rep").slice(i, j - i), sets, pa.array(lost.astype(np.int64))], ["rep", "members", "lost"])
 
     return run
 
@@ -191,43 +198,61 @@ def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "compon
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, lower: bool = True, miss: float = 2e-5, rows: int = 7) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs.
+def _parts(n: Column) -> Column:
+    """Over how many parts n rows of one key are dealt."""
+    return F.ceil(n / PART)
 
-    Documents whose sets of word shingles overlap by percent of their union or more are linked; component_id is the
-    least doc_id reachable. Equal sets are one class from the start. Bands of MinHash values bring candidate classes
-    together in groups. Verification is sequential: the posterior probability that a pair reaches the threshold is
-    bounded from batches of one bit a value while pairs are joined, then from batches of the values; a pair whose
-    probability falls below miss is dropped, and survivors are confirmed on their full sets.
 
-    A group of copies costs its size, not its square: two rounds compare each member with the group's first, then its
-    second (by set size and id), and find the components so far. A third round takes the groups that still hold
-    several components: their members outside the group's largest component meet all members of other components,
-    each pair in the first group that it shares, tested within the join on signature bits and 32-bit set members (two
-    members' slack for collisions). So no pair of the groups is left out, and only near certain links leave the join.
-
-    A null or wordless text has an empty set, links with nothing and is its own component. Rows that repeat a doc_id
-    are placed by their own texts, and classes whose least id is the same count as one; a null doc_id gives component
-    null, kept true. Extra columns are ignored; an empty table gives no rows.
-    """
+def _dealt_join(many: DataFrame, few: DataFrame, key: str, other: str) -> DataFrame:
+    """many join few on key; few has a row a key. Keys with more than PART rows of many are dealt over parts by `other`, and
+    their rows of few are repeated once a part, so that no key lands in one task."""
+    heavy = materialize(many.groupBy(key).agg(_parts(F.count(F.lit(1))).alias("parts")).filter("parts > 1"), "neardup-heavy")
+    left = many.join(heavy, key, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1)))).drop("parts")
+    right = few.join(heavy, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))).drop("parts")
+    return left.join(right, [key, "part"]).drop("part")
+
+
+def _a_part(per_group: DataFrame) -> DataFrame:
+    """Rows of (bucket, m, ...) once for each part of their group."""
+    return per_group.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), _parts(F.col("m")) - 1))).drop("m")
+
+
+def _hubs(active: DataFrame, place: int) -> DataFrame:
+    """One row a group and part: its first or second member, by set size and class."""
+    member = F.struct(F.col("n_shingles").alias("n"), F.col("rep"), F.col("component"), F.col("bits"))
+    first = _a_part(active.groupBy("bucket").agg(F.min(member).alias("hub"), F.max("m").alias("m")))
+    if not place:
+        return first
+    rest = active.join(first, ["bucket", "part"]).filter(F.col("rep") != F.col("hub.rep")).drop("hub")
+    return _a_part(rest.groupBy("bucket").agg(F.min(member).alias("hub"), F.max("m").alias("m")))
+
+
+def _classified(docs: DataFrame, shingle: int, percent: int, lower: bool, miss: float, rows: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, linked, lead) of every row of docs: linked tells whether its set is not empty, lead is
+    the first (no_id, doc_id, text_hash) of its component. See near_duplicates."""
     t = percent / 100
     bands = banding(t, miss, rows)
     hashes = -(-bands * rows // BATCH) * BATCH
     longs = max(1, hashes // 64)
-    docs = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
-    sketch = materialize(docs.mapInArrow(_sketcher(shingle, hashes, longs, lower), "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bits array<long>"), "neardup-sketch")
-    filled = sketch.filter("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
-    classes = materialize(classes, "neardup-classes")
+    docs = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    sketch = materialize(docs.mapInArrow(_sketcher(shingle, hashes, longs, lower), "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, sig binary, bits array<long>"), "neardup-sketch")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
+    classes = sketch.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min(first).alias("first"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
+    # A class's number is its own, whatever ids its rows have; once written it stays.
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "neardup-classes")
 
     spans = [F.xxhash64(F.lit(i), F.substring("sig", i * rows * 2 + 1, rows * 2)) for i in range(bands)]
     banded = classes.select("rep", "n_shingles", F.explode(F.array(*spans)).alias("bucket"))
-    crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    members = materialize(banded.join(crowded, "bucket"), "neardup-groups")
-    reps = materialize(members.select("rep").distinct(), "neardup-reps")
-    sketches = materialize(classes.select("rep", "sig", "bits").join(reps, "rep"), "neardup-sigs")
-    members = materialize(members.join(sketches.select("rep", "bits"), "rep"), "neardup-members")
-    needed = materialize(docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").filter("text is not null"), "neardup-texts")
+    crowded = materialize(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "neardup-crowded")
+    heavy = crowded.filter(F.col("m") > PART).select("bucket", _parts(F.col("m")).alias("parts"))
+    spread = banded.join(heavy, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    members = materialize(spread.join(_a_part(crowded.withColumn("size", F.col("m"))), ["bucket", "part"]).withColumnRenamed("size", "m"), "neardup-groups")
+    reps = materialize(classes.join(members.select("rep").distinct(), "rep").select("rep", "first", "sig", "bits"), "neardup-reps")
+    members = materialize(members.join(reps.select("rep", "bits"), "rep"), "neardup-members")
+    no_id = F.lit(-(2**63))
+    sought = reps.select("rep", F.coalesce("first.doc_id", no_id).alias("key"), F.col("first.text_hash").alias("text_hash"))
+    needed = docs.filter("text is not null").select(F.coalesce("doc_id", no_id).alias("key"), "text_hash", "text").join(sought, ["key", "text_hash"])
+    needed = materialize(needed.groupBy("key", "text_hash", "rep").agg(F.first("text").alias("text")).select("rep", "text"), "neardup-texts")
 
     def bits_apart(n: int):
         return sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits_a")[i])) for i in range(1, n)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("bits_a")[0])))
@@ -238,11 +263,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, lower:
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The links among pairs: the values' batches, then the full sets."""
-        close = pairs.join(sketches.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").join(sketches.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
+        signed = pairs.join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
+        close = _dealt_join(signed, reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a", "b")
         close = materialize(close.mapInArrow(_pruner(posterior_bounds(t, miss, hashes)), "a long, b long").distinct(), "neardup-close")
-        texts = needed.join(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
-        # The many-sided b first: then the rows that a hub gathers carry a text each and Spark sees their size.
-        exact = close.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        texts = needed.join(close.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
+        worded = close.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+        exact = _dealt_join(worded, texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a", "b")
         return materialize(exact.mapInArrow(_verifier(shingle, percent, lower), "a long, b long").distinct(), "neardup-links")
 
     def joined(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -251,41 +277,84 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, lower:
     def still_open(known: DataFrame) -> DataFrame:
         """Members of groups that hold several components."""
         active = members.join(known.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_ = active.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-        return materialize(active.join(open_, "bucket"), "neardup-open")
+        open_ = active.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("m").alias("m")).filter("lo <> hi").select("bucket", "m")
+        return materialize(active.join(_a_part(open_), ["bucket", "part"]), "neardup-open")
 
     known, active = None, members.withColumn("component", F.col("rep"))
     for place in (0, 1):
-        hubs = _hubs(active, place).select("bucket", F.col("hub.rep").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.component").alias("c_a"), F.col("hub.bits").alias("bits_a"))
-        pairs = active.join(hubs, "bucket").filter((F.col("rep") != F.col("a")) & reach).select("a", F.col("rep").alias("b")).distinct()
+        hubs = _hubs(active, place).select("bucket", "part", F.col("hub.rep").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.component").alias("c_a"), F.col("hub.bits").alias("bits_a"))
+        pairs = active.join(hubs, ["bucket", "part"]).filter((F.col("rep") != F.col("a")) & reach).select("a", F.col("rep").alias("b")).distinct()
         found = confirmed(materialize(pairs, "neardup-pairs"))
         known = materialize(components(found), "neardup-known") if known is None else joined(found, known)
         active = still_open(known)
 
-    # The rest: outside the largest component of each open group, against all of the group.
-    largest = active.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    whole = needed.join(active.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_set_writer(shingle, lower), "rep long, members array<int>")
+    # The rest: outside the largest component of each open group, against all of the group, block by block.
+    sizes = active.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m"))
+    largest = _a_part(sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("m").alias("m")))
+    whole = needed.join(active.select("rep").distinct(), "rep", "left_semi").mapInArrow(_set_writer(shingle, lower), "rep long, members array<int>, lost long")
     sets = whole.join(classes.select("rep", F.array(*spans).alias("buckets")), "rep")
     earlier = F.slice("buckets", 1, F.array_position("buckets", F.col("bucket")).cast("int") - 1)
-    full = materialize(active.join(largest, "bucket").join(sets, "rep").withColumn("earlier", earlier), "neardup-full")
-    outside = full.filter("component <> largest").select("bucket", F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"), F.col("bits").alias("bits_a"), F.col("members").alias("members_a"), F.col("earlier").alias("earlier_a"))
-    # Both outside the largest: the lower id leads. Then the bits, the first shared group, and the set members.
+    full = materialize(active.join(largest, ["bucket", "part"]).join(sets, "rep").withColumns({"earlier": earlier, "blocks": F.ceil(F.col("m") / BLOCK)}), "neardup-full")
+    own, any_ = F.pmod(F.xxhash64("rep"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    outside = full.filter("component <> largest").select("bucket", own.alias("block_a"), any_.alias("block_b"), F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"), F.col("bits").alias("bits_a"), F.col("members").alias("members_a"), F.col("lost").alias("lost_a"), F.col("earlier").alias("earlier_a"))
+    inside = full.select("bucket", any_.alias("block_a"), own.alias("block_b"), "rep", "n_shingles", "component", "largest", "bits", "members", "lost", "earlier")
+    # Both outside the largest: the lower class leads. Then the bits, the first shared group, and the set members, where
+    # equal short values may hide as many common shingles as either side lost.
     once = (F.col("component") == F.col("largest")) | (F.col("a") < F.col("rep"))
-    both = F.size(F.array_intersect("members", "members_a")) + 2
-    near = 100 * both >= percent * (F.col("n_shingles") + F.col("n_a") - both - 2)
-    rest = full.select("bucket", "rep", "n_shingles", "component", "largest", "bits", "members", "earlier").join(outside, "bucket").filter(once & reach & ~F.arrays_overlap("earlier", "earlier_a") & near)
+    both = F.size(F.array_intersect("members", "members_a")) + F.least("lost", "lost_a")
+    near = 100 * both >= percent * (F.col("n_shingles") + F.col("n_a") - both)
+    rest = inside.join(outside, ["bucket", "block_a", "block_b"]).filter(once & reach & ~F.arrays_overlap("earlier", "earlier_a") & near)
     known = joined(confirmed(materialize(rest.select("a", F.col("rep").alias("b")).distinct(), "neardup-rest")), known)
 
-    per_class = classes.join(known.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "set_a", "set_b").join(per_class, ["set_a", "set_b", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    # The first row of each component; a component may be large, so its rows are dealt over parts.
+    placed = materialize(known.select(F.col("id").alias("rep"), "component").join(classes.select("rep", "first"), "rep"), "neardup-placed")
+    leads = placed.groupBy("component").agg(F.min("first").alias("lead"))
+    led = _dealt_join(placed.select("rep", "component"), leads, "component", "rep").select("rep", "lead")
+    per_class = classes.select("rep", "set_a", "set_b", "n_shingles", "first").join(led, "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("lead", "first").alias("lead"))
+    keyed = sketch.select("doc_id", "text_hash", "n_shingles", "set_a", "set_b").join(per_class, ["set_a", "set_b", "n_shingles"], "left")
+    return keyed.select("doc_id", "text_hash", "n_shingles", F.col("lead").isNotNull().alias("linked"), "lead")
 
 
-def _hubs(active: DataFrame, place: int) -> DataFrame:
-    """One row a group: its first or second member, by set size and id."""
-    member = F.struct(F.col("n_shingles").alias("n"), F.col("rep"), F.col("component"), F.col("bits"))
-    first = active.groupBy("bucket").agg(F.min(member).alias("hub"))
-    if not place:
-        return first
-    rest = active.join(first, "bucket").filter(F.col("rep") != F.col("hub.rep")).drop("hub")
-    return rest.groupBy("bucket").agg(F.min(member).alias("hub"))
+def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, lower: bool = True, miss: float = 2e-5, rows: int = 7) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of docs.
+
+    Documents whose sets of word shingles overlap by percent of their union or more are linked; component_id is the
+    least doc_id reachable. Equal sets are one class from the start. Bands of MinHash values bring candidate classes
+    together in groups. Verification is sequential: the posterior probability that a pair reaches the threshold is
+    bounded from batches of one bit a value while pairs are joined, then from batches of the values; a pair whose
+    probability falls below miss is dropped, and survivors are confirmed on their full sets.
+
+    A group of copies costs its size, not its square: two rounds compare each member with the group's first, then its
+    second (by set size), and find the components so far. A third round takes the groups that still hold several
+    components: their members outside the group's largest component meet all members of other components, each pair in
+    the first group that it shares, tested within the join on signature bits and 32-bit set members. So no pair of the
+    groups is left out, and only near certain links leave the join. Large groups are dealt over parts in the first two
+    rounds and over pairs of blocks in the third, so no group lands in one task.
+
+    A null or wordless text has an empty set, links with nothing and is its own component. Rows that repeat a doc_id are
+    placed by their own texts: each text is a document of its own. A row without doc_id links like any other; its
+    component_id is the least doc_id reachable or null, and it is kept only where that is null. Texts of any length are
+    read whole. Extra columns are ignored; an empty table gives no rows.
+    """
+    out = _classified(docs, shingle, percent, lower, miss, rows)
+    component = F.when(F.col("linked"), F.col("lead.doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool = True, miss: float = 2e-5, rows: int = 6) -> DataFrame:
+    """docs with one row of each component of near_duplicates: that of the least doc_id (none last), then of the least hash
+    of its text. Columns stay as they are.
+
+    Rows that repeat a doc_id count by their own texts, so one that resembles nothing stays; of rows that repeat both
+    doc_id and text one stays. Null and wordless texts resemble nothing and stay all, however often they come.
+    """
+    key = lambda id_, hash_: [F.coalesce(id_, F.lit(-(2**63))).alias("near_key"), hash_.alias("near_hash")]
+    placed = _classified(docs, shingle, percent, lower, miss, rows).filter("linked")
+    mine = placed.select(*key(F.col("doc_id"), F.col("text_hash")), (F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("text_hash") == F.col("lead.text_hash"))).alias("leads"))
+    # A row a (doc_id, text) that goes, or that leads but comes more than once.
+    known = materialize(mine.groupBy("near_key", "near_hash").agg(F.max("leads").alias("leads"), F.count(F.lit(1)).alias("n")).filter("not leads or n > 1"), "neardup-verdicts")
+    rows_ = docs.select(F.struct(*docs.columns).alias("row"), *key(column(docs, "doc_id", "long"), F.xxhash64(column(docs, "text", "string"))))
+    single = rows_.join(known.select("near_key", "near_hash"), ["near_key", "near_hash"], "left_anti").select("row.*")
+    repeated = rows_.join(known.filter("leads").select("near_key", "near_hash"), ["near_key", "near_hash"])
+    once = repeated.groupBy("near_key", "near_hash").agg(F.first("row").alias("row")).select("row.*")
+    return single.unionByName(once)
