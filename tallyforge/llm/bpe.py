@@ -109,12 +109,18 @@ class _Known(dict):
 class Encoder:
     """Ids of whole texts, each match of the pattern separately; a distinct match is merged once.
 
-    encode() gives little-endian unsigned 32-bit ids as bytes. Special tokens' strings are ordinary text.
+    encode() gives little-endian unsigned 32-bit ids as bytes. As in the library, the strings of the definition's added
+    tokens stand for those tokens, the longest at the leftmost place, and what lies between them is split on its own; a
+    definition made of ranks has none, so all its text is ordinary.
     """
 
     def __init__(self, definition: str, pattern: str):
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        added = json.loads(definition).get("added_tokens") or []
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that strip, or that only match words or normalized text, are not handled")
+        self.added = {t["content"]: struct.pack("<I", t["id"]) for t in added}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.any, self.plain = regex.compile(pattern), re.compile(plain_pattern(pattern))
         self.beyond = re.compile(f"[^\\x00-{chr(_PLAIN - 1)}]")
         self.known = _Known(self.tokenizer)
@@ -126,18 +132,25 @@ class Encoder:
         out: list[bytes] = []
         for text in texts:
             self.known.trim()
-            out.append(b"".join(map(self.known.__getitem__, self.split(text))))
+            if self.marks and self.marks.search(text):
+                parts = self.marks.split(text)
+                out.append(b"".join(self.added[x] if i % 2 else self._plain_ids(x) for i, x in enumerate(parts)))
+            else:
+                out.append(self._plain_ids(text))
         return out
 
-    def offsets(self, text: str) -> list[tuple[int, int, int]]:
-        """(id, first character, end) of each token of a text; a token within a character spans all of it."""
-        table, out, byte = self.bytes_of(), [], 0
-        start_of = np.cumsum([0] + [len(c.encode()) for c in text])
-        for i in np.frombuffer(self.encode([text])[0], "<u4"):
-            end = byte + len(table[i])
-            out.append((int(i), int(np.searchsorted(start_of, byte, side="right")) - 1, int(np.searchsorted(start_of, end, side="left"))))
-            byte = end
-        return out
+    def _plain_ids(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.split(text)))
+
+    def offsets(self, text: str, ids: bytes) -> np.ndarray:
+        """(tokens, 2): the first character and the end of each of a text's ids; a token within a character spans all of it."""
+        if not hasattr(self, "_lengths"):
+            self._lengths = np.array([len(t) for t in self.bytes_of()], np.int64)
+        end = np.cumsum(self._lengths[np.frombuffer(ids, "<u4")])
+        data = np.frombuffer(text.encode(), np.uint8)
+        begun = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        start = np.concatenate([[0], end[:-1]]) if len(end) else end
+        return np.stack([begun[start + 1] - 1, begun[end]], axis=1) if len(end) else np.empty((0, 2), np.int64)
 
     def bytes_of(self) -> list[bytes]:
         """The bytes of each id, by reversing the byte table."""
@@ -147,6 +160,10 @@ class Encoder:
             self._bytes = [b""] * (max(vocab.values()) + 1)
             for t, i in vocab.items():
                 self._bytes[i] = bytes(back[c] for c in t)
+            for t, i in self.added.items():
+                at = struct.unpack("<I", i)[0]
+                self._bytes += [b""] * (at + 1 - len(self._bytes))
+                self._bytes[at] = t.encode()
         return self._bytes
 
     def decode(self, ids: bytes) -> bytes:
@@ -178,8 +195,8 @@ def definition_of(path: str) -> tuple[str, str]:
 
 
 def encode(docs: DataFrame, path: str, decoded: bool = True) -> DataFrame:
-    """(doc_id, ids, decoded) of every row of docs: ids as little-endian unsigned 32-bit integers in binary, and the
-    bytes that they decode to.
+    """(doc_id, ids, offsets, decoded) of every row of docs: ids as little-endian unsigned 32-bit integers in binary, the
+    first character and the end of each token, likewise, and the bytes that the ids decode to.
 
     A null text counts as empty and has no ids; repeated rows are encoded alike; extra columns are ignored; an empty
     table gives no rows. Texts are taken whole, of any length and in any script.
@@ -194,13 +211,15 @@ def encode(docs: DataFrame, path: str, decoded: bool = True) -> DataFrame:
                 part = b.slice(lo, 1000)
                 ids = enc.encode(part.column("text").to_pylist())
                 back = [enc.decode(i) for i in ids] if decoded else [None] * len(ids)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["doc_id", "ids", "decoded"])
+                spans = [enc.offsets(t, i).astype("<u4").tobytes() for t, i in zip(part.column("text").to_pylist(), ids)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(spans, pa.binary()), pa.array(back, pa.binary())], ["doc_id", "ids", "offsets", "decoded"])
 
-    return docs.mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return docs.mapInArrow(run, "doc_id long, ids binary, offsets binary, decoded binary")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) through encode(); hashed beside the encoding, so ids stay in the worker."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, offsets_sha256), the digests of what encode() gives; hashed beside the
+    encoding, so ids stay in the worker. Rows are treated as in encode()."""
     shared = docs.sparkSession.sparkContext.broadcast(definition_of(path))
     docs = docs.select(column(docs, "doc_id", "long").alias("doc_id"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"))
 
@@ -209,10 +228,13 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 part = b.slice(lo, 200)
-                ids = enc.encode(part.column("text").to_pylist())
+                texts = part.column("text").to_pylist()
+                ids = enc.encode(texts)
+                digest = lambda values: pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
+                spans = (enc.offsets(t, i).astype("<u4").tobytes() for t, i in zip(texts, ids))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array([hashlib.sha256(enc.decode(i)).hexdigest() for i in ids], pa.string())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    [part.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), digest(ids), digest(map(enc.decode, ids)), digest(spans)],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string")

@@ -18,16 +18,21 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir or the context's checkpoint folder. Where neither is
+    set, a local session gets a temporary folder; a cluster must name one, so there it is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         d = spark.sparkContext.getCheckpointDir()
     return d.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder for an intermediate table. Those of an application lie together, under scratch-<application id>, so that
+    one removal of that folder, once the application has ended, sweeps them all."""
+    return f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

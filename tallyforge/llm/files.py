@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_frames(frames: DataFrame, path: str, marker: str) -> None:
-    """One file a partition: the binary `value` of its rows in order, each followed by marker.
+def write_frames(frames: DataFrame, path: str, marker: str, most: int) -> None:
+    """The binary `value` of each partition's rows in order, each followed by marker, `most` rows a file.
 
     The text writer writes a string's bytes as they are; the marker, its line separator, must mean nothing in the
     format written.
     """
-    frames.select(F.col("value").cast("string").alias("value")).write.option("lineSep", marker).text(path)
+    frames.select(F.col("value").cast("string").alias("value")).write.option("lineSep", marker).option("maxRecordsPerFile", most).text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -20,16 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import definition_of, encoder
-from .common import column, scratch
+from .common import column, materialize, scratch
 from .files import read_files, write_frames
 
 BLOCK, PERCENTILE = 4096, 90
-#: About the most documents that a file holds, as files are read whole.
-DOCS_PER_FILE = 20_000
+#: A segment ends with the document that brings its texts to this many bytes, and a file with this many segments, as files
+#: are read whole: about 130 MB of text and less of ids, or one document more.
+SEGMENT_BYTES, SEGMENTS_PER_FILE = 1 << 21, 64
 MARKER = "\x1ePFR\x1e"
 NULL_ID = -(2**63)
 
@@ -118,33 +120,45 @@ def segments(content: bytes) -> Iterator[Segment]:
         at = s.end() + len(MARKER)
 
 
+def _bounds(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows that end with the one that brings them to `most`."""
+    lo, total = 0, 0
+    for i, n in enumerate(sizes):
+        total += int(n)
+        if total >= most or i == len(sizes) - 1:
+            yield lo, i + 1
+            lo, total = i + 1, 0
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shards: int | None = None) -> None:
-    """Encodes docs and writes one file for each id range, in ascending doc_id order (a null id first, ties by text).
+    """Encodes docs and writes files in ascending doc_id order (a null id first, ties by text).
 
-    Texts are dealt out by id range and sorted, then encoded and packed in the task that writes them.
+    Texts are dealt out by id range and sorted, then encoded and packed in the task that writes them; a task begins a new
+    file whenever one holds SEGMENTS_PER_FILE segments. shards: id ranges, the session's shuffle partitions by default.
     """
     spark = docs.sparkSession
     docs = docs.select(column(docs, "doc_id", "long").alias("doc_id"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"))
     shared = spark.sparkContext.broadcast(definition_of(tokenizer))
-    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // DOCS_PER_FILE)
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(*shared.value)
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+            for lo, hi in _bounds(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False), SEGMENT_BYTES):
+                part = b.slice(lo, hi - lo)
                 ids = [i + end for i in enc.encode(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array([write_segment(part.column("doc_id").to_pylist(), ids)], pa.binary())], ["value"])
 
-    write_frames(dealt.mapInArrow(run, "value binary"), path, MARKER)
+    write_frames(dealt.mapInArrow(run, "value binary"), path, MARKER, SEGMENTS_PER_FILE)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files at path; start counts the ids of all documents before.
 
-    Files are named in the order of their ranges, so sums over files before, a row each, give a file's first start.
+    Each file is read once; what its documents hold is written as a table, whose sums by file, a row each, give every
+    file's first start. Files are named in the order of their ranges, and within a range in the order of writing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,23 +173,20 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(s.starts + at), pa.array(s.lengths), pa.array(crc, pa.int64())], ["path", "doc_id", "local", "n_tokens", "ids_crc32"])
                     at += s.n_ids
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [sum(s.n_ids for s in segments(c.as_py())) for c in b.column("content")]
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(n, pa.int64())], ["path", "total"])
-
-    files = read_files(spark, path)
-    per_file = files.mapInArrow(totals, "path string, total long")
-    base = per_file.select("path", (F.sum("total").over(Window.orderBy(F.regexp_extract("path", r"part-(\d+)", 1).cast("long"))) - F.col("total")).alias("base"))
-    rows = files.mapInArrow(run, "path string, doc_id long, local long, n_tokens long, ids_crc32 long")
-    return rows.join(base, "path").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    number = lambda p: F.coalesce(F.nullif(F.regexp_extract("path", p, 1), F.lit("")).cast("long"), F.lit(0))
+    read = read_files(spark, path).mapInArrow(run, "path string, doc_id long, local long, n_tokens long, ids_crc32 long")
+    rows = materialize(read.select(number(r"part-(\d+)").alias("range"), number(r"-c(\d+)").alias("file"), "doc_id", "local", "n_tokens", "ids_crc32"), "packed-rows")
+    totals = rows.groupBy("range", "file").agg(F.sum("n_tokens").alias("total"))
+    base = totals.select("range", "file", (F.sum("total").over(Window.orderBy("range", "file")) - F.col("total")).alias("base"))
+    return rows.join(base, ["range", "file"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def packed_ids(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
     """Writes docs' ids at path (a new folder in the shared one by default) and reads them back; see read_ids.
 
-    A null text counts as empty; every document ends with end_id, so none is without ids. Repeated rows are written
-    each; extra columns are ignored; an empty table gives no rows.
+    A null text counts as empty; every document ends with end_id, so none is without ids. The strings of the tokenizer's
+    added tokens are those tokens, as in the library. Repeated rows are written each; extra columns are ignored; an empty
+    table gives no rows.
     """
     path = path or scratch(docs.sparkSession, "packed-ids")
     write_ids(docs, path, tokenizer)
