@@ -1,13 +1,12 @@
 """WARC archives whose records are Zstandard frames with a shared dictionary.
 
 A file begins with a skippable frame (magic 0x184D2A5D) that holds the dictionary, itself compressed; every record is
-a frame of its own. Between records stands MARKER, an empty skippable frame, which decoders pass over.
+a frame of its own. Here and there stands MARKER, an empty skippable frame, which decoders pass over.
 """
 
 from __future__ import annotations
 
 import base64
-import datetime as dt
 import hashlib
 import struct
 import uuid
@@ -23,9 +22,14 @@ from .files import read_files, write_frames
 
 MARKER = "P*M\x18\x00\x00\x00\x00"
 _DICTIONARY_MAGIC, _FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
-#: Pages whose records the dictionary is built from, at most, and its size.
-SAMPLE, DICTIONARY_BYTES = 300, 65_536
+#: Pages whose records the dictionary is built from, at most, their bytes, and its size.
+SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 300, 1 << 24, 65_536
 LEVEL = 3
+#: Records are written in runs that end with the one that brings their payloads to this many bytes, and a file ends with
+#: this many runs, as files are read whole: about 130 MB of payload, or one record more.
+RUN_BYTES, RUNS_PER_FILE = 1 << 21, 64
+#: WARC-Date where the caller gives none: pages have no date of their own, and reruns must agree.
+DATE = "2024-01-01T00:00:00Z"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -113,19 +117,33 @@ def _pages(pages: DataFrame) -> DataFrame:
     return pages.select(column(pages, "page_id", "long").alias("page_id"), column(pages, "url", "string").alias("url"), html.alias("payload"))
 
 
-def _sampled(pages: DataFrame) -> list:
-    """SAMPLE pages by hash of their id, at most: ids are ranked alone, then only those pages are fetched."""
+def trained_dictionary(pages: DataFrame, date: str) -> bytes:
+    """The dictionary of SAMPLE pages by hash of their id, at most. Ids are ranked alone; one task then reads one page of
+    each, up to SAMPLE_BYTES in all, and only the dictionary comes to the driver."""
     ids = [r[0] for r in pages.filter("page_id is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).collect()]
-    return sorted(pages.filter(F.col("page_id").isin(ids)).limit(2 * SAMPLE).collect(), key=lambda r: (r.page_id, r.payload)) if ids else []
+    if not ids:
+        return b""
+    one = pages.filter(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min_by(F.struct("url", "payload"), F.struct(F.sha1("payload"), "url")).alias("p")).select("page_id", "p.url", "p.payload")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records, size = [], 0
+        for b in batches:
+            for page_id, url, payload in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload"))):
+                if size + len(payload) <= SAMPLE_BYTES:
+                    records.append(record(page_id, url, payload, None, None, date))
+                    size += len(payload)
+        yield pa.RecordBatch.from_arrays([pa.array([build_dictionary(records)], pa.binary())], ["dictionary"])
 
+    found = one.repartition(1).sortWithinPartitions("page_id").mapInArrow(run, "dictionary binary").collect()
+    return bytes(found[0][0]) if found else b""
 
-def write_warc(pages: DataFrame, path: str, least: int = 0, date: str | None = None) -> None:
-    """One archive a partition at path. Of pages with equal payloads of at least `least` bytes, that with the smallest
+
+def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = DATE) -> None:
+    """Archives at path, each with the dictionary in front. Of pages with equal payloads of at least `least` bytes, that with the smallest
     page_id becomes a response and the others revisit it; smaller payloads are all responses."""
     spark = pages.sparkSession
-    date = date or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     pages = _pages(pages)
-    shared = spark.sparkContext.broadcast(build_dictionary([record(r.page_id, r.url, bytes(r.payload), None, None, date) for r in _sampled(pages)]))
+    shared = spark.sparkContext.broadcast(trained_dictionary(pages, date))
     keyed = pages.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
     # Who revisits whom is settled on digests alone; payloads meet it once, by page, where no key is hot.
     slim = keyed.filter(F.col("size") >= least).select("page_id", "url", "digest", "size")
@@ -134,16 +152,26 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, date: str | None = N
     dealt = keyed.join(revisits, ["page_id", "digest", "size"], "left").select("page_id", "url", "payload", "refers_to", "first_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, begun = shared.value, False
+        raw, held, size, runs = shared.value, [], 0, 0
+        front = dictionary_frame(raw)
         tool = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw)) if raw else zstandard.ZstdCompressor(level=LEVEL)
+
+        def row_of() -> pa.RecordBatch:
+            """A row of the frames held; the first of each file begins with the dictionary."""
+            value = b"".join([front, *held] if runs % RUNS_PER_FILE == 0 else held)
+            return pa.RecordBatch.from_arrays([pa.array([value], pa.binary())], ["value"])
+
         for b in batches:
-            out = [] if begun or not b.num_rows else [dictionary_frame(raw)]
-            begun |= bool(b.num_rows)
             for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to", "first_url"))):
-                out.append(tool.compress(record(*row, date)))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                held.append(tool.compress(record(*row, date)))
+                size += len(row[2])
+                if size >= RUN_BYTES:
+                    yield row_of()
+                    held, size, runs = [], 0, runs + 1
+        if held:
+            yield row_of()
 
-    write_frames(dealt.mapInArrow(run, "value binary"), path, MARKER)
+    write_frames(dealt.mapInArrow(run, "value binary"), path, MARKER, RUNS_PER_FILE)
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
@@ -178,7 +206,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES.values())], list(_TYPES))
 
 
-def archive_pages(pages: DataFrame, path: str | None = None, least: int = 0) -> DataFrame:
+def archive_pages(pages: DataFrame, path: str | None = None, least: int = 0, date: str = DATE) -> DataFrame:
     """Writes pages' archives at path (a new folder in the shared one by default) and reads their records back.
 
     A null html is an empty payload; a null url becomes urn:page:<page_id>; rows that repeat the smallest page_id of
@@ -186,5 +214,5 @@ def archive_pages(pages: DataFrame, path: str | None = None, least: int = 0) ->
     no rows.
     """
     path = path or scratch(pages.sparkSession, "warc")
-    write_warc(pages, path, least)
+    write_warc(pages, path, least, date)
     return read_warc(pages.sparkSession, path)
