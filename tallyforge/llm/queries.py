@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, langid, mixing, neardup, packed_ids, repetition, secrets, toxicity, warc
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """Whether labels of a row must not be learned; a row without doc_id is not held out, and nothing is learned from it."""
+    at = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+    return F.coalesce(at == remainder, F.lit(False)).alias("held_out")
+
+
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,12 +41,12 @@ def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", held_out(5, 0), "score", "predicted")
 
 
 def op6_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings(spark)), "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.learn(docs), "doc_id")
     return found.select("doc_id", "rule", F.col("start").cast("long"), F.length("match").cast("long").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
 
 
@@ -59,8 +65,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.dictionaries(langid.learned_rows(docs)))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", held_out(3, 1), "lang_pred", "score", "rejected")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

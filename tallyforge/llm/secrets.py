@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,6 +22,7 @@ RULES = {
     "github-token": r"\b(?:gh[pousr]_[0-9A-Za-z]{36,}|github_pat_[0-9A-Za-z_]{36,})",
     "slack-token": r"\bxox[abeoprs]-[0-9A-Za-z-]{10,}",
     "stripe-key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}",
+    "vendor-token": r"\b(?:sk-(?:proj-|ant-|svcacct-)?|npm_|glpat-|hf_|pypi-|dop_v1_|shp(?:at|ca|pa|ss)_|SG\.|ya29\.|GOCSPX-|xapp-|lin_api_|dapi)(?=[0-9A-Za-z_.-]*[0-9])[0-9A-Za-z_.-]{20,}",
     "google-api-key": r"\bAIza[0-9A-Za-z_-]{35,}",
     "json-web-token": r"\beyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
     "url-credentials": r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:[^\s/@]{3,}@",
@@ -36,7 +39,43 @@ HARMLESS_WORDS = r"(?i)example|sample|dummy|placeholder|commit|checksum|sha-?1|s
 TEST_PATH = r"(?i)(^|[/\\])(tests?|examples?|samples?|fixtures?|docs?|mocks?|vendor|node_modules)[/\\]|\.(md|rst|lock|sum|svg|min\.js)$"
 #: Characters on either side that are read as neighbours, and the score from which a candidate counts as a secret.
 NEAR, THRESHOLD = 48, 0.5
-FEATURES = ["f_length", "f_classes", "f_vowels", "f_distinct", "f_digits", "f_upper", "f_repeats", "f_dictionary", "f_path", "f_in_path", "f_secret_words", "f_harmless_words", "f_code", *(f"f_{r.replace('-', '_')}" for r in RULES)]
+#: Words of the dictionary, at most, and the matches that are placed together.
+WORDS, STEP = 4000, 256
+FEATURES = ["f_length", "f_classes", "f_vowels", "f_distinct", "f_digits", "f_upper", "f_repeats", "f_placeholder", "f_dictionary", "f_path", "f_in_path", "f_secret_words", "f_harmless_words", "f_code", *(f"f_{r.replace('-', '_')}" for r in RULES)]
+
+
+@dataclass
+class Forest:
+    """The trained forest and the dictionary that its features look words up in."""
+
+    model: RandomForestClassificationModel
+    words: list[str]
+
+
+def dictionary(docs: DataFrame, most: int = WORDS) -> list[str]:
+    """The `most` words of four Latin letters or more, in lower case, that the most documents hold (ties by word), counted
+    over all of docs. Random strings stand in too few documents to be among them."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(column(docs, "text", "string")), F.lit(r"(?<![a-z0-9])[a-z]{4,24}(?![a-z0-9])"), F.lit(0)))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect())
+
+
+def _steps(found: Column, pieces: Column) -> Column:
+    """(p, m) of each match: the lengths of the piece before it and of itself."""
+    return F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m")))
+
+
+def _starts(steps: Column, n: Column) -> Column:
+    """Where each match starts: sums of lengths, STEP matches at a time, so that the work grows with the matches alone."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / STEP).cast("int")), lambda i: F.slice(steps, i * STEP + 1, F.least(F.lit(STEP), n - i * STEP)))
+
+    def running(values: Column, start: Column) -> Column:
+        """The sum before each value; values is a short array."""
+        begin = F.struct(start.alias("at"), F.array().cast("array<int>").alias("before"))
+        return F.aggregate(values, begin, lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["before"], F.array(acc["at"])).alias("before")))["before"]
+
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["p"] + x["m"]))
+    return F.flatten(F.zip_with(blocks, running(totals, F.lit(0)), lambda b, at: F.zip_with(running(F.transform(b, lambda x: x["p"] + x["m"]), at), b, lambda start, x: start + x["p"])))
 
 
 def candidates(docs: DataFrame, *keep: str, path: str | None = None) -> DataFrame:
@@ -47,25 +86,25 @@ def candidates(docs: DataFrame, *keep: str, path: str | None = None) -> DataFram
     text = column(docs, "text", "string")
     where = docs[path].cast("string") if path else F.lit("")
     hit = docs.select(*[docs[c].alias(f"kept_{c}") for c in keep], text.alias("text"), F.coalesce(where, F.lit("")).alias("path")).filter(F.col("text").rlike(CANDIDATE))
-    hit = hit.withColumns({"found": F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), "pieces": F.split("text", CANDIDATE)})
-    starts = F.aggregate(
-        F.arrays_zip("found", F.expr("slice(pieces, 1, size(found)) as piece")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct((acc["at"] + F.length(x["piece"]) + F.length(x["found"])).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + F.length(x["piece"]))).alias("starts")),
-        lambda acc: acc["starts"],
-    )
-    one = F.explode(F.arrays_zip(F.col("found").alias("match"), starts.alias("start"), F.expr("slice(pieces, 1, size(found)) as before"), F.expr("slice(pieces, 2, size(found)) as after")))
+    # A generator between the steps, so that what a step reads is worked out once and not wherever it is read.
+    parts = F.inline(F.array(F.struct(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE).alias("pieces"))))
+    hit = hit.select(*[f"kept_{c}" for c in keep], "path", parts)
+    hit = hit.select("*", F.inline(F.array(F.struct(_steps(F.col("found"), F.col("pieces")).alias("steps"), F.size("found").alias("n")))))
+    hit = hit.withColumn("start", _starts(F.col("steps"), F.col("n")))
+    one = F.explode(F.arrays_zip(F.col("found").alias("match"), F.col("start"), F.expr("slice(pieces, 1, size(found)) as before"), F.expr("slice(pieces, 2, size(found)) as after")))
     rows = hit.select(*[f"kept_{c}" for c in keep], "path", one.alias("c")).select(*[F.col(f"kept_{c}").alias(c) for c in keep], "path", "c.match", "c.start", F.right("c.before", F.lit(NEAR)).alias("before"), F.left("c.after", F.lit(NEAR)).alias("after"))
     rule = F.coalesce(*[F.when(F.col("match").rlike(f"^(?:{p})$"), F.lit(r)) for r, p in RULES.items()], F.lit("assignment"))
     return rows.withColumn("rule", rule).withColumn("value", F.regexp_replace("match", _NAME, ""))
 
 
-def with_features(found: DataFrame) -> DataFrame:
+def with_features(found: DataFrame, words: list[str]) -> DataFrame:
     """Length; transitions between character classes and between vowels and consonants; share of distinct, digit,
-    upper-case and repeated characters; share covered by dictionary words; path; neighbouring words; rule."""
+    upper-case and repeated characters; shares covered by placeholder words and by runs of letters that are words of the
+    dictionary; path; neighbouring words; rule."""
     v, low, n = F.col("value"), F.lower("value"), F.greatest(F.length("value"), F.lit(1))
     count = lambda s, p: F.regexp_count(s, F.lit(p)) / n
     near = F.concat_ws(" ", "before", F.expr("substring_index(match, value, 1)"), "after")
+    known = F.filter(F.array_distinct(F.regexp_extract_all(low, F.lit(r"[a-z]{4,}"), F.lit(0))), lambda w: w.isin(words))
     out = {
         "f_length": F.least(n, F.lit(200)).cast("double"),
         "f_classes": count(v, r"(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]"),
@@ -74,7 +113,8 @@ def with_features(found: DataFrame) -> DataFrame:
         "f_digits": count(v, r"[0-9]"),
         "f_upper": count(v, r"[A-Z]"),
         "f_repeats": count(v, r"(.)\1"),
-        "f_dictionary": 1 - F.length(F.regexp_replace(low, PLACEHOLDER, "")) / n,
+        "f_placeholder": 1 - F.length(F.regexp_replace(low, PLACEHOLDER, "")) / n,
+        "f_dictionary": F.aggregate(known, F.lit(0), lambda a, w: a + F.length(w)) / n,
         "f_path": F.col("path").rlike(TEST_PATH).cast("double"),
         "f_in_path": (F.col("before").rlike(r"[/\\.][^\s]*$") | v.rlike(r"^[./~]|[/\\].*[/\\]|\.(txt|md|html|json|xml|py|js)$")).cast("double"),
         "f_secret_words": F.least(F.regexp_count(near, F.lit(SECRET_WORDS)), F.lit(3)).cast("double"),
@@ -84,12 +124,14 @@ def with_features(found: DataFrame) -> DataFrame:
     return found.withColumns(out)
 
 
-def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """(text, path, label): n lines with one finding each, half of them secrets, made from the row number alone.
+def labelled_findings(spark: SparkSession, n: int = 4000, words: list[str] | None = None) -> DataFrame:
+    """(text, path, label, kind): n lines with one finding each, half of them secrets, made from the row number alone.
 
     Secrets are random strings of the published formats; the others are placeholders, code, paths, documentation
-    keys, and hashes that stand beside words such as commit or checksum.
+    keys, hashes that stand beside words such as commit or checksum, and names put together from words of the dictionary.
+    kind numbers the form of a line, so that a test can hold whole forms back.
     """
+    words = words or ["lantern", "meadow", "copper", "window", "harbour", "morning", "garden", "silver"]
     rows = spark.range(0, n, 1, 4)
     hexes = lambda salt, k: F.substring(F.concat(F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256), F.sha2(F.concat(F.lit(salt + "+"), F.col("id").cast("string")), 256)), 1, k)
     b64 = lambda salt, k: F.substring(F.regexp_replace(F.base64(F.unhex(hexes(salt, 96))), r"[+/=]", ""), 1, k)
@@ -117,6 +159,8 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         F.concat(name, eq, q, F.lit("eyJ"), b64("t", 20), F.lit(".eyJ"), b64("u", 64), b64("v", 64), F.lit("."), b64("x", 43), q),
         F.concat(pick("hexname", ["auth ", "private key ", "signing secret ", "login credential "]), hexes("y", 64)),
         F.concat(pick("hexname", ["auth ", "private key ", "signing secret ", "login credential "]), F.upper(hexes("z", 128))),
+        F.concat(pick("vendor", ["sk-proj-", "sk-ant-", "npm_", "glpat-", "hf_", "pypi-", "dop_v1_", "SG."]), b64("aa", 40)),
+        F.concat(F.lit("github_pat_"), b64("bb", 22), F.lit("_"), b64("cc", 40)),
     ]
     harmless = [
         F.concat(name, eq, q, pick("p", ["changeme", "your_password_here", "example", "xxxxxxxx", "********", "placeholder", "test1234", "password", "insert-token-here", "********************", "dummy_value", "none-required"]), q),
@@ -129,44 +173,59 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         F.concat(F.lit("https://user:password@"), F.lit("example.com/path")),
         F.concat(name, eq, pick("plain", ["required", "remember", "mandatory", "correct", "invalid", "forgotten", "everyone", "something"])),
         F.concat(F.lit("sk_test_"), F.lit("xxxxxxxxxxxxxxxxxxxx")),
+        F.concat(name, eq, q, pick("word1", words), pick("join", ["_", "-", ".", ""]), pick("word2", words), q),
+        F.concat(name, eq, q, pick("word3", words), pick("join2", ["_", "-", " "]), pick("num", ["1", "22", "v2"]), q),
     ]
     label = F.pmod(F.col("id"), F.lit(2))
     at = F.pmod(F.xxhash64(F.lit("kind"), "id"), F.lit(1000))
     line = F.when(label == 1, F.element_at(F.array(*secrets), (F.pmod(at, F.lit(len(secrets))) + 1).cast("int"))).otherwise(F.element_at(F.array(*harmless), (F.pmod(at, F.lit(len(harmless))) + 1).cast("int")))
     where = F.when((label == 0) & (F.pmod(at, F.lit(7)) == 0), F.lit("tests/fixtures/keys.py")).otherwise(blank)
-    return rows.select("id", around(line).alias("text"), where.alias("path"), label.cast("double").alias("label"))
+    kind = F.when(label == 1, F.pmod(at, F.lit(len(secrets)))).otherwise(F.pmod(at, F.lit(len(harmless))) + 100)
+    return rows.select("id", around(line).alias("text"), where.alias("path"), label.cast("double").alias("label"), kind.alias("kind"))
 
 
-def fit(findings: DataFrame, trees: int = 24, depth: int = 7) -> RandomForestClassificationModel:
-    """A forest on labelled findings (text, path, label); lines without a candidate teach nothing."""
-    found = with_features(candidates(findings, "label", path="path"))
+def fit(findings: DataFrame, words: list[str] | None = None, trees: int = 24, depth: int = 7) -> Forest:
+    """A forest on labelled findings (text, path, label) and a dictionary; lines without a candidate teach nothing."""
+    words = words or []
+    found = with_features(candidates(findings, "label", path="path"), words)
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found).select("features", "label")
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, subsamplingRate=0.8, seed=7, cacheNodeIds=False).fit(rows)
+    return Forest(RandomForestClassifier(numTrees=trees, maxDepth=depth, subsamplingRate=0.8, seed=7, cacheNodeIds=False).fit(rows), words)
+
+
+def learn(docs: DataFrame) -> Forest:
+    """The forest for docs: its dictionary from all of their texts, its findings labelled by rule. Tables without texts have
+    an empty dictionary."""
+    words = dictionary(docs)
+    return fit(labelled_findings(docs.sparkSession, words=words[:: max(1, len(words) // 200)]), words)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, *keep: str, path: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, forest: Forest, *keep: str, path: str | None = None) -> DataFrame:
     """(keep..., rule, start, match, value, score, is_secret) of every candidate in docs; start counts code points.
 
     score is the forest's probability of a secret. A null or empty text has no candidates; repeated rows are scanned
-    each; extra columns are ignored; an empty table gives no rows. Texts are read whole.
+    each; extra columns are ignored; an empty table gives no rows. Texts are read whole, in time by their length and
+    number of candidates.
     """
-    found = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(candidates(docs, *keep, path=path)))
-    scored = model.transform(found).withColumn("score", vector_to_array("probability")[1])
+    found = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(candidates(docs, *keep, path=path), forest.words))
+    scored = forest.model.transform(found).withColumn("score", vector_to_array("probability")[1])
     return scored.select(*keep, "rule", "start", "match", "value", "score", (F.col("score") >= THRESHOLD).alias("is_secret"))
 
 
-def redact(docs: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
-    """docs with every occurrence of a text's confirmed secrets replaced by [SECRET]; n_chars follows. All rows stay.
+def redact(docs: DataFrame, forest: Forest) -> DataFrame:
+    """docs with every occurrence of a text's confirmed secrets replaced by [SECRET]; n_chars follows. All rows stay, and all
+    columns, whatever their names.
 
-    Secrets come back to their texts by doc_id and a hash of the text, so repeated ids keep apart.
+    Secrets come back to their texts by doc_id and a hash of the text, so repeated ids keep apart. The longest secret goes
+    first, as one may hold another. Null and empty texts have no secrets. Texts are read whole; the time of a text grows
+    with its length times its distinct secrets.
     """
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    found = scan(keyed.withColumn("_id", column(docs, "doc_id", "long")), model, "_id", "_text_hash").filter("is_secret")
-    values = found.groupBy("_id", "_text_hash").agg(F.collect_set("value").alias("values"))
-    values = values.select(F.col("_id").alias("_of"), F.col("_text_hash").alias("_hash"), F.array_sort("values", lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0)).alias("_values"))
-    joined = keyed.join(values, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    text: Column = F.when(F.col("_values").isNotNull(), F.aggregate("_values", F.col("text"), lambda t, v: F.replace(t, v, F.lit("[SECRET]")))).otherwise(F.col("text"))
-    joined = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_values").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return joined.select(*docs.columns)
+    key = F.coalesce(column(docs, "doc_id", "long"), F.lit(-(2**63)))
+    text_of = column(docs, "text", "string")
+    found = scan(docs.select(key.alias("key"), F.xxhash64(text_of).alias("hash"), text_of.alias("text")), forest, "key", "hash").filter("is_secret")
+    longest = lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0)
+    values = found.groupBy("key", "hash").agg(F.array_sort(F.collect_set("value"), longest).alias("values"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), F.xxhash64(text_of).alias("hash")).join(values, ["key", "hash"], "left")
+    hit = F.col("values").isNotNull()
+    clean = F.aggregate("values", F.col("row.text"), lambda t, v: F.replace(t, v, F.lit("[SECRET]")))
+    changed = {"text": clean, "n_chars": F.length(clean)}
+    return rows.select(*[F.when(hit, changed[c].cast(docs.schema[c].dataType)).otherwise(F.col("row")[c]).alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])

@@ -15,12 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import U64, Words, column, mix64, text_chunks
 
-#: Labelled documents of each class that training reads, at most.
-SAMPLE = 700
-WINDOW, STRIDE = 24, 16
+#: Labelled documents of each class that training reads, at most, and the bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 800, 1 << 23
+#: Words of a window, and how far the next one begins: windows overlap by half, and the last one ends with the text, so
+#: every run of 12 words lies whole in some window.
+WINDOW, STRIDE = 24, 12
 WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 13, 1 << 14, 6, 10, 8
 
 
@@ -81,7 +84,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 class Network:
     """Parameters p: E, C embeddings; W, b input and U recurrent weights of both directions (gates r, z, n); attention
-    A, a; output o, c. cal: slope and shift that turn a text's top window logit into its own."""
+    A, a; output o, c. cal: slope and shift that turn a text's top window logit into its own. only: the score of every
+    text, where one class of labels or none was there to learn from."""
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
@@ -89,6 +93,7 @@ class Network:
         init = lambda *s, scale=0.2: (r.standard_normal(s) * scale).astype(np.float32)
         self.p = {"E": init(WORD_ROWS, WORD_DIM, scale=0.05), "C": init(CHAR_ROWS, CHAR_DIM, scale=0.3), "W": init(d, 6 * h), "b": np.zeros(6 * h, np.float32), "Uf": init(h, 3 * h, scale=0.3), "Ub": init(h, 3 * h, scale=0.3), "A": init(2 * h, h), "a": init(h), "o": init(2 * h), "c": np.zeros(1, np.float32)}
         self.cal = (1.0, 0.0)
+        self.only: float | None = None
 
     def embed(self, v: Vocabulary) -> np.ndarray:
         chars = np.add.reduceat(self.p["C"][v.grams], v.first, axis=0) / np.sqrt(v.count)[:, None].astype(np.float32) if len(v.first) else np.empty((0, CHAR_DIM), np.float32)
@@ -214,21 +219,18 @@ def telling_windows(w: Words, labels: np.ndarray, doc: np.ndarray, first: np.nda
 def train(texts: list[str], labels: list[int], seed: int = 7, steps: tuple[int, ...] = (140, 120, 100), batch: int = 192) -> Network:
     """Multiple-instance training. Every window of a clean text is clean. Of each toxic text, the first pass takes the
     windows whose most telling word stands out; later passes those that the network itself scores within reach of its
-    best. Word embeddings are dropped at random, so that characters must carry words of few labels."""
+    best. Word embeddings are dropped at random, so that characters must carry words of few labels. Texts without words teach
+    nothing; where the others are of one class, every text is held to be of that class, and clean where there are none."""
     net, rng = Network(seed), np.random.default_rng(seed)
-    col = pa.array(texts, pa.large_string())
-    parts = list(text_chunks(col, 1 << 62))
-    if not parts or len(set(labels)) < 2:
-        return net
-    w = Words(parts[0][2], parts[0][3], lower=True)
-    if not len(w.hash):
-        return net
-    v, inverse = vocabulary(w)
-    doc, first, size = windows(w.count)
-    y = np.asarray(labels)[doc]
+    parts = list(text_chunks(pa.array(texts, pa.large_string()), 1 << 62))
+    w = Words(parts[0][2], parts[0][3], lower=True) if parts else None
+    doc, first, size = windows(w.count) if w else (np.empty(0, np.int64),) * 3
+    y = np.asarray(labels, np.int64)[doc]
     clean, toxic = np.flatnonzero(y == 0), np.flatnonzero(y == 1)
     if not len(clean) or not len(toxic):
+        net.only = float(len(toxic) > 0)
         return net
+    v, inverse = vocabulary(w)
     telling = telling_windows(w, np.asarray(labels), doc[toxic], first[toxic], size[toxic])
     chosen = toxic[telling >= np.minimum(_top(doc[toxic], telling, len(labels))[doc[toxic]], 0.8 * np.median(_top(doc[toxic], telling, len(labels))[np.unique(doc[toxic])]))]
     adam, hard = _Adam(net.p, 0.01), clean
@@ -283,37 +285,49 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return 1.0, -float(edge(gap))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Network:
-    """Trains on per_class documents of each class at most, chosen by hash of doc_id; only those texts are fetched, into
-    the one task that trains, and only the network comes to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Network:
+    """Trains on per_class documents of each class and most_bytes of their texts at most, chosen by hash of doc_id. Only
+    those texts are fetched, into the one task that trains, and only the network comes to the driver.
+
+    A document with labels of both classes counts as toxic; null labels and null ids teach nothing. Of rows that repeat a
+    doc_id the text of the least hash is read. A text that would pass the bytes is passed over. See train for missing classes.
+    """
     known = labels.filter(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids: list[tuple[int, int]] = []
     for label in (0, 1):
         ids += [(r[0], label) for r in known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id").collect()]
     of = dict(ids)
-    if not of:
-        return Network()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted({r for b in batches for r in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())})
+        rows, left = [], {0: most_bytes, 1: most_bytes}
+        for b in batches:
+            for doc_id, text, size in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "size"))):
+                if size <= left[of[doc_id]]:
+                    left[of[doc_id]] -= size
+                    rows.append((doc_id, text))
+        rows.sort()
         net = train([r[1] for r in rows], [of[r[0]] for r in rows])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
 
-    chosen = docs.select("doc_id", "text").filter(F.col("doc_id").isin(list(of)) & F.col("text").isNotNull())
-    trained = chosen.repartition(1).mapInArrow(run, "net binary").collect()
-    return pickle.loads(bytes(trained[0][0])) if trained else Network()
+    chosen = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text")).filter(F.col("doc_id").isin(list(of)) & F.col("text").isNotNull())
+    one = chosen.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumns({"size": F.octet_length("text"), "at": F.xxhash64("doc_id")})
+    trained = one.repartition(1).sortWithinPartitions("at", "doc_id").mapInArrow(run, "net binary").collect() if of else []
+    return pickle.loads(bytes(trained[0][0])) if trained else train([], [])
 
 
 def score(docs: DataFrame, net: Network, *keep: str) -> DataFrame:
-    """(doc_id, score, predicted, windows, keep...) of every row of docs.
+    """(doc_id, score, predicted, windows) of every row of docs, and where columns to keep are named, `text` if it is one of
+    them and a struct `kept` of the others.
 
     score is 0 to 1, that of the most toxic of all overlapping windows of the whole text; a null or wordless text has
-    no window and scores 0. Repeated rows score alike; extra columns are ignored; an empty table gives no rows.
+    no window and scores 0. A network that saw one class gives every text that class (train). Repeated rows score alike;
+    columns of any name may be kept; others are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    kept = [docs[c].alias(f"kept_{c}") for c in keep if c not in ("doc_id", "text")]
+    others = [c for c in keep if c != "text"]
+    kept = [F.struct(*[docs[c] for c in others]).alias("kept")] if others else []
     docs = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"), *kept)
-    extra = [f for f in docs.schema.fields if f.name.startswith("kept_") or f.name == "text" and "text" in keep]
+    back = [f for f in docs.schema.fields if f.name == "kept" or f.name == "text" and "text" in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
@@ -322,13 +336,18 @@ def score(docs: DataFrame, net: Network, *keep: str) -> DataFrame:
                 w = Words(data, offsets, lower=True)
                 doc, first, size = windows(w.count)
                 best = np.full(j - i, -np.inf)
-                if len(doc):
+                if len(doc) and net.only is None:
                     v, inverse = vocabulary(w)
                     best = _top(doc, window_logits(net, v, inverse, first, size), j - i)
-                s = np.where(np.isfinite(best), _sigmoid(net.cal[0] * best + net.cal[1]), 0.0)
+                s = np.where(np.isfinite(best), _sigmoid(net.cal[0] * best + net.cal[1]), 0.0) if net.only is None else np.full(j - i, net.only)
                 part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array(np.bincount(doc, minlength=j - i)), *(part.column(f.name) for f in extra)], ["doc_id", "score", "windows", *(f.name for f in extra)])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array(np.bincount(doc, minlength=j - i)), *(part.column(f.name) for f in back)], ["doc_id", "score", "windows", *(f.name for f in back)])
+
+    schema = StructType([*StructType.fromDDL("doc_id long, score double, windows long").fields, *back])
+    return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
 
-    schema = "doc_id long, score double, windows long" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in extra)
-    out = docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    return out.withColumnsRenamed({f.name: f.name.removeprefix("kept_") for f in extra}) if keep else out
+def without_toxic(docs: DataFrame, net: Network) -> DataFrame:
+    """The rows of docs that net does not predict to be toxic; columns stay as they are, whatever their names."""
+    kept = score(docs, net, *docs.columns).filter("predicted = 0")
+    return kept.select(*[F.col("text").cast(docs.schema["text"].dataType) if c == "text" else F.col("kept")[c].alias(c) for c in docs.columns])
