@@ -37,6 +37,36 @@ def test_scan_spans_and_edges(spark, forest):
     assert secrets.scan(df.limit(0), forest, "doc_id").count() == 0
 
 
+def test_forms_held_back(spark):
+    """The forest judges forms of lines that it never saw: random keys as secrets, words as none."""
+    words = ["mountain", "river", "yesterday", "question", "family", "evening", "winter", "letter"]
+    lines = secrets.labelled_findings(spark, 1600, words)
+    for held, least in (([1, 105], 0.9), ([4, 16, 110], 0.9), ([2, 13, 111], 0.9)):
+        forest = secrets.fit(lines.filter(~F.col("kind").isin(held)), words)
+        got = secrets.scan(lines.filter(F.col("kind").isin(held)), forest, "label", path="path").groupBy("label", "is_secret").count().collect()
+        right = sum(r["count"] for r in got if (r.label == 1) == r.is_secret)
+        assert right / sum(r["count"] for r in got) >= least, held
+
+
+def test_candidates_equal_a_plain_scan(spark):
+    """Places, matches and neighbours as Python's own matcher finds them, also over more matches than one step takes."""
+    import re
+
+    key = lambda i: f"{i * 7919 + 10**38:x}".rjust(32, "a")
+    texts = ["", None, "none", f"é日 {key(1)} AKIA{'Q' * 16}", " ".join(key(i) + "é" * (i % 3) for i in range(1200)), f"password={key(5)}\n" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.doc_id, r.start, r.match) for r in secrets.candidates(df, "doc_id").orderBy("doc_id", "start").collect()]
+    plain = re.compile("|".join(p.replace("\\z", "\\Z") for p in (secrets.RULES[r] for r in ("aws-access-key-id", "hex-string"))) + r"|password=[^\s]{6,}", re.ASCII)
+    assert got == [(i, m.start(), m.group()) for i, t in enumerate(texts) for m in plain.finditer(t or "")]
+
+
+def test_dictionary_counts_documents(spark):
+    texts = ["Alpha beta alpha gamma", "beta delta", "beta alpha x1alpha", None, "", "b4db7aa4a5fcc78305"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert secrets.dictionary(df, 2) == ["alpha", "beta"] and secrets.dictionary(df) == ["alpha", "beta", "delta", "gamma"]
+    assert secrets.dictionary(df.limit(0)) == []
+
+
 def test_random_keys_are_confirmed(spark, forest):
     r = np.random.default_rng(9)
     letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
@@ -54,6 +84,10 @@ def test_redaction_keeps_rows(spark, forest):
     assert out.columns == df.columns
     got = sorted((r.doc_id or -1, r.text or "", r.n_chars or -1) for r in out.collect())
     assert got == sorted([(1, "a [SECRET] b", 12), (1, "a [SECRET] b", 12), (2, "clean", 5), (-1, "", -1), (-1, "[SECRET]", 8)])
+    clash = df.withColumns({c: F.lit(c) for c in ("_values", "_of", "_hash", "_id", "_text_hash", "values", "key", "hash", "row", "match")})
+    out = secrets.redact(clash, forest)
+    assert out.columns == clash.columns and {(r["_values"], r["key"], r["row"]) for r in out.collect()} == {("_values", "key", "row")}
+    assert secrets.redact(df.limit(0), forest).count() == 0
 
 
 def test_nothing_of_a_secret_is_left(spark, forest):
@@ -76,6 +110,10 @@ def test_nothing_of_a_secret_is_left(spark, forest):
         (f'password="{(p := of(20) + "," + of(20) + ";" + of(20))}"', p),
         (f"private key {(x := of(128, '0123456789abcdef'))}", x),
         (f"signing secret {(y := of(64, '0123456789ABCDEF'))}", y),
+        (f"github_pat_{of(22)}_{of(59)}", None),
+        (f"sk-proj-{of(48)}7", None),
+        (f"npm_{of(36)}4", None),
+        (f"glpat-{of(20)}2", None),
     ]
     df = spark.createDataFrame([(i, f"the river and {t}" + ("" if i == 2 else " then stone"), "en", "s", 0) for i, (t, _) in enumerate(planted)], DOCS)
     got = {x.doc_id: x.text for x in secrets.redact(df, forest).collect()}
@@ -114,6 +152,34 @@ def test_pipeline_filters(spark, tmp_path):
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "near-duplicates", "secrets", "mixing", "byte BPE"]
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and long texts, repeated ids, clashing columns, empty tables: through every stage and through run."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    key = "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\""
+    body = many(40, 8)
+    rows = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(body)]
+    rows += [(100, body[0], "en", "s1", 1), (100, f"{body[1]} {key}", None, None, None), (101, None, None, None, None), (101, None, None, None, None), (102, "", "en", "", 0), (None, f"{body[2]} but not quite so {key} at the end of it all, as other words come here", "en", "s1", 9), (103, "long " * 60_000 + key, "en", "s0", 1)]
+    names = ("score", "predicted", "windows", "kept", "values", "_values", "copies", "size", "row", "key", "component_id")
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(c) for c in names})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(i % 4 == 0)) for i in range(0)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d, now = str(tmp_path), docs
+    sizes = []
+    for _, stage in pipeline.STAGES[:-1]:
+        before, now = now, stage(spark, now, d)
+        assert now.columns == docs.columns and now.schema.simpleString() == docs.schema.simpleString()
+        sizes.append(now.count())
+        assert stage(spark, docs.limit(0), d).count() == 0
+        assert {r.score for r in now.collect()} == {"score"}
+    # No labels: nothing is toxic. A copy goes, all else stays; keys are gone, rows are not.
+    assert sizes[0] == sizes[1] + 1 == sizes[2] + 1 == len(rows)
+    masked = pipeline.mask_secrets(spark, docs, d).collect()
+    assert not any("04dbebab" in (r.text or "") for r in masked) and sum("[SECRET]" in (r.text or "") for r in masked) == 3
+    assert all(r.n_chars == len(r.text) for r in masked if "[SECRET]" in (r.text or ""))
+    assert pipeline.run(spark, d).count() == sizes[-1]
+
+
 def test_mixed_documents_follow_the_plan(spark):
     docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(many(90, 5))], DOCS)
     plan = {r.doc_id: r.copies for r in mixing.mix_sources(docs).collect()}
