@@ -10,29 +10,38 @@ from tallyforge.llm.common import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the network, trained on the labels, predicts to be toxic."""
+    """Without the documents that the network, trained on the labels, predicts to be toxic.
+
+    Rows are judged one by one, repeated ones alike; null and wordless texts stay; columns of any name come through; an
+    empty table stays empty. Without labels of both classes: toxicity.train.
+    """
     net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, net, *docs.columns).filter("predicted = 0").select(*docs.columns)
+    return toxicity.without_toxic(docs, net)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group linked by 5-word shingles at a similarity of 0.8."""
-    groups = neardup.near_duplicates(docs, shingle=5, percent=80, rows=6)
-    return docs.join(groups.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """One document, that of the smallest doc_id, of each group linked by 5-word shingles at a similarity of 0.8.
+
+    Texts that repeat a doc_id are documents of their own, of which exact repeats leave one; null and wordless texts stay
+    all; columns of any name come through; an empty table stays empty. Texts are compared whole.
+    """
+    return neardup.without_near_duplicates(docs, shingle=5, percent=80)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets that the forest confirms become [SECRET]; no document goes."""
-    return secrets.redact(docs, secrets.fit(secrets.labelled_findings(spark)))
+    """Secrets that the forest confirms become [SECRET], and n_chars follows; no row goes, null and empty texts stay as they
+    are, repeated rows change alike, and columns of any name come through."""
+    return secrets.redact(docs, secrets.learn(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each row as often as the mix takes it, so that sources come near their targets in words. Rows without words are taken
+    like others of their source; a null source is one of its own; columns of any name come through."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded bytes."""
+    """A row for each document: token count and digests of ids, decoded bytes and offsets. A null text has no tokens."""
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
