@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+import tallyforge.portfolio_queries  # noqa: F401
 from tallyforge.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
