@@ -124,33 +124,72 @@ def csv_guard(value: Column, chars: str = "=+@-") -> Column:
     return F.when(value.rlike(f"^[{chars.replace('-', '')}\\-]" if "-" in chars else f"^[{chars}]"), F.concat(F.lit("'"), value)).otherwise(value)
 
 
-# Licence classes from least to most restrictive, and identifiers of each.
-LICENSE_CLASSES = ["permissive", "weak-copyleft", "strong-copyleft", "network-copyleft", "proprietary"]
+# Licence classes from least to most restrictive, identifiers of each, and what their first letters or parts
+# tell of others, in order.
+LICENSE_CLASSES = ["Unknown", "Permissive", "WeakCopyleft", "StrongCopyleft", "Restricted"]
 LICENSE_IDS = {
-    "permissive": ["mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "0bsd", "zlib", "unlicense", "cc0-1.0", "bsl-1.0", "python-2.0", "ms-pl", "wtfpl", "postgresql"],
-    "weak-copyleft": ["lgpl-2.1", "lgpl-3.0", "mpl-2.0", "epl-1.0", "epl-2.0", "cddl-1.0", "ms-rl"],
-    "strong-copyleft": ["gpl-2.0", "gpl-3.0", "eupl-1.2"],
-    "network-copyleft": ["agpl-3.0", "sspl-1.0", "osl-3.0"],
-    "proprietary": ["busl-1.1", "commercial", "proprietary", "elastic-2.0"],
-}
+    "Permissive": [
+        "MIT", "MIT-0", "Apache-2.0", "Apache-1.1", "BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause-Clear", "0BSD", "ISC", "MS-PL", "Unlicense", "Zlib", "BSL-1.0",
+        "CC0-1.0", "WTFPL", "PostgreSQL", "Artistic-2.0", "Python-2.0", "X11", "CC-BY-4.0", "CC-BY-3.0", "MS-NET-Library",
+    ],
+    "WeakCopyleft": [
+        "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "LGPL-2.1", "LGPL-3.0",
+        "MPL-2.0", "MPL-1.1", "EPL-1.0", "EPL-2.0", "CDDL-1.0", "CDDL-1.1", "MS-RL", "CPL-1.0", "GPL-2.0-with-classpath-exception",
+    ],
+    "StrongCopyleft": [
+        "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0", "GPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "AGPL-3.0",
+        "CC-BY-SA-4.0", "EUPL-1.2", "OSL-3.0",
+    ],
+    "Restricted": ["SSPL-1.0", "BUSL-1.1", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "Elastic-2.0", "Commons-Clause", "JSON", "Proprietary", "LicenseRef-Proprietary"],
+}
+LICENSE_HINTS = [
+    ("StrongCopyleft", r"^(AGPL|GPL|SSPL)|CC-BY-SA"),
+    ("WeakCopyleft", r"^(LGPL|MPL|EPL|CDDL|MS-RL)"),
+    ("Restricted", r"^CC-BY.*NC"),
+    ("Permissive", r"^(BSD|MIT|APACHE|ISC|MS-PL|CC-BY-|CC0)"),
+    ("Restricted", r"PROPRIETARY|COMMERCIAL|EULA|SEE LICENSE"),
+]
+# Parts of licence addresses, in order, and the identifiers they stand for.
+LICENSE_URLS = [
+    ("opensource.org/licenses/mit", "MIT"), ("mit-license", "MIT"), ("apache.org/licenses/license-2.0", "Apache-2.0"), ("opensource.org/licenses/apache-2.0", "Apache-2.0"),
+    ("opensource.org/licenses/bsd-3", "BSD-3-Clause"), ("opensource.org/licenses/bsd-2", "BSD-2-Clause"), ("opensource.org/licenses/isc", "ISC"), ("opensource.org/licenses/ms-pl", "MS-PL"),
+    ("opensource.org/licenses/ms-rl", "MS-RL"), ("gnu.org/licenses/lgpl", "LGPL-3.0"), ("gnu.org/licenses/agpl", "AGPL-3.0"), ("gnu.org/licenses/gpl", "GPL-3.0"), ("gnu.org/licenses/old-licenses/gpl-2.0", "GPL-2.0"),
+    ("mozilla.org/mpl/2.0", "MPL-2.0"), ("eclipse.org/legal/epl", "EPL-1.0"), ("creativecommons.org/publicdomain/zero", "CC0-1.0"), ("unlicense.org", "Unlicense"),
+    ("dotnet/corefx/blob/master/license", "MIT"), ("dotnet/runtime/blob/main/license", "MIT"), ("jamesnk/newtonsoft.json", "MIT"), ("newtonsoft.json/master/license", "MIT"),
+    ("automapper/blob/master/license", "MIT"), ("dapper/blob/master/license", "Apache-2.0"), ("serilog/blob/master/license", "Apache-2.0"), ("nlog/blob/master/license", "BSD-3-Clause"),
+    ("go.microsoft.com/fwlink/?linkid=329770", "MS-NET-Library"), ("go.microsoft.com/fwlink/?linkid=320539", "MS-NET-Library"), ("go.microsoft.com/fwlink/?linkid=214339", "MS-NET-Library"),
+    ("go.microsoft.com/fwlink/?linkid=262998", "MS-NET-Library"), ("microsoft.com/web/webpi/eula", "Proprietary"), ("licenses.nuget.org/", "nuget-license-url"),
+]
+
+
+def license_from_url(url: Column) -> Column:
+    u = F.lower(F.trim(url))
+    return ladder([(u.contains(part), name) for part, name in LICENSE_URLS])
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(F.trim(text), r"^[()]+|[()]+$", "")
 
 
 def license_rank(identifier: Column) -> Column:
-    """Rank of one identifier, or null. -only, -or-later and + say nothing of the class."""
-    i = F.regexp_replace(F.regexp_replace(F.lower(F.trim(identifier)), r"[()]", ""), r"(-only|-or-later|\+)$", "")
-    known = ladder([(i.isin(ids), LICENSE_CLASSES.index(c)) for c, ids in LICENSE_IDS.items()])
-    prefix = ladder([(i.startswith("agpl"), 3), (i.startswith("lgpl"), 1), (i.startswith("gpl"), 2), (i.startswith("mpl"), 1), (i.startswith("bsd"), 0), (i.startswith("apache"), 0), (i.startswith("mit"), 0)])
-    return F.coalesce(known, prefix)
+    """Place of one identifier's class in LICENSE_CLASSES, 0 for an unknown one."""
+    i = F.upper(_bare(F.regexp_replace(identifier, r"(?i) WITH Classpath-exception-2\.0", "-with-classpath-exception")))
+    known = [(i.isin([x.upper() for x in ids]), LICENSE_CLASSES.index(c)) for c, ids in LICENSE_IDS.items()]
+    return ladder([*known, *((i.rlike(p), LICENSE_CLASSES.index(c)) for c, p in LICENSE_HINTS)], 0)
 
 
 def license_class(expression: Column) -> Column:
     """OR takes the least restrictive known part; AND the most restrictive, and is unknown if any part is."""
-    alternatives = F.split(expression, r"(?i)\s+or\s+")
-    rank_of = lambda part: (
-        F.transform(F.split(F.regexp_replace(part, r"(?i)\s+with\s+\S+", ""), r"(?i)\s+and\s+"), license_rank)
-    )
-    ranks = F.transform(alternatives, lambda a: F.when(~F.exists(rank_of(a), lambda r: r.isNull()), F.array_max(rank_of(a))))
-    return F.coalesce(F.try_element_at(F.array(*map(F.lit, LICENSE_CLASSES)), F.array_min(ranks) + 1), F.lit("unknown"))
+    some = lambda x: F.filter(x, lambda p: F.trim(p) != "")
+    ranks_of = lambda part: F.transform(some(F.split(_bare(part), r"(?i)\s+and\s+")), license_rank)
+
+    def joined(part: Column) -> Column:
+        ranks = ranks_of(part)
+        return F.when(F.array_min(ranks) > 0, F.array_max(ranks)).otherwise(0)
+
+    ranks = F.filter(F.transform(some(F.split(_bare(expression), r"(?i)\s+or\s+")), joined), lambda r: r > 0)
+    least = F.coalesce(F.array_min(ranks), F.lit(0))
+    return F.when(expression.isNull(), "Unknown").otherwise(F.element_at(F.array(*map(F.lit, LICENSE_CLASSES)), least + 1))
 
 
 def cvss3_score(vector: Column) -> Column:
@@ -173,28 +212,29 @@ def cvss_severity(score: Column) -> Column:
     return ladder([(score >= 9, 4), (score >= 7, 3), (score >= 4, 2), (score > 0, 1)], 0)
 
 
-# Groups of personal-data words, the first that matches wins.
-SENSITIVE_WORDS = {
-    "credential": ["password", "passwd", "pwd", "secret", "pin", "token", "apikey"],
-    "financial": ["iban", "card", "cvv", "account", "salary", "bank"],
-    "health": ["diagnosis", "medical", "patient", "health", "allergy"],
-    "national-id": ["ssn", "tckn", "passport", "nationalid", "identity"],
-    "contact": ["email", "phone", "mobile", "address", "zip", "postal"],
-    "personal": ["birth", "birthdate", "gender", "firstname", "lastname", "surname", "dob"],
-}
+# Categories of personal data in order, with the words of a name that tell of them, and parts of the whole name
+# without its breaks. The first category that fits wins.
+SENSITIVE_NAMES = {
+    "identifier": (["cpf", "cnpj", "rg", "ssn", "nis", "pis", "cnh", "passport", "passaporte", "nif", "nie"], ["socialsecurity", "nationalid", "taxid", "tituloeleitor", "documentoidentidade"]),
+    "contact": (["email", "phone", "telefone", "celular", "whatsapp", "cep", "zipcode", "postalcode", "logradouro", "endereco"], ["emailaddress", "phonenumber", "mobilephone", "streetaddress", "homeaddress", "residentialaddress"]),
+    "financial": (["cvv", "cvc", "iban", "salary", "salario", "renda", "income", "pan"], ["creditcard", "cartaocredito", "cartaodecredito", "cardnumber", "numerocartao", "bankaccount", "contabancaria", "contacorrente", "numeroconta"]),
+    "health": (["diagnostico", "diagnosis", "prontuario", "doenca", "disease", "alergia", "allergy", "deficiencia", "disability", "cid"], ["medicalrecord", "healthcondition", "bloodtype", "tiposanguineo", "medicalhistory", "historicomedico", "planodesaude", "healthplan"]),
+    "credential": (["password", "senha", "passwd", "pwd"], ["secretanswer", "securityanswer", "passwordhash", "senhahash"]),
+    "birth": (["dob", "nascimento", "birthdate", "birthday"], ["datanascimento", "dateofbirth", "datadenascimento"]),
+}
 
 
 def name_words(name: Column) -> Column:
-    """Words of a camel- or snake-case name in lower case, and neighbours joined in twos."""
-    spaced = F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1 $2"), r"[^A-Za-z0-9]+", " ")
-    parts = F.filter(F.split(F.lower(F.trim(spaced)), " "), lambda w: w != "")
-    pairs = F.zip_with(parts, F.slice(parts, 2, 1000), lambda a, b: F.concat(a, b))
-    return F.concat(parts, F.filter(pairs, lambda p: p.isNotNull()))
+    """Words of a camel-, snake- or dash-case name in lower case."""
+    plain = F.regexp_replace(F.regexp_replace(name, "[_-]", " "), r"^[\[\]\"`]+|[\[\]\"`]+$", "")
+    spaced = F.regexp_replace(plain, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
+    return F.filter(F.split(F.lower(spaced), " "), lambda w: w != "")
 
 
 def sensitive_category(name: Column) -> Column:
     words = name_words(name)
-    return ladder([(F.arrays_overlap(words, F.array(*map(F.lit, w))), c) for c, w in SENSITIVE_WORDS.items()])
+    whole = F.array_join(words, "")
+    return ladder([(F.arrays_overlap(words, F.array(*map(F.lit, tokens))) | whole.rlike("|".join(parts)), c) for c, (tokens, parts) in SENSITIVE_NAMES.items()])
 
 
 # Shapes of secrets in snippets, and what stands for them: those of the surveyed redactor, whose names, key
@@ -209,9 +249,11 @@ REDACTIONS = [
 
 
 def redact(text: Column) -> tuple[Column, Column]:
-    """(text without secrets, how many were replaced)."""
-    count = F.lit(0)
+    """(text without secrets, how many were replaced). Most texts hold none, which one pass tells; others take a pass to
+    count and one to replace for each shape."""
+    hit = text.rlike("|".join(f"(?:{pattern})" for pattern, _ in REDACTIONS))
+    count, out = F.lit(0), text
     for pattern, by in REDACTIONS:
-        count = count + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, by)
-    return text, count
+        count = count + F.regexp_count(out, F.lit(pattern))
+        out = F.regexp_replace(out, pattern, by)
+    return F.when(hit, out).otherwise(text), F.when(hit, count).when(text.isNotNull(), 0)

@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import cut
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Writes to the shared folder and reads back, so that rounds don't pile up lineage."""
-    spark = df.sparkSession
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        d = spark.sparkContext.getCheckpointDir()
-    path = f"{d.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut(df, "graph")
 
 
 def reachable(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -49,13 +40,57 @@ def reachable_from(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: st
         seen = _cut(seen.unionByName(frontier))
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those that no cycle can hold: into nodes that nothing leaves, or out of nodes that nothing enters."""
+    n = edges.count()
+    while n:
+        inner = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        inner = _cut(inner.select("src", "dst"))
+        now = inner.count()
+        if now == n:
+            break
+        edges, n = inner, now
+    return edges
+
+
+def _least_before(edges: DataFrame) -> DataFrame:
+    """(node, color): the least node from which each node can be reached, itself included."""
+    color = _cut(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("color", F.col("node")))
+    while True:
+        passed = edges.join(color, edges.src == color.node).groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("new"))
+        new = _cut(color.join(passed, "node", "left").select("node", F.least("color", F.coalesce("new", "color")).alias("color"), (F.col("new") < F.col("color")).alias("moved")))
+        color = new.select("node", "color")
+        if not new.filter("moved").take(1):
+            return color
+
+
 def cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(component, node) of strongly connected components of two nodes or more; component is the least node."""
-    paths = reachable(edges, src, dst)
-    mutual = paths.alias("a").join(paths.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select("a.src", "a.dst")
-    labels = mutual.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("component"))
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return labels.join(sizes, "component").select("component", "node")
+    """(component, node) of strongly connected components of two nodes or more; component is the least node.
+
+    Each round colours every node by the least node before it; what can go back to the node that gave the colour, within
+    the colour, is that node's component, and leaves the graph. A table holds one row a node or an edge at any time, never
+    all pairs.
+    """
+    rest = _cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src <> dst").distinct())
+    found = []
+    while True:
+        rest = _trimmed(rest)
+        if not rest.take(1):
+            break
+        color = _least_before(rest)
+        within = rest.join(color.select(F.col("node").alias("src"), F.col("color").alias("c")), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("c")), ["dst", "c"]).select("src", "dst")
+        within = _cut(within)
+        seen = _cut(reachable_from(within, color.filter("node = color").select("node"), "dst", "src"))
+        found.append(color.join(seen, "node").select(F.col("color").alias("component"), "node"))
+        rest = _cut(rest.join(seen.select(F.col("node").alias("src")), "src", "left_anti").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    if not found:
+        return edges.select(F.col(src).alias("component"), F.col(src).alias("node")).limit(0)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    out = _cut(out)
+    sizes = out.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("component")
+    return out.join(sizes, "component").select("component", "node")
 
 
 def degrees(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

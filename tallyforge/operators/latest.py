@@ -31,17 +31,15 @@ def day_spine(df: DataFrame, start: Column, end: Column, step: str = "1 day", na
 def as_of(facts: DataFrame, cuts: DataFrame, keys: list[str], at: str, cut: str, *columns: str) -> DataFrame:
     """For each key and cut, the columns of the newest fact with at <= cut.
 
-    Each fact is first placed in the interval of the cut that follows it, so a key keeps one row for each cut (the
-    facts themselves shuffle once, on the key, combined by max_by); an ordered window then carries the newest forward.
-    cuts is a small table of distinct values.
+    Facts and the cuts of each key form one table, ordered by time within the key, cuts behind facts of the same moment; a
+    window carries the newest fact forward. The rows of cuts are those of the result, and the ones before a key's first fact.
     """
-    ordered = cuts.select(F.array_sort(F.collect_set(cut)).alias("_cuts"))
-    placed = facts.crossJoin(F.broadcast(ordered)).withColumn("_cut", F.try_element_at(F.filter("_cuts", lambda c: c >= F.col(at)), F.lit(1))).filter("_cut is not null")
-    held = placed.groupBy(*keys, F.col("_cut").alias(cut)).agg(F.max_by(F.struct(*columns), at).alias("_row"))
-    grid = facts.select(*keys).distinct().crossJoin(F.broadcast(cuts.select(cut).distinct()))
-    w = Window.partitionBy(*keys).orderBy(cut)
-    out = grid.join(held, [*keys, cut], "left").withColumn("_row", F.last("_row", ignorenulls=True).over(w)).filter("_row is not null")
-    return out.select(*keys, cut, *[F.col(f"_row.{c}").alias(c) for c in columns])
+    row = F.struct(*columns)
+    marks = facts.select(*keys).distinct().crossJoin(cuts.select(F.col(cut).alias("_at")).distinct())
+    both = facts.select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_cut"), row.alias("_row")).unionByName(marks.select(*keys, "_at", F.lit(1).alias("_cut"), F.lit(None).cast(facts.select(row.alias("r")).schema["r"].dataType).alias("_row")))
+    w = Window.partitionBy(*keys).orderBy("_at", "_cut")
+    held = both.withColumn("_row", F.last("_row", ignorenulls=True).over(w)).filter("_cut = 1 and _row is not null")
+    return held.select(*keys, F.col("_at").alias(cut), *[F.col(f"_row.{c}").alias(c) for c in columns])
 
 
 def distinct_ordered(df: DataFrame, value: str, ordinal: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ladder
+from ..operators.store import cut
 
 # Fixed values of the scoring model: points by severity, dimensions with weights and categories, risk bands.
 POINTS = {4: 15, 3: 8, 2: 3, 1: 1, 0: 0}
@@ -75,12 +76,17 @@ def benchmark(scores: DataFrame, key: str, value: str) -> DataFrame:
 def percentile_rank(scores: DataFrame, value: str) -> DataFrame:
     """scores with pct_rank, the midpoint rank of 0 to 100; ties count half.
 
-    Distinct values are counted first; only those, not the rows, pass the window.
+    Distinct values are counted and dealt out by range; each range is ordered by itself, and a row a range tells how many
+    rows lie in the ranges before it.
     """
-    per = scores.groupBy(value).agg(F.count(F.lit(1)).alias("_ties"))
-    below = F.coalesce(F.sum("_ties").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    everything = F.sum("_ties").over(Window.partitionBy())
-    ranked = per.select(value, F.bround((below + F.col("_ties") / 2) * 100.0 / everything).cast("int").alias("pct_rank"))
+    n = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per = scores.groupBy(value).agg(F.count(F.lit(1)).alias("_ties")).repartitionByRange(n, value)
+    per = cut(per.withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = per.groupBy("_range").agg(F.sum("_ties").alias("_n"))
+    everything = F.sum("_n").over(Window.partitionBy())
+    before = totals.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"), everything.alias("_all"))
+    below = F.coalesce(F.sum("_ties").over(Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = per.withColumn("_below", below).join(before, "_range").select(value, F.bround((F.col("_before") + F.col("_below") + F.col("_ties") / 2) * 100.0 / F.col("_all")).cast("int").alias("pct_rank"))
     return scores.join(ranked, value)
 
 

@@ -58,7 +58,7 @@ def profile(findings: DataFrame, projects: DataFrame, estates: DataFrame, key: s
     proj = projects.groupBy(key).agg(
         F.count(F.lit(1)).alias("projects"), F.count_if(is_legacy(fw)).alias("legacy"), F.count_if(F.coalesce(F.trim(fw) == "", F.lit(True))).alias("unknown"),
         F.count_if(~F.col("is_sdk_style")).alias("legacy_format"), F.count_if(F.col("ui_framework").isin("WebForms", "AspNetMvc5")).alias("_web_projects"),
-        F.count_if(F.col("ui_framework").isin("WebForms", "Silverlight")).alias("no_upgrade_path"), F.count_if(F.col("ui_framework").isin("WinForms", "Wpf")).alias("desktop"),
+        F.count_if(F.col("ui_framework").isin("WebForms", "AspNetMvc5", "AspNetWebApi2", "Silverlight", "Wcf", "XamarinForms")).alias("no_upgrade_path"), F.count_if(F.col("ui_framework").isin("WinForms", "Wpf")).alias("desktop"),
     )
     df = estates.join(proj, key, "left").join(per, key, "left")
     numbers = [c for c, t in df.dtypes if t == "bigint" and c != key]

@@ -485,12 +485,12 @@ def policy_filter(spark, d):
 
 
 @query("""
-with c as (select o_orderkey as id, 'a' || (o_custkey % 3) || '/b' || (o_custkey % 5) || '/f' || o_custkey as path from orders where o_orderkey % 10 = 0),
+with c as (select o_orderkey as id, 'a' || (o_custkey % 3) || '/b' || (o_custkey % 5) || '/f' || o_custkey as path from orders),
 o as (select unnest(['a0', 'a0/b1', 'a1', 'a2/b4']) as folder)
 select id, arg_max(folder, length(folder)) as folder from c left join o on starts_with(path, folder || '/') group by 1
 """)
-def longest_prefix_owner(spark, d, rows="o_orderkey % 10 = 0"):
-    f = table(spark, d, "orders").filter(rows).select(F.col("o_orderkey").alias("id"), F.concat(F.lit("a"), (F.col("o_custkey") % 3).cast("string"), F.lit("/b"), (F.col("o_custkey") % 5).cast("string"), F.lit("/f"), F.col("o_custkey").cast("string")).alias("path"))
+def longest_prefix_owner(spark, d):
+    f = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("a"), (F.col("o_custkey") % 3).cast("string"), F.lit("/b"), (F.col("o_custkey") % 5).cast("string"), F.lit("/f"), F.col("o_custkey").cast("string")).alias("path"))
     owners = spark.createDataFrame([("a0",), ("a0/b1",), ("a1",), ("a2/b4",)], "folder string")
     return matching.longest_prefix(f, "path", owners, "folder").select("id", "folder")
 
@@ -526,12 +526,13 @@ def duplicate_blocks(spark, d):
 
 
 @query("""
-with e as (select p_partkey, ['MIT', 'MIT OR GPL-3.0-only', '(Apache-2.0 AND LGPL-2.1)', 'GPL-2.0 WITH Classpath-exception-2.0', 'Mystery', 'AGPL-3.0-or-later OR Mystery', 'MIT AND Mystery'][p_partkey % 7 + 1] as expression from part)
-select p_partkey, case expression when 'MIT' then 'permissive' when 'MIT OR GPL-3.0-only' then 'permissive' when '(Apache-2.0 AND LGPL-2.1)' then 'weak-copyleft'
-  when 'GPL-2.0 WITH Classpath-exception-2.0' then 'strong-copyleft' when 'AGPL-3.0-or-later OR Mystery' then 'network-copyleft' else 'unknown' end as class from e
+with e as (select p_partkey, ['MIT', 'MIT OR GPL-3.0-only', '(Apache-2.0 AND LGPL-2.1)', 'GPL-2.0 WITH Classpath-exception-2.0', 'Mystery', 'AGPL-3.0-or-later OR Mystery', 'MIT AND Mystery', 'SSPL-1.0 and MIT', 'see license in EULA.txt', 'CC-BY-NC-2.5', 'gpl-1.0+'][p_partkey % 11 + 1] as expression from part)
+select p_partkey, case expression when 'MIT' then 'Permissive' when 'MIT OR GPL-3.0-only' then 'Permissive' when '(Apache-2.0 AND LGPL-2.1)' then 'WeakCopyleft'
+  when 'GPL-2.0 WITH Classpath-exception-2.0' then 'WeakCopyleft' when 'AGPL-3.0-or-later OR Mystery' then 'StrongCopyleft' when 'SSPL-1.0 and MIT' then 'Restricted' when 'see license in EULA.txt' then 'Restricted'
+  when 'CC-BY-NC-2.5' then 'Restricted' when 'gpl-1.0+' then 'StrongCopyleft' else 'Unknown' end as class from e
 """)
 def license_classify(spark, d):
-    e = F.element_at(F.array(*map(F.lit, ["MIT", "MIT OR GPL-3.0-only", "(Apache-2.0 AND LGPL-2.1)", "GPL-2.0 WITH Classpath-exception-2.0", "Mystery", "AGPL-3.0-or-later OR Mystery", "MIT AND Mystery"])), (F.col("p_partkey") % 7 + 1).cast("int"))
+    e = F.element_at(F.array(*map(F.lit, ["MIT", "MIT OR GPL-3.0-only", "(Apache-2.0 AND LGPL-2.1)", "GPL-2.0 WITH Classpath-exception-2.0", "Mystery", "AGPL-3.0-or-later OR Mystery", "MIT AND Mystery", "SSPL-1.0 and MIT", "see license in EULA.txt", "CC-BY-NC-2.5", "gpl-1.0+"])), (F.col("p_partkey") % 11 + 1).cast("int"))
     return table(spark, d, "part").select("p_partkey", scalar.license_class(e).alias("class"))
 
 
@@ -560,31 +561,31 @@ def line_of_offset(spark, d):
 
 
 @query("""
-with recursive e as (select distinct l_suppkey as src, l_partkey % (select count(*) from supplier) as dst from lineitem where l_orderkey % 400 = 0),
+with recursive e as (select distinct l_suppkey as src, l_partkey % (select count(*) from supplier) as dst from lineitem),
 p as (select src, dst from e union select p.src, e.dst from p join e on p.dst = e.src)
 select src, count(*) as n from p group by 1
 """)
-def graph_closure(spark, d, rows="l_orderkey % 400 = 0"):
+def graph_closure(spark, d):
     n = table(spark, d, "supplier").count()
-    e = table(spark, d, "lineitem").filter(rows).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
     return graph.reachable(e).groupBy("src").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
-with e as (select distinct l_suppkey as a, l_partkey % 50 as b from lineitem where l_orderkey % 100 = 0)
+with e as (select distinct l_suppkey as a, l_partkey % 50 as b from lineitem)
 select node, sum(o)::bigint as fan_out, sum(i)::bigint as fan_in from (select a as node, 1 as o, 0 as i from e union all select b, 0, 1 from e) group by 1
 """)
-def graph_degrees(spark, d, rows="l_orderkey % 100 = 0"):
-    e = table(spark, d, "lineitem").filter(rows).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50).alias("dst"))
+def graph_degrees(spark, d):
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50).alias("dst"))
     return graph.degrees(e)
 
 
 # Modernization
 
 
-def estates(spark, d, rows="id % 40 = 0"):
+def estates(spark, d):
     key = "assessment_id"
-    f = order_findings(spark, d).filter(rows)
+    f = order_findings(spark, d)
     rules = F.array(*map(F.lit, ["dependency.migration-blocker.mb-002", "dependency.migration-blocker.mb-006", "dependency.migration-blocker.mb-008", "quality.tests.none", "architecture.cycle.project", "dependency.package.vulnerable"]))
     f = f.select(key, F.element_at(rules, (F.col("id") / 40 % 6 + 1).cast("int")).alias("rule_id"), "category", "severity", F.col("file").alias("file_path"), F.lit(None).cast("map<string,string>").alias("data"))
     n = table(spark, d, "nation").select(F.col("n_name").alias(key), F.col("n_nationkey").cast("long").alias("k"))
@@ -595,7 +596,7 @@ def estates(spark, d, rows="id % 40 = 0"):
 
 ESTATES = f"""
 with {FINDINGS},
-x as (select assessment_id, category, severity, file, (id // 40) % 6 as r from f where id % 40 = 0),
+x as (select assessment_id, category, severity, file, (id // 40) % 6 as r from f),
 g as (select assessment_id, count(*) filter (r = 0) as pre, count(*) filter (r = 2) as high, count(*) filter (r = 1) as medium, count(distinct case when r < 3 then r end) as rules, count(distinct case when r < 3 then file end) as files,
   count(*) filter (category = 'Security' and severity = 4) as c4, count(*) filter (category = 'Security' and severity = 3) as c3, count(*) filter (category = 'Security' and severity = 2) as c2,
   count(*) filter (r = 3) = 0 as tests, count(*) filter (r = 4) as cycles, count(*) filter (r = 5) as packages, count(*) filter (r = 1) > 0 as ef6 from x group by 1),
@@ -606,34 +607,77 @@ q as (select n.*, (k * 20000 + 5000)::bigint as loc, k / 2 as cx, projects - (pr
 """
 
 
-@query(ESTATES + """
-select assessment_id, greatest(0, least(100, 20 + case when legacy = 0 then 55 else -20 end + case when c4 + c3 = 0 then 10 else 0 end + case when rules = 0 then 10 else 0 end))::int as keep,
-  greatest(0, least(100, 30 + case when legacy > 0 then 25 else 0 end + case when high = 0 then 30 else -least(40, 10 * 1 + high // 5 * 5) end + case when loc < 150000 then 10 else 0 end - case when tests then 0 else 10 end))::int as upgrade,
-  greatest(0, least(100, 40 + case when legacy > 0 then 15 else 0 end + case when high > 0 then 20 else 0 end + case when projects between 5 and 60 then 15 else 0 end + case when tests then 10 else 0 end + case when cycles > 0 then 5 else 0 end))::int as incremental
-from q
+FITS = """
+, t as (select *, high > 0 as has_high, high > 0 as wcf, c4 + c3 > 0 as debt, not tests as deficit from q),
+fits as (
+  select assessment_id, 'KeepStabilize' as strategy, 0 as place, 20 + case when legacy = 0 then 55 else -20 end + case when debt then 0 else 10 end + case when rules = 0 then 10 else 0 end as fit,
+    case when legacy > 0 then 2 when debt then 1 else 0 end as risk_level from t
+  union all select assessment_id, 'UpgradeInPlace', 1, 30 + case when legacy > 0 then 25 else 0 end + case when has_high then -least(40, 10 * 1 + high // 5 * 5) else 30 end + case when loc < 150000 then 10 else 0 end - case when deficit then 10 else 0 end,
+    case when has_high then 2 when deficit then 1 else 0 end from t
+  union all select assessment_id, 'Incremental', 2, 40 + case when legacy > 0 then 15 else 0 end + case when has_high then 20 else 0 end + case when projects between 5 and 60 then 15 else 0 end + case when deficit then 0 else 10 end + case when cycles > 0 then 5 else 0 end,
+    case when deficit then 1 else 0 end from t
+  union all select assessment_id, 'Strangler', 3, 20 + case when loc >= 300000 or projects > 40 then 30 else 0 end + case when wcf then 25 else 0 end + case when high >= 3 then 10 else 0 end - case when projects < 5 then 25 else 0 end,
+    case when loc >= 300000 then 2 else 1 end from t
+  union all select assessment_id, 'PartialRewrite', 4, 15 + case when has_high and share > 0 and share <= 0.35 then 45 when has_high then 10 else 0 end - case when deficit then 10 else 0 end, 2 from t
+  union all select assessment_id, 'FullRewrite', 5, 5 + case when loc > 0 and loc < 40000 and has_high then 45 else 0 end + case when high >= 4 and share > 0.6 then 20 else 0 end - case when loc >= 150000 then 30 else 0 end - case when deficit then 15 else 0 end,
+    case when deficit then 3 else 2 end from t),
+clamped as (select assessment_id, strategy, place, greatest(0, least(100, fit))::int as fit, risk_level from fits)
+"""
+
+
+@query(ESTATES + FITS + """
+select assessment_id, strategy, fit, (['Low', 'Medium', 'High', 'Critical'])[risk_level + 1] as risk, row_number() over (partition by assessment_id order by fit desc, risk_level, place) = 1 as recommended from clamped
 """)
-def strategy_fit(spark, d, rows="id % 40 = 0"):
-    s = modernization.strategies(estates(spark, d, rows), "assessment_id")
-    return s.groupBy("assessment_id").agg(*[F.max(F.when(F.col("strategy") == n, F.col("fit"))).alias(a) for n, a in (("KeepStabilize", "keep"), ("UpgradeInPlace", "upgrade"), ("Incremental", "incremental"))])
+def strategy_fit(spark, d):
+    return modernization.strategies(estates(spark, d), "assessment_id").drop("place")
 
 
-@query(ESTATES + """
-, y as (select assessment_id, greatest((loc / 1000.0::double * 12.0::double + pre * 8.0::double + high * 80.0::double + medium * 24.0::double + c4 * 16.0::double + c3 * 8.0::double + c2 * 3.0::double + packages * 4.0::double)
-   * (case when not tests then 1.3::double else 1.1::double end * case when cx > 10 then 1.2::double else 1.0::double end * case when cycles > 0 then 1.1::double else 1.0::double end), 40.0::double) as raw from q)
-select assessment_id, round_even(raw / 10, 0) * 10 as hours, round_even(round_even(raw / 10, 0) * 10 * 60.0::double, 0) as cost from y
+HOURS = """
+, rates as (select * from (values ('KeepStabilize', 2.0::double, 0.0::double), ('UpgradeInPlace', 12.0, 1.0), ('Incremental', 18.0, 1.0), ('Strangler', 24.0, 1.0), ('PartialRewrite', 0.0, 0.5), ('FullRewrite', 60.0, 0.25)) v(strategy, per_kloc, blocker_share)),
+w as (select q.*, rates.*, loc / 1000.0::double as kloc, least(0.7::double, greatest(0.1::double, case when share = 0 then 0.3::double else share end)) as rewritten,
+        c4 * 16.0::double + c3 * 8.0::double + c2 * 3.0::double + packages * 4.0::double as security from q, rates),
+y as (select *, case when strategy = 'PartialRewrite' then kloc * rewritten * 60.0::double + kloc * (1 - rewritten) * 12.0::double else kloc * per_kloc end
+        + (pre * 8.0::double + high * 80.0::double + medium * 24.0::double) * blocker_share + security as base,
+        case when not tests then 1.3::double else 1.1::double end * case when cx > 10 then 1.2::double else 1.0::double end * case when cycles > 0 and strategy <> 'FullRewrite' then 1.1::double else 1.0::double end as factor from w),
+z as (select *, case when strategy = 'KeepStabilize' then greatest(base, 8.0::double) else greatest(base * factor, 40.0::double) end as raw from y),
+hours as (select assessment_id, strategy, raw, round_even(raw / 10, 0) * 10 as hours from z)
+"""
+
+
+@query(ESTATES + HOURS + """
+select assessment_id, strategy, hours, least(round_even(raw * 0.75::double / 10, 0) * 10, greatest(5.0::double, hours - 10)) as optimistic, greatest(round_even(raw * 1.5::double / 10, 0) * 10, hours + 10) as conservative,
+  greatest(1.0::double, round_even(hours / 480.0::double, 1)) as months, round_even(hours * 60.0::double, 0) as cost, 'Medium' as confidence from hours
 """)
-def upgrade_cost(spark, d, rows="id % 40 = 0"):
-    return modernization.costs(estates(spark, d, rows), "assessment_id").filter("strategy = 'UpgradeInPlace'").select("assessment_id", "hours", "cost")
+def strategy_costs(spark, d):
+    return modernization.costs(estates(spark, d), "assessment_id")
 
 
-@query(ESTATES + "select assessment_id, case when legacy > 0 then legacy * 2000.0::double + case when ef6 then 5000.0::double else 0.0::double end end as annual from q")
-def annual_savings(spark, d, rows="id % 40 = 0"):
-    return modernization.savings(estates(spark, d, rows), "assessment_id").select("assessment_id", "annual")
+@query(ESTATES + HOURS + "select assessment_id, hours, round_even(hours * 60.0::double, 0) as cost from hours where strategy = 'UpgradeInPlace'")
+def upgrade_cost(spark, d):
+    return modernization.costs(estates(spark, d), "assessment_id").filter("strategy = 'UpgradeInPlace'").select("assessment_id", "hours", "cost")
 
 
-@query()
-def modernization_roadmap(spark, d, rows="id % 40 = 0"):
-    p = estates(spark, d, rows)
+@query(ESTATES + "select assessment_id, case when legacy > 0 then legacy * 2000.0::double + case when ef6 then 5000.0::double else 0.0::double end end as annual from q")
+def annual_savings(spark, d):
+    return modernization.savings(estates(spark, d), "assessment_id").select("assessment_id", "annual")
+
+
+@query(ESTATES + FITS + HOURS + """
+, best as (select assessment_id, strategy from clamped qualify row_number() over (partition by assessment_id order by fit desc, risk_level, place) = 1),
+b as (select z.*, h.hours from z join best on z.assessment_id = best.assessment_id and z.strategy = best.strategy join hours h on h.assessment_id = z.assessment_id and h.strategy = z.strategy),
+phases as (
+  select assessment_id, hours, 0 as o, 'baseline' as phase, 0.04::double as weight from b
+  union all select assessment_id, hours, 1, 'security', least(0.35::double, greatest(0.05::double, security / greatest(1.0::double, hours))) from b where c4 + c3 + packages > 0
+  union all select assessment_id, hours, 2, 'tests', 0.15::double from b where not tests and strategy <> 'KeepStabilize'
+  union all select assessment_id, hours, 3, 'foundation', case when strategy = 'UpgradeInPlace' then 0.45::double else 0.20::double end from b where strategy not in ('KeepStabilize', 'FullRewrite') and (legacy > 0 or pre > 0)
+  union all select assessment_id, hours, 4, 'domain', case when strategy = 'UpgradeInPlace' then 0.20::double else 0.35::double end from b where strategy in ('Incremental', 'Strangler', 'PartialRewrite', 'FullRewrite') or (strategy = 'UpgradeInPlace' and high > 0)
+  union all select assessment_id, hours, 5, 'data-integration', 0.12::double from b where (ef6 or high > 0) and strategy <> 'KeepStabilize'
+  union all select assessment_id, hours, 6, 'retirement', 0.05::double from b where strategy in ('Strangler', 'PartialRewrite', 'FullRewrite')),
+placed as (select *, row_number() over (partition by assessment_id order by o)::int - 1 as place, weight / sum(weight) over (partition by assessment_id) as s from phases)
+select assessment_id, place, phase, round_even(s, 3) as share, round_even(hours * s / 10, 0) * 10 as hours from placed
+""")
+def modernization_roadmap(spark, d):
+    p = estates(spark, d)
     best = modernization.strategies(p, "assessment_id").filter("recommended").join(modernization.costs(p, "assessment_id"), ["assessment_id", "strategy"]).select("assessment_id", "strategy", "hours")
     return modernization.roadmap(p, best, "assessment_id")
 
@@ -656,23 +700,3 @@ def distinct_ordered(spark, d):
 @query("select o_orderkey, o_orderpriority from orders order by o_orderpriority, o_orderdate desc, o_orderkey offset 40 limit 25")
 def pagination(spark, d):
     return latest.page(table(spark, d, "orders"), [F.col("o_orderpriority"), F.desc("o_orderdate"), F.col("o_orderkey")], 40, 25).select("o_orderkey", "o_orderpriority")
-
-
-# The queries above whose SQL takes every n-th row, on every row
-
-
-def over_all(name: str, rows: str) -> None:
-    """Registers NAME_all: the query NAME, and its SQL if it has one, without the filter on rows."""
-
-    def run(spark, d):
-        return QUERIES[name](spark, d, rows="true")
-
-    run.__name__ = f"{name}_all"
-    query(SQL[name].replace(f" where {rows}", "") if name in SQL else None)(run)
-
-
-over_all("longest_prefix_owner", "o_orderkey % 10 = 0")
-over_all("graph_closure", "l_orderkey % 400 = 0")
-over_all("graph_degrees", "l_orderkey % 100 = 0")
-for _name in ("strategy_fit", "upgrade_cost", "annual_savings", "modernization_roadmap"):
-    over_all(_name, "id % 40 = 0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import cvss3_score, cvss_severity, license_class, path_normalize, sensitive_category
+from ..functions.scalar import LICENSE_CLASSES, cvss3_score, cvss_severity, license_class, path_normalize, sensitive_category
 from ..functions.versions import in_segment, version_key
 from ..operators import graph
 
@@ -67,20 +67,26 @@ def vulnerable_packages(packages: DataFrame, segments: DataFrame) -> DataFrame:
     return hit.select("ecosystem", "name", "version", "id", score.alias("score"), F.coalesce(cvss_severity(score), F.lit(2)).alias("severity")).distinct()
 
 
+# Rule ids of the licence classes that are findings.
+LICENSE_RULES = {"StrongCopyleft": "license.strong-copyleft", "WeakCopyleft": "license.weak-copyleft", "Restricted": "license.restricted", "Unknown": "license.unknown"}
+
+
 def licenses(packages: DataFrame, denied: list[str]) -> DataFrame:
-    """(name, version, license, class, rule_id): denied (by class, expression or a part) outranks the class."""
-    df = packages.select("name", "version", "license").distinct().withColumn("class", F.when(F.col("license").isNull(), "unknown").otherwise(license_class(F.col("license"))))
+    """(name, version, license, class, rule_id): denied (by class, expression or a part) outranks the class; permissive
+    licences are no findings and have no rule_id."""
+    df = packages.select("name", "version", "license").distinct().withColumn("class", license_class(F.col("license")))
     low = [d.lower() for d in denied]
     parts = F.transform(F.split(F.lower("license"), r"\s+(?:or|and|with)\s+|[()]"), lambda x: F.trim(x))
-    is_denied = F.col("class").isin(low) | F.lower("license").isin(low) | F.arrays_overlap(parts, F.array(*map(F.lit, low or [""])))
-    return df.withColumn("rule_id", F.when(F.coalesce(is_denied, F.lit(False)), "license.denied").otherwise(F.concat(F.lit("license."), "class")))
+    is_denied = F.lower("class").isin(low) | F.lower("license").isin(low) | F.arrays_overlap(parts, F.array(*map(F.lit, low or [""])))
+    rule = F.when(F.coalesce(is_denied, F.lit(False)), "license.denied")
+    for name, rule_id in LICENSE_RULES.items():
+        rule = rule.when(F.col("class") == name, rule_id)
+    return df.withColumn("rule_id", rule)
 
 
 def license_counts(packages: DataFrame) -> DataFrame:
-    """Counts by class; classes without packages are there too."""
-    from ..functions.scalar import LICENSE_CLASSES
-
-    spine = packages.sparkSession.createDataFrame([(c,) for c in [*LICENSE_CLASSES, "unknown"]], "class string")
+    """Counts by class, as the inventory shows them; classes without packages are there too."""
+    spine = packages.sparkSession.createDataFrame([(c,) for c in LICENSE_CLASSES], "class string")
     return spine.join(licenses(packages, []).groupBy("class").agg(F.count(F.lit(1)).alias("n")), "class", "left").fillna(0, ["n"])
 
 
@@ -97,13 +103,6 @@ def personal_data(columns: DataFrame) -> DataFrame:
     return columns.withColumn("category", sensitive_category(F.col("column"))).filter("category is not null").groupBy("table", "category").agg(F.array_sort(F.collect_set("column")).alias("columns"))
 
 
-def database_objects(objects: DataFrame) -> DataFrame:
-    """(rule_id, n): inventory and thresholds over SQL objects (kind)."""
-    n = objects.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    rule = F.when((F.col("kind") == "procedure") & (F.col("n") >= 20), "database.procedures").when(F.col("kind") == "trigger", "database.trigger")
-    return n.withColumn("rule_id", rule).filter("rule_id is not null").select("rule_id", "n")
-
-
 def owned_by_signature(packages: DataFrame, signatures: DataFrame) -> DataFrame:
     """packages with the longest signature (prefix, provider) that equals or begins their name.
 

@@ -12,12 +12,26 @@ from ..functions.scalar import ladder
 from ..sources.workspace import lines
 
 CANDIDATE = ["rule_id", "severity", "file_path", "line", "symbol"]
-# Base images out of support by version; * is every version.
+# Tags of base images that are out of support; * is every tag. Names of settings that only look like secrets.
 EOL_IMAGES = {
-    "dotnet/aspnet": ["2.1", "3.1", "5.0", "6.0", "7.0"], "dotnet/sdk": ["2.1", "3.1", "5.0", "6.0", "7.0"], "dotnet/runtime": ["2.1", "3.1", "5.0", "6.0", "7.0"],
-    "dotnet/core/aspnet": ["*"], "dotnet/core/sdk": ["*"], "centos": ["*"], "openjdk": ["*"],
-    "node": ["8", "10", "12", "14", "16", "18"], "python": ["2.7", "3.5", "3.6", "3.7", "3.8"], "debian": ["8", "9", "10", "stretch", "buster"], "ubuntu": ["14.04", "16.04", "18.04"], "alpine": ["3.12", "3.13", "3.14", "3.15", "3.16"],
+    "dotnet/aspnet": ["2.1", "2.2", "3.0", "3.1", "5.0", "6.0", "7.0", "9.0"],
+    "dotnet/runtime": ["2.1", "2.2", "3.0", "3.1", "5.0", "6.0", "7.0", "9.0"],
+    "dotnet/sdk": ["2.1", "2.2", "3.0", "3.1", "5.0", "6.0", "7.0", "9.0"],
+    "dotnet/core/aspnet": ["*"], "dotnet/core/runtime": ["*"], "dotnet/core/sdk": ["*"],
+    "dotnet/framework/aspnet": ["4.6.2", "4.7", "4.7.1"],
+    "node": ["8", "10", "11", "12", "13", "14", "15", "16", "17", "18", "19", "20", "21"],
+    "python": ["2", "2.7", "3.5", "3.6", "3.7", "3.8", "3.9"],
+    "ubuntu": ["14.04", "16.04", "18.04", "20.04", "trusty", "xenial", "bionic", "focal"],
+    "debian": ["7", "8", "9", "10", "11", "wheezy", "jessie", "stretch", "buster", "bullseye"],
+    "alpine": ["3.10", "3.11", "3.12", "3.13", "3.14", "3.15", "3.16", "3.17", "3.18", "3.19", "3.20"],
+    "nginx": ["1.14", "1.16", "1.18", "1.20", "1.22", "1.24", "1.26"],
+    "postgres": ["9.6", "10", "11", "12", "13"],
+    "mysql": ["5.5", "5.6", "5.7", "8.0"],
+    "redis": ["3", "4", "5", "6", "6.0", "6.2"],
+    "mongo": ["3.6", "4.0", "4.2", "4.4", "5.0", "6.0"],
 }
+SECRET_NAME = r"PASSWORD|PASSWD|SECRET|TOKEN|API_?KEY|APIKEY|PRIVATE_?KEY|CONNECTION_?STRING|ACCESS_?KEY"
+BENIGN_NAME = r"(?:^|_)(?:FILE|PATH|ENDPOINT|HEADER|NAME|URL|URI|TTL|LIFETIME|TIMEOUT|EXPIRY|EXPIRATION|MINUTES|SECONDS|HOURS|DAYS|LENGTH|SIZE|VERSION|PROMPT|ID|MOUNT|DIR|PREFIX|SUFFIX|FORMAT|ALGORITHM|ISSUER|AUDIENCE)$"
 
 
 def _emit(df: DataFrame, rule: Column | str, severity: Column | int, symbol: Column | str, line: str = "line") -> DataFrame:
@@ -48,9 +62,12 @@ def docker(files: DataFrame) -> DataFrame:
     user = F.col("t").rlike(r"(?i)^USER\s+(?!root\b|0\b)\S+")
     per = staged.filter("stage > 0").groupBy("path", "stage").agg(F.min("line").alias("line"), F.bool_or(user).alias("safe")).groupBy("path").agg(F.max_by(F.struct("line", "safe"), "stage").alias("l")).filter("not l.safe").select("path", F.col("l.line").alias("line"))
     root = _emit(per, "infra.docker.root-user", 1, F.lit("USER"))
-    env = rows.withColumn("s", F.explode(F.regexp_extract_all(F.regexp_extract("t", r"(?i)^(?:ENV|ARG)\s+(.*)$", 1), F.lit(r"(?i)(\w*(?:password|passwd|secret|token|api_?key|private_?key)\w*[= ]\s*(?:\"[^\"]*\"|'[^']*'|\S+))"), F.lit(1))))
-    env = env.withColumns({"n": F.regexp_extract("s", r"^(\w+)", 1), "v": F.regexp_replace(F.regexp_extract("s", r"^\w+[= ]\s*(.*)$", 1), "^[\"']|[\"']$", "")})
-    secret = _emit(env.filter(~F.col("n").rlike(r"(?i)(_FILE|_PATH|ENDPOINT|_URL|LIFETIME|MINUTES|SECONDS|EXPIR\w*|LENGTH|NAME|_ID)$") & (F.col("v") != "") & ~F.col("v").startswith("$")), "infra.docker.secret-in-env", 3, "n")
+    told = F.regexp_extract("t", r"(?i)^(?:ENV|ARG)\s+(.*)$", 1)
+    pair = rf"(?i)[A-Za-z0-9_.-]*(?:{SECRET_NAME})[A-Za-z0-9_.-]*\s*=\s*(?:\"[^\"]*\"|'[^']*'|\S+)"
+    spaced = F.regexp_replace(told, r"^([A-Za-z0-9_.-]+)\s+(?!=)(.*)$", "$1=$2")
+    env = rows.withColumn("s", F.explode(F.regexp_extract_all(spaced, F.lit(pair), F.lit(0))))
+    env = env.withColumns({"n": F.regexp_extract("s", r"^([A-Za-z0-9_.-]+)", 1), "v": F.regexp_replace(F.regexp_extract("s", r"^[A-Za-z0-9_.-]+\s*=\s*(.*)$", 1), "^[\"']|[\"']$", "")})
+    secret = _emit(env.filter(~F.col("n").rlike(f"(?i){BENIGN_NAME}") & (F.col("v") != "") & ~F.col("v").startswith("$")), "infra.docker.secret-in-env", 3, "n")
     return images.unionByName(root).unionByName(secret)
 
 
@@ -77,26 +94,30 @@ def settings(files: DataFrame) -> DataFrame:
     return verbose.unionByName(_emit(f.filter("detailed = 'true'"), "infra.appsettings.detailed-errors", 2, F.lit("DetailedErrors")))
 
 
-# Line patterns of code rules, by file kind, with severities.
+# Rule ids and severities. The line patterns, by file kind, are this library's own.
 LINE_RULES = [
     ("javascript.eval", 3, r"(?i)\.(js|jsx|ts|tsx|html?|cshtml)$", r"\beval\s*\(|new\s+Function\s*\("),
     ("javascript.dom-injection", 2, r"(?i)\.(js|jsx|ts|tsx|html?|cshtml)$", r"\.innerHTML\s*=|document\.write\s*\(|dangerouslySetInnerHTML"),
     ("javascript.insecure-url", 1, r"(?i)\.(js|jsx|ts|tsx)$", r"['\"]http://(?!localhost|127\.)"),
     ("sec.crypto.weak-hash", 2, r"(?i)\.(cs|vb|java|py)$", r"\bMD5\b|\bSHA1\b|hashlib\.(md5|sha1)\s*\(|getInstance\(\s*\"(MD5|SHA-?1)\""),
     ("sec.crypto.weak-cipher", 3, r"(?i)\.(cs|vb|java)$", r"\bDES(CryptoServiceProvider)?\b|\bRC2\b|TripleDES|\"DES/"),
-    ("sec.sql.concatenation", 3, r"(?i)\.(cs|vb|java|py)$", r"(?i)\"\s*(select|insert|update|delete)\b[^\"]*\"\s*(\+|&|%|\.format)"),
-    ("sec.deserialization.binary-formatter", 3, r"(?i)\.(cs|vb)$", r"\bBinaryFormatter\b"),
-    ("sec.tls.validation-disabled", 3, r"(?i)\.(cs|vb|py|java)$", r"ServerCertificateValidationCallback|verify\s*=\s*False|TrustAllCerts"),
-    ("sec.process.start", 1, r"(?i)\.(cs|vb)$", r"\bProcess\.Start\s*\("),
-    ("sec.config.debug", 2, r"(?i)web\.config$", r"<compilation[^>]*debug=\"true\""),
+    ("sec.sql.string-concatenation", 3, r"(?i)\.(cs|vb|java|py)$", r"(?i)\"\s*(select|insert|update|delete)\b[^\"]*\"\s*(\+|&|%|\.format)"),
+    ("sec.deserialization.binaryformatter", 3, r"(?i)\.(cs|vb)$", r"\bBinaryFormatter\b"),
+    ("sec.tls.certificate-validation-disabled", 3, r"(?i)\.(cs|vb|py|java)$", r"ServerCertificateValidationCallback|verify\s*=\s*False|TrustAllCerts"),
+    ("sec.deserialization.typenamehandling", 3, r"(?i)\.(cs|vb)$", r"\bTypeNameHandling\s*(?:=\s*|\.)(?:TypeNameHandling\.)?(?:All|Auto|Objects|Arrays)\b"),
+    ("sec.tls.legacy-protocol", 2, r"(?i)\.(cs|vb)$", r"\bSecurityProtocolType\.(?:Ssl3|Tls|Tls11)\b(?!1)|\bSslProtocols\.(?:Ssl2|Ssl3|Tls|Tls11)\b"),
+    ("sec.xml.dtd-processing", 2, r"(?i)\.(cs|vb)$", r"\bDtdProcessing\.Parse\b|\bnew\s+XmlUrlResolver\b|\bProhibitDtd\s*=\s*(?i:false)"),
+    ("sec.web.request-validation-disabled", 2, r"(?i)\.(cs|vb|cshtml|aspx)$", r"\bValidateInput\s*\(\s*(?i:false)\s*\)|ValidateRequest\s*=\s*\"?(?i:false)"),
+    ("sec.process.command-concatenation", 2, r"(?i)\.(cs|vb)$", r"\bProcess\.Start\s*\([^;]*(?:\+|&|\$\")"),
+    ("sec.config.debug-enabled", 2, r"(?i)web\.config$", r"<compilation[^>]*debug=\"true\""),
     ("sec.config.custom-errors-off", 2, r"(?i)web\.config$", r"<customErrors[^>]*mode=\"Off\""),
-    ("sec.config.trace", 2, r"(?i)web\.config$", r"<trace[^>]*enabled=\"true\""),
-    ("sec.config.http-only", 2, r"(?i)web\.config$", r"httpOnlyCookies=\"false\""),
+    ("sec.config.trace-enabled", 2, r"(?i)web\.config$", r"<trace[^>]*enabled=\"true\""),
+    ("sec.config.cookies-not-httponly", 2, r"(?i)web\.config$", r"httpOnlyCookies=\"false\""),
 ]
 
 
-def line_rules(files: DataFrame, most_per_rule: int | None = 200) -> DataFrame:
-    """Matches of LINE_RULES by line, the first most_per_rule of each rule by path and line (None: all)."""
+def line_rules(files: DataFrame, most_per_rule: int | None = None) -> DataFrame:
+    """Matches of LINE_RULES by line. most_per_rule: only the first of each rule by path and line, ranked in each task first."""
     rows = lines(files)
     found = F.filter(F.array(*[F.when(F.col("path").rlike(p) & F.col("text").rlike(rx), F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for r, s, p, rx in LINE_RULES]), lambda x: x.isNotNull())
     out = rows.withColumn("f", F.explode(found)).select(F.col("f.rule").alias("rule_id"), F.col("f.severity").alias("severity"), F.col("path").alias("file_path"), F.col("line").cast("int").alias("line"), F.left(F.trim("text"), F.lit(80)).alias("symbol"))

@@ -37,9 +37,10 @@ def sarif_results(findings: DataFrame, rules: DataFrame) -> DataFrame:
     return findings.join(indexed, "rule_id").select("rule_id", "rule_index", F.to_json(result).alias("value"))
 
 
-def sarif_document(findings: DataFrame, rules: DataFrame, tool: str, most: int = 20_000) -> str:
-    """A whole document for a consumer that needs one; `most` results by severity, as the format's readers cap it."""
-    top = findings.orderBy(F.desc("severity"), "rule_id", "file_path").limit(most)
+def sarif_document(findings: DataFrame, rules: DataFrame, tool: str, most: int | None = None) -> str:
+    """A whole document on the driver, for a consumer that needs one; sarif_results is the way for many. most: only the gravest
+    results, for readers that take no more."""
+    top = findings.orderBy(F.desc("severity"), "rule_id", "file_path").limit(most) if most else findings
     results = [r[0] for r in sarif_results(top, rules).orderBy("rule_index").select("value").collect()]
     ids = [r[0] for r in rules.select("rule_id").distinct().orderBy("rule_id").collect()]
     import json
@@ -62,10 +63,31 @@ def sbom_components(packages: DataFrame) -> DataFrame:
     return packages.select("ecosystem", "name", "version", "license").distinct().select(purl.alias("purl"), F.to_json(comp).alias("value"))
 
 
+# The columns of the findings file, in order.
+FINDING_COLUMNS = ["id", "rule_id", "category", "severity", "confidence", "status", "title", "message", "file_path", "line_start", "line_end", "symbol", "first_seen", "last_seen", "remediation"]
+
+
+def finding_rows(findings: DataFrame) -> DataFrame:
+    """The columns of the findings file, guarded; one that findings lacks is empty."""
+    return guarded(findings.select(*[(F.col(c) if c in findings.columns else F.lit(None).cast("string")).alias(c) for c in FINDING_COLUMNS]))
+
+
+def compliance_files(findings: DataFrame, licenses: DataFrame, waivers: DataFrame, path: str) -> None:
+    """summary.md and three guarded CSV folders below path: open privacy findings, licence findings, waivers with their
+    policies. The summary counts each."""
+    parts = {"privacy": findings.filter("rule_id like 'privacy.%' and status in ('Open', 'Regressed')"), "licenses": licenses, "waivers": waivers}
+    lines = ["# Compliance", ""]
+    for name, df in parts.items():
+        write_csv(df, f"{path}/{name}.csv")
+        lines.append(f"- {name}: {df.count()}")
+    spark = findings.sparkSession
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{path}/summary.md")
+
+
 def markdown_summary(gate: DataFrame, top: DataFrame, key: str) -> list[str]:
     """Lines of a summary from two small aggregates: gate verdicts (key, passed, reasons) and top rules."""
     out = ["| | verdict | reasons |", "|-|-|-|"]
-    out += [f"| {r[key]} | {'passed' if r['passed'] else 'failed'} | {'; '.join(r['reasons'])} |" for r in gate.orderBy(key).limit(100).collect()]
+    out += [f"| {r[key]} | {'passed' if r['passed'] else 'failed'} | {'; '.join(r['reasons'])} |" for r in gate.orderBy(key).collect()]
     out += ["", "| rule | findings | worst |", "|-|-|-|"]
     return out + [f"| {r['rule_id']} | {r['n']} | {r['max_severity']} |" for r in top.collect()]
 

@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 # Folders and files that are never a customer's own code, and folders that builds leave behind.
 DEFAULT_GLOBS = ["vendor/", "vendors/", "third-party/", "third_party/", "ThirdParty/", "external/", "**/*.min.js", "**/*.min.css", "**/*.map", "**/*.bundle.js"]
-PRUNED = [".git", ".hg", ".svn", ".vs", ".idea", "bin", "obj", "node_modules", "bower_components", "packages", "dist", "target", ".gradle", "__pycache__", ".venv", "venv"]
+PRUNED = [
+    ".git", ".vs", ".idea", ".nuget", "bin", "obj", "node_modules", "artifacts", "graphify-out",
+    ".gradle", "Pods", ".expo", ".next", ".angular", ".dart_tool", "DerivedData", "__pycache__", ".venv", "venv", ".terraform", "dist",
+]
+# Kept while reading, as coverage reports lie there, but no source.
+NOT_SOURCE = ["TestResults"]
+# A folder of a package cache: its name ends with a version.
+_CACHED = r"(?i)^(.*/)?packages/[a-z0-9_.-]+\.\d+(\.\d+)+([-+][a-z0-9.-]+)?/"
 
 
 def glob_pattern(glob: str) -> str:
@@ -36,7 +43,21 @@ def excluded(path: Column, globs: list[str] | None = None, defaults: bool = True
 
 
 def pruned(path: Column) -> Column:
-    return F.arrays_overlap(F.transform(F.split(path, "/"), lambda s: F.lower(s)), F.array(*map(F.lit, PRUNED)))
+    return F.arrays_overlap(F.transform(F.split(path, "/"), lambda s: F.lower(s)), F.array(*[F.lit(p.lower()) for p in PRUNED]))
+
+
+def is_source(path: Column) -> Column:
+    """Neither below a pruned folder nor below one that holds reports."""
+    return ~pruned(path) & ~F.arrays_overlap(F.transform(F.split(path, "/"), lambda s: F.lower(s)), F.array(*[F.lit(p.lower()) for p in NOT_SOURCE]))
+
+
+def without_caches(files: DataFrame) -> DataFrame:
+    """files (path, ...) without those below a package cache: a folder `packages` that holds repositories.config or folders
+    named by package and version. Any other folder `packages` is a repository's own and stays."""
+    in_packages = F.regexp_extract("path", r"(?i)^((?:.*/)?packages)/", 1)
+    telling = files.filter(F.col("path").rlike(_CACHED) | F.col("path").rlike(r"(?i)(^|/)packages/repositories\.config$"))
+    caches = telling.select(F.lower(in_packages).alias("_cache")).distinct()
+    return files.withColumn("_in", F.lower(in_packages)).join(caches, F.col("_in") == F.col("_cache"), "left_anti").drop("_in")
 
 
 def contained(relative: Column) -> Column:
@@ -48,7 +69,8 @@ def read_workspace(spark: SparkSession, root: str, globs: list[str] | None = Non
     """(path, content, length) of the files under root, text as UTF-8, without pruned and excluded paths."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace("path", f"^.*?{re.escape(root.rstrip('/'))}/", "")
-    df = files.select(path.alias("path"), "content", "length").filter(~pruned(F.col("path")) & ~excluded(F.col("path"), globs))
+    df = files.select(path.alias("path"), "content", "length").filter(contained(F.col("path")) & ~pruned(F.col("path")) & ~excluded(F.col("path"), globs))
+    df = without_caches(df)
     df = df.filter(F.col("length") <= most_bytes) if most_bytes else df
     return df.withColumn("content", F.decode("content", "UTF-8"))
 

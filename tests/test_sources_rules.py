@@ -35,7 +35,7 @@ def test_cvss(spark):
         assert one(spark, scalar.cvss3_score(F.lit(v)), "x") == want
 
 
-@pytest.mark.parametrize("expression,want", [("MIT", "permissive"), ("MIT OR GPL-3.0-only", "permissive"), ("MIT AND GPL-2.0", "strong-copyleft"), ("MIT AND Odd", "unknown"), ("GPL-2.0 WITH Classpath-exception-2.0", "strong-copyleft"), ("Odd", "unknown")])
+@pytest.mark.parametrize("expression,want", [("MIT", "Permissive"), ("MIT OR GPL-3.0-only", "Permissive"), ("MIT AND GPL-2.0", "StrongCopyleft"), ("MIT AND Odd", "Unknown"), ("GPL-2.0 WITH Classpath-exception-2.0", "WeakCopyleft"), ("Odd", "Unknown"), (None, "Unknown"), ("", "Unknown"), ("(mit or Odd)", "Permissive"), ("AGPL-3.0", "StrongCopyleft"), ("SSPL-1.0", "Restricted"), ("sspl-2.0", "StrongCopyleft"), ("CC-BY-NC-2.0", "Restricted"), ("CC-BY-SA-3.0", "StrongCopyleft"), ("JSON", "Restricted"), ("SEE LICENSE IN x", "Restricted"), ("BSD-4-Clause", "Permissive"), ("LGPL-2.1+", "WeakCopyleft")])
 def test_license_expressions(spark, expression, want):
     assert one(spark, scalar.license_class(F.lit(expression)), "x") == want
 
@@ -82,11 +82,12 @@ def test_exclusions(spark):
 
 
 def test_workspace_reader(spark, tmp_path):
-    for p, t in {"src/a.cs": "one\ntwo", "bin/b.dll": "x", "vendor/c.js": "y"}.items():
+    own = {"src/a.cs": "one\ntwo", "packages/web/d.cs": "mono", "legacy/packages/Dapper.1.2.3/lib/e.cs": "cache", "legacy/packages/own.cs": "cache", "old/packages/repositories.config": "<r/>"}
+    for p, t in {**own, "bin/b.dll": "x", "vendor/c.js": "y", ".nuget/f.cs": "z", "app/.next/g.js": "z"}.items():
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text(t)
     got = workspace.read_workspace(spark, str(tmp_path)).collect()
-    assert [(r.path, r.content) for r in got] == [("src/a.cs", "one\ntwo")]
+    assert sorted((r.path, r.content) for r in got) == [("packages/web/d.cs", "mono"), ("src/a.cs", "one\ntwo")]
 
 
 def test_docker_and_compose(spark):
@@ -106,7 +107,7 @@ def test_docker_and_compose(spark):
 
 def test_line_rules(spark):
     f = files(spark, **{"a.js": "eval(x)\nel.innerHTML = y\nok()", "b.py": "import hashlib\nhashlib.md5(x)\n", "web.config": '<compilation debug="true">', "c.txt": "eval(x)"})
-    assert sorted((r.rule_id, r.line) for r in text_rules.line_rules(f).collect()) == [("javascript.dom-injection", 2), ("javascript.eval", 1), ("sec.config.debug", 1), ("sec.crypto.weak-hash", 2)]
+    assert sorted((r.rule_id, r.line) for r in text_rules.line_rules(f).collect()) == [("javascript.dom-injection", 2), ("javascript.eval", 1), ("sec.config.debug-enabled", 1), ("sec.crypto.weak-hash", 2)]
 
 
 def test_duplicate_blocks(spark):
@@ -188,8 +189,8 @@ def test_fact_rules(spark):
     refs = spark.createDataFrame([("t", "app"), ("app", "lib")], "src string, dst string")
     assert [r.path for r in fact_rules.uncovered_projects(p, refs).collect()] == ["lone"]
     pk = spark.createDataFrame([("a", "1", "MIT"), ("b", "1", "GPL-3.0"), ("c", "1", None)], "name string, version string, license string")
-    assert {r.name: r.rule_id for r in fact_rules.licenses(pk, ["gpl-3.0"]).collect()} == {"a": "license.permissive", "b": "license.denied", "c": "license.unknown"}
-    assert sum(r.n for r in fact_rules.license_counts(pk).collect()) == 3 and fact_rules.license_counts(pk).count() == 6
+    assert {r.name: r.rule_id for r in fact_rules.licenses(pk, ["gpl-3.0"]).collect()} == {"a": None, "b": "license.denied", "c": "license.unknown"}
+    assert sum(r.n for r in fact_rules.license_counts(pk).collect()) == 3 and fact_rules.license_counts(pk).count() == 5
 
 
 def test_exports(spark, tmp_path):
@@ -225,3 +226,91 @@ def test_stream_counters(spark, tmp_path):
     q = telemetry.counter_deltas(stream, forget=False).writeStream.format("memory").queryName("deltas").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert sorted(r.delta for r in spark.sql("select * from deltas").collect()) == [50, 500, 1000]
+
+
+@pytest.mark.parametrize("name,want", [("CustomerCpf", "identifier"), ("homeAddress", "contact"), ("Address", None), ("pin", None), ("accountToken", None), ("[senha]", "credential"), ("card_number", "financial"), ("NIF", "identifier"), ("user-email", "contact"), ("DateOfBirth", "birth"), ("medical_record_id", "health"), ("XMLPhoneNumber", "contact"), ("", None), (None, None)])
+def test_sensitive_names(spark, name, want):
+    from tallyforge.functions.scalar import sensitive_category
+
+    assert spark.createDataFrame([(name,)], "n string").select(sensitive_category(F.col("n"))).first()[0] == want
+
+
+def test_license_urls(spark):
+    from tallyforge.functions.scalar import license_from_url
+
+    urls = {"https://www.apache.org/licenses/LICENSE-2.0.txt": "Apache-2.0", "http://go.microsoft.com/fwlink/?LinkId=329770": "MS-NET-Library", "https://example.com": None}
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert {r.u: r.l for r in df.select("u", license_from_url(F.col("u")).alias("l")).collect()} == urls
+
+
+def test_rule_lines_of_code(spark):
+    f = files(spark, **{"a.cs": "x.TypeNameHandling = TypeNameHandling.All;\nServicePointManager.SecurityProtocol = SecurityProtocolType.Tls;\ns.DtdProcessing = DtdProcessing.Parse;\n[ValidateInput(false)]\nProcess.Start(\"cmd \" + arg);\nProcess.Start(\"calc\");\nSecurityProtocolType.Tls12;"})
+    got = sorted((r.rule_id, r.line) for r in text_rules.line_rules(f).collect())
+    assert got == [("sec.deserialization.typenamehandling", 1), ("sec.process.command-concatenation", 5), ("sec.tls.legacy-protocol", 2), ("sec.web.request-validation-disabled", 4), ("sec.xml.dtd-processing", 3)]
+
+
+def test_privacy_rules(spark):
+    from tallyforge.rules import data_rules
+
+    p = spark.createDataFrame([("pii.field.contact", "b.cs", 9, "Shop.Customer.Email", ""), ("pii.field.contact", "a.cs", 12, "Shop.Customer.Phone", ""), ("pii.field.contact", "a.cs", 12, "Shop.Customer.Phone", ""), ("pii.field.odd", "a.cs", 1, "X.Y", ""), ("pii.leak.log", "a.cs", 3, "M", "Iban to log [financial]"), ("pii.leak.exception", "a.cs", 4, "M", "Phone in message [contact]"), ("api.legacy", "a.cs", 7, "M", "WebClient: use HttpClient"), ("api.legacy", "a.cs", 5, "M", "WebClient: use HttpClient")], "pattern_id string, file_path string, line int, symbol string, detail string")
+    assert [tuple(r) for r in data_rules.privacy_fields(p).collect()] == [("privacy.pii.contact", 1, "a.cs", 12, "Shop.Customer", "contact", ["Email", "Phone"])]
+    assert sorted((r.rule_id, r.severity, r.category) for r in data_rules.privacy_leaks(p).collect()) == [("privacy.leak.exception", 2, "contact"), ("privacy.leak.log", 4, "financial")]
+    assert [(r.rule_id, r.severity, r.api, r.line, r.lines) for r in data_rules.old_interfaces(p).collect()] == [("quality.api.legacy", 2, "WebClient", 5, [5, 7])]
+
+
+def test_database_rules(spark):
+    from tallyforge.rules import data_rules
+
+    objects = spark.createDataFrame([("a.sql", "table", "T", 1), ("a.sql", "trigger", "Tr", 5)], "path string, kind string, name string, line int")
+    routines = spark.createDataFrame([("a.sql", "procedure", "P", 9, 12, 5, True), ("a.sql", "trigger", "Tr", 5, 30, 0, False)], "path string, kind string, name string, line int, complexity int, cursors int, dynamic_sql boolean")
+    columns = spark.createDataFrame([("a.sql", "T", "email", 2), ("a.sql", "T", "phone", 3), ("a.sql", "T", "iban", 4), ("a.sql", "T", "id", 1)], "path string, table string, column string, line int")
+    all_files = spark.createDataFrame([("a.sql",), ("m/Shop.edmx",), ("x.cs",)], "path string")
+    none = spark.createDataFrame([], "name string")
+    got = sorted((r.rule_id, r.severity, r.symbol) for r in data_rules.database_findings(objects, routines, columns, all_files, none).collect())
+    assert got == [("database.complex-routine", 2, "procedure:P"), ("database.dynamic-sql", 3, "procedure:P"), ("database.edmx-model", 3, "Shop.edmx"), ("database.inventory", 0, "database"), ("database.logic-in-procedures", 2, "database.procedures"), ("database.pii-column", 2, "T#contact"), ("database.pii-column", 3, "T#financial"), ("database.trigger", 1, "Tr"), ("database.unversioned-schema", 2, "database.schema")]
+    nothing = data_rules.database_findings(objects.limit(0), routines.limit(0), columns.limit(0), all_files.filter("path = 'x.cs'"), none)
+    assert nothing.count() == 0
+
+
+def test_coverage_rules(spark):
+    from tallyforge.rules import data_rules
+
+    r = spark.createDataFrame([("b.xml", 0.61), ("a.xml", 0.61), ("c.xml", 0.2)], "path string, line_rate double")
+    p = spark.createDataFrame([("a.xml", "Core", 0.4), ("b.xml", "Core", 0.4), ("c.xml", "Web", 0.9)], "path string, package string, line_rate double")
+    assert sorted((x.rule_id, x.file_path, x.symbol) for x in data_rules.coverage_findings(r, p).collect()) == [("quality.coverage.low", "a.xml", "Core"), ("quality.coverage.summary", "a.xml", "overall"), ("quality.coverage.summary", "c.xml", "overall")]
+    assert [x.rule_id for x in data_rules.coverage_findings(r.limit(0), p.limit(0)).collect()] == ["quality.coverage.no-data"]
+
+
+def test_cycles_equal_brute_force(spark):
+    import numpy as np
+
+    from tallyforge.operators import graph
+
+    r = np.random.default_rng(3)
+    edges = sorted({(int(a), int(b)) for a, b in r.integers(0, 40, (55, 2))})
+    reach = {n: {n} for n in range(40)}
+    for _ in range(40):
+        for a, b in edges:
+            for n in reach:
+                if a in reach[n]:
+                    reach[n].add(b)
+    want = set()
+    for n in range(40):
+        both = {m for m in range(40) if m in reach[n] and n in reach[m]}
+        if len(both) > 1:
+            want.add((min(both), n))
+    df = spark.createDataFrame(edges, "src long, dst long")
+    assert {tuple(x) for x in graph.cycles(df).collect()} == want and want
+    assert graph.cycles(df.limit(0)).count() == 0
+    assert graph.cycles(spark.createDataFrame([(i, i + 1) for i in range(30)], "src long, dst long")).count() == 0
+
+
+def test_exports_of_findings(spark, tmp_path):
+    from tallyforge.sinks import exports
+
+    f = spark.createDataFrame([("1", "privacy.pii.contact", "=x", "Open"), ("2", "sec.x", "t", "Open"), ("3", "privacy.leak.log", "t", "Resolved")], "id string, rule_id string, title string, status string")
+    rows = exports.finding_rows(f)
+    assert rows.columns == exports.FINDING_COLUMNS and len(rows.columns) == 15 and rows.filter("id = '1'").first().title == "'=x"
+    exports.compliance_files(f, f.limit(0), f.limit(1), str(tmp_path / "c"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c" / "privacy.csv")).count() == 1
+    assert "- privacy: 1" in [r[0] for r in spark.read.text(str(tmp_path / "c" / "summary.md")).collect()]
