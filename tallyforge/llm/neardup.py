@@ -207,6 +207,8 @@ def _dealt_join(many: DataFrame, few: DataFrame, key: str, other: str) -> DataFr
     """many join few on key; few has a row a key. Keys with more than PART rows of many are dealt over parts by `other`, and
     their rows of few are repeated once a part, so that no key lands in one task."""
     heavy = materialize(many.groupBy(key).agg(_parts(F.count(F.lit(1))).alias("parts")).filter("parts > 1"), "neardup-heavy")
+    if not heavy.take(1):
+        return many.join(few, key)
     left = many.join(heavy, key, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1)))).drop("parts")
     right = few.join(heavy, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))).drop("parts")
     return left.join(right, [key, "part"]).drop("part")
