@@ -118,6 +118,35 @@ def ai_packages(packages: DataFrame) -> DataFrame:
     return packages.join(best, "name").select("path", "name", "s.provider", "s.kind")
 
 
+def ai_findings(packages: DataFrame, endpoints: DataFrame, models: DataFrame, servers: DataFrame, approved: list[str] | None = None) -> DataFrame:
+    """(rule_id, severity, file_path, symbol) of the rules over an estate's use of AI.
+
+    packages: path, name, provider, kind (sdk, framework, local-runtime), as ai_packages gives; endpoints: path, provider, local;
+    models: path, model, retired_on; servers: path, server, transport, has_secret. The inventory is there where anything is.
+    """
+    row = lambda df, rule, severity, symbol, path=F.col("path"): df.select((rule if isinstance(rule, Column) else F.lit(rule)).alias("rule_id"), (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"), path.alias("file_path"), symbol.alias("symbol"))
+    kind = F.when(F.col("kind") == "framework", "ai.agent.framework").when(F.col("kind") == "local-runtime", "ai.local-runtime").otherwise("ai.provider.sdk")
+    remote = F.col("transport").isin("http", "sse", "streamable-http")
+    used = packages.filter("kind = 'sdk'").select("provider").unionByName(endpoints.filter("not local").select("provider")).distinct()
+    told = packages.select("path").unionByName(endpoints.select("path")).unionByName(servers.select("path"))
+    none = F.lit(None).cast("string")
+    parts = [
+        row(told.agg(F.count(F.lit(1)).alias("n")).filter("n > 0"), "ai.inventory", 0, F.lit("ai-estate"), none),
+        row(packages, kind, 0, F.lower("name")),
+        row(endpoints, F.when(F.col("local"), "ai.local-runtime").otherwise("ai.provider.direct-endpoint"), F.when(F.col("local"), 0).otherwise(1), F.col("provider")),
+        row(models.filter("retired_on is not null"), "ai.model.retired", 2, F.col("model")),
+        row(servers, "ai.mcp.server", 1, F.col("server")),
+        row(servers.filter(remote), "ai.mcp.remote-server", 2, F.col("server")),
+        row(servers.filter("has_secret"), "ai.mcp.secret-in-config", 3, F.col("server")),
+    ]
+    if approved is not None:
+        parts.append(row(used.filter(~F.lower("provider").isin([a.lower() for a in approved])), "ai.unapproved-provider", 3, F.col("provider"), none))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
 def unapproved_providers(found: DataFrame, approved: list[str] | None) -> DataFrame:
     """Providers outside the allow-list; without one nothing is unapproved."""
     if approved is None:

@@ -50,6 +50,28 @@ def change_hotspots(churn: DataFrame, files: DataFrame) -> DataFrame:
     return a.unionByName(df.filter("commits >= 8 and authors = 1").select(F.lit("architecture.knowledge-silo").alias("rule_id"), F.lit(1).alias("severity"), F.col("path").alias("file_path")))
 
 
+def untested_estate(projects: DataFrame, references: DataFrame) -> DataFrame:
+    """(rule_id, path): quality.tests.none where no project is a test project, else the projects that no test reaches."""
+    tests = projects.agg(F.count_if("is_test").alias("tests"), F.count(F.lit(1)).alias("n"))
+    none = tests.filter("tests = 0 and n > 0").select(F.lit("quality.tests.none").alias("rule_id"), F.lit(None).cast("string").alias("path"))
+    bare = uncovered_projects(projects, references).join(tests.filter("tests > 0").select(F.lit(True).alias("_")), F.lit(True)).select(F.lit("quality.tests.project-uncovered").alias("rule_id"), "path")
+    return none.unionByName(bare)
+
+
+def unresolved_references(references: DataFrame) -> DataFrame:
+    """(rule_id, severity, file_path, symbol) of references (src, dst, resolved) to projects that are not in the workspace."""
+    return references.filter("not resolved").select(F.lit("dependency.project-reference.unresolved").alias("rule_id"), F.lit(2).alias("severity"), F.col("src").alias("file_path"), F.col("dst").alias("symbol"))
+
+
+def npm_inventory(locks: DataFrame) -> DataFrame:
+    """(rule_id, file_path, packages, dev): one finding a lockfile, from npm_lock's rows."""
+    return locks.groupBy("path").agg(F.count(F.lit(1)).alias("packages"), F.count_if("is_dev").alias("dev")).select(F.lit("dependency.npm.inventory").alias("rule_id"), F.col("path").alias("file_path"), "packages", "dev")
+
+
+def syntax_errors(files: DataFrame) -> DataFrame:
+    return files.filter("has_errors").select(F.lit("quality.file.syntax-error").alias("rule_id"), F.lit(1).alias("severity"), F.col("relative_path").alias("file_path"))
+
+
 def version_conflicts(packages: DataFrame) -> DataFrame:
     """(name, versions) of packages used in several versions."""
     return packages.groupBy(F.lower("name").alias("name")).agg(F.array_sort(F.collect_set("version")).alias("versions")).filter(F.size("versions") > 1)
@@ -91,10 +113,12 @@ def license_counts(packages: DataFrame) -> DataFrame:
 
 
 def framework_support(projects: DataFrame, catalog: DataFrame, today: Column) -> DataFrame:
-    """projects with rule_id by the end of support (framework, end_date) of the catalog; ending soon within 183 days."""
+    """projects with rule_id by the end of support (framework, end_date, legacy) of the catalog: ended, ending within 183 days,
+    supported but legacy, or not in the catalog; others are no findings."""
+    catalog = catalog if "legacy" in catalog.columns else catalog.withColumn("legacy", F.lit(False))
     df = projects.join(catalog, F.lower("target_framework") == F.lower("framework"), "left")
     left = F.datediff("end_date", today)
-    rule = F.when(F.col("framework").isNull(), "dependency.framework.unknown").when(left < 0, "dependency.framework.end-of-life").when(left <= 183, "dependency.framework.ending-soon")
+    rule = F.when(F.col("framework").isNull(), "dependency.framework.unknown").when(left < 0, "dependency.framework.end-of-life").when(left <= 183, "dependency.framework.ending-soon").when(F.coalesce("legacy", F.lit(False)), "dependency.framework.legacy")
     return df.withColumn("rule_id", rule).filter("rule_id is not null").select("path", "target_framework", "rule_id")
 
 

@@ -157,8 +157,10 @@ def git_churn(log: DataFrame) -> DataFrame:
     """(path, commits, lines_added, lines_deleted, authors, first_change, last_change) from numstat lines.
 
     log: (n, text), n in file order; a header line is 'commit<TAB>hash<TAB>epoch<TAB>email<TAB>name'. Bots are left out.
-    Renames written 'a => b' count for the new path.
+    Renames written 'a => b' count for the new path, and what a file was called before counts for its newest name.
     """
+    from .manifests import renamed_paths
+
     from pyspark.sql import Window
 
     parts = F.split("text", "\t")
@@ -167,6 +169,7 @@ def git_churn(log: DataFrame) -> DataFrame:
     rows = log.withColumn("h", F.last(header, ignorenulls=True).over(w)).filter(F.col("text").rlike(r"^(\d+|-)\t(\d+|-)\t"))
     path = F.regexp_replace(F.regexp_replace(parts[2], r"\{[^{}]* => ([^{}]*)\}", "$1"), r"^.* => ", "")
     rows = rows.select("repo", F.regexp_replace(path, "//", "/").alias("path"), F.coalesce(parts[0].try_cast("int"), F.lit(0)).alias("a"), F.coalesce(parts[1].try_cast("int"), F.lit(0)).alias("d"), "h.*").filter(~is_bot(F.col("email"), F.col("name")))
+    rows = rows.join(renamed_paths(log), ["repo", "path"], "left").withColumn("path", F.coalesce("alias", "path")).drop("alias")
     return rows.groupBy("repo", "path").agg(F.countDistinct("hash").alias("commits"), F.sum("a").alias("lines_added"), F.sum("d").alias("lines_deleted"), F.countDistinct(author_key(F.col("email"), F.col("name"))).alias("authors"), F.min("at").alias("first_change"), F.max("at").alias("last_change"))
 
 
