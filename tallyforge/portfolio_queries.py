@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import matching
+from .functions.scalar import sensitive_category
+from .functions.versions import in_segment, version_key
+from .operators import graph, matching
 from .plans import health, modernization, portfolio
 from .queries import ESTATES, FINDINGS, PRICES, estates, order_findings, query, table
 
@@ -237,15 +239,15 @@ def merged_candidates(spark, d):
 
 
 @query("""
-with recursive r as (select o_custkey as k, o_orderkey as id, (o_orderkey * 37 % 9000)::int as n, row_number() over (partition by o_custkey order by o_orderkey) as i from orders),
+with recursive r as (select o_custkey as k, o_orderkey as id, (o_orderkey * 37 % 900)::int as n, row_number() over (partition by o_custkey order by o_orderkey) as i from orders),
 w as (select k, id, n, i, 0 as batch, 1 as c, n as chars from r where i = 1
-      union all select r.k, r.id, r.n, r.i, w.batch + (w.c >= 4 or w.chars + r.n > 14000)::int, case when w.c >= 4 or w.chars + r.n > 14000 then 1 else w.c + 1 end, case when w.c >= 4 or w.chars + r.n > 14000 then r.n else w.chars + r.n end
+      union all select r.k, r.id, r.n, r.i, w.batch + (w.c >= 4 or w.chars + r.n > 1400)::int, case when w.c >= 4 or w.chars + r.n > 1400 then 1 else w.c + 1 end, case when w.c >= 4 or w.chars + r.n > 1400 then r.n else w.chars + r.n end
       from w join r on r.k = w.k and r.i = w.i + 1)
 select k, id, batch from w
 """)
 def greedy_batches(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), F.repeat(F.lit("x"), (F.col("o_orderkey") * 37 % 9000).cast("int")).alias("snippet"))
-    return portfolio.batched(o, "k", ["id"]).select("k", "id", "batch")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), F.repeat(F.lit("x"), (F.col("o_orderkey") * 37 % 900).cast("int")).alias("snippet"))
+    return portfolio.batched(o, "k", ["id"], chars=1400).select("k", "id", "batch")
 
 
 @query(ESTATES + """
@@ -340,3 +342,46 @@ def orphaned_uploads(spark, d):
     a = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderdate").cast("timestamp_ntz").alias("written"))
     used = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("locator"))
     return portfolio.orphaned(a, used, F.expr("timestamp_ntz '1998-01-01'"), 30).select("id")
+
+
+@query("""
+with s as (select * from (values ('small', 1, 5, 21), ('small', 2, 35, null), ('medium', 3, null, 10), ('large', 4, 12, 45), ('promo', 5, 30, 31)) v(k, id, lo, hi))
+select p_partkey, id from part join s on lower(split_part(p_type, ' ', 1)) = k where (lo is null or p_size >= lo) and (hi is null or p_size < hi)
+""")
+def version_segments(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.lower(F.split("p_type", " ")[0]).alias("k"), F.concat(F.lit("v"), F.floor(F.col("p_size") / 10).cast("string"), F.lit("."), (F.col("p_size") % 10).cast("string"), F.lit(".0")).alias("version"))
+    s = spark.createDataFrame([("small", 1, "0.5", "2.1-rc1+x"), ("small", 2, "3.5", None), ("medium", 3, None, "1.0"), ("large", 4, "1.2.0.0", "4.5"), ("promo", 5, "3", "3.1")], "k string, id int, lo string, hi string")
+    keys = p.select("version").distinct().withColumn("key", version_key("version"))
+    s = s.withColumns({"lo": version_key("lo"), "hi": version_key("hi")})
+    hit = p.join(keys, "version").join(s, "k").filter(in_segment(F.col("key"), F.col("lo"), F.col("hi"), F.lit(None).cast("string")))
+    return hit.select("p_partkey", "id")
+
+
+@query("select c_custkey, case c_custkey % 8 when 0 then 'identifier' when 1 then 'contact' when 2 then 'financial' when 3 then 'health' when 4 then 'credential' when 5 then 'birth' end as category from customer")
+def personal_data_names(spark, d):
+    names = ["CustomerCPF", "home_address", "CardNumber", "blood-type", "[SenhaHash]", "DateOfBirth", "pinCode", "Address"]
+    n = F.element_at(F.array(*map(F.lit, names)), (F.col("c_custkey") % 8 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", sensitive_category(n).alias("category"))
+
+
+@query("""
+with e as (select distinct l_suppkey as a, l_partkey % 60 as b from lineitem where l_suppkey <> l_partkey % 60),
+n as (select a as x from e union select b from e)
+select case when x in (select a from e) and x in (select b from e) then 'inner' else 'edge' end as place, count(*) as nodes, sum((x in (select a from e))::int)::bigint as sources from n group by 1
+""")
+def graph_places(spark, d):
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 60).alias("dst")).filter("src <> dst")
+    g = graph.degrees(e)
+    place = F.when((F.col("fan_in") > 0) & (F.col("fan_out") > 0), "inner").otherwise("edge")
+    return g.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("fan_out") > 0).alias("sources"))
+
+
+@query("""
+with recursive e as (select distinct c_nationkey as src, c_custkey % 37 as dst from customer where c_nationkey <> c_custkey % 37),
+p as (select src, dst from e union select p.src, e.dst from p join e on p.dst = e.src),
+m as (select a.src as node, least(min(a.dst), a.src) as component from p a join p b on a.src = b.dst and a.dst = b.src group by a.src)
+select component, node from m qualify count(*) over (partition by component) > 1
+""")
+def graph_cycles(spark, d):
+    e = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("src"), (F.col("c_custkey") % 37).cast("long").alias("dst"))
+    return graph.cycles(e)

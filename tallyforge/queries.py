@@ -522,7 +522,7 @@ def redact(spark, d):
 
 @query()
 def duplicate_blocks(spark, d):
-    return text_rules.duplicate_blocks(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", 3, 4)
+    return text_rules.duplicate_blocks(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 @query("""
