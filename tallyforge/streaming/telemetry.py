@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.latest import latest_per_key
+from ..operators.store import cut
 
 #: Idle streams are forgotten after three days.
 TTL_MS = 3 * 24 * 3600 * 1000
@@ -72,5 +73,29 @@ def upsert(table: str, keys: list[str], order: str):
     return write
 
 
+def upsert_by(table: str, keys: list[str], order: str, partition: str):
+    """As upsert, in a table partitioned by a column: a batch reads and writes only the partitions that it touches.
+
+    What a partition will hold is written aside first, then takes its place. Merging keeps the newest row of each key, so a
+    batch that is run again, over partitions old or new, ends in the same state. A key stays in its partition.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = cut(batch, "upsert-batch")
+        try:
+            old = spark.read.schema(batch.schema).parquet(table)
+            touched = batch.select(partition).distinct()
+            state = old.join(touched, partition, "left_semi").select(*batch.columns).unionByName(batch)
+        except Exception as e:  # no state yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            state = batch
+        new = cut(latest_per_key(state, keys, [F.desc(order)]), "upsert-state")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(table)
+
+    return write
+
+
 def read_upserted(spark, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(table, spark.read.text(f"{table}/current").first()[0]))

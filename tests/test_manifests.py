@@ -161,3 +161,22 @@ def test_untested_estates(spark):
     r = spark.createDataFrame([("t", "a")], "src string, dst string")
     assert rows(fact_rules.untested_estate(p, r), "rule_id", "path") == [("quality.tests.project-uncovered", "b")]
     assert rows(fact_rules.untested_estate(p.filter("not is_test"), r.limit(0)), "rule_id", "path") == [("quality.tests.none", None)]
+
+
+def test_upsert_by_partition(spark, tmp_path):
+    import glob
+    import os
+
+    from tallyforge.streaming import telemetry
+
+    table = str(tmp_path / "t")
+    write = telemetry.upsert_by(table, ["day", "actor"], "at", "day")
+    batch = lambda *r: spark.createDataFrame(list(r), "day string, actor string, at int, tokens long")
+    write(batch(("d1", "a", 1, 10), ("d1", "b", 1, 5), ("d2", "a", 1, 7)), 0)
+    kept = {f: os.path.getmtime(f) for f in glob.glob(table + "/day=d2/*.parquet")}
+    second = batch(("d1", "a", 2, 11), ("d3", "c", 1, 1), ("d1", "b", 0, 99))
+    for n in (1, 1):
+        write(second, n)
+        got = rows(spark.read.schema("actor string, at int, tokens long, day string").parquet(table), "day", "actor", "tokens")
+        assert got == [("d1", "a", 11), ("d1", "b", 5), ("d2", "a", 7), ("d3", "c", 1)]
+    assert kept and kept == {f: os.path.getmtime(f) for f in glob.glob(table + "/day=d2/*.parquet")}
