@@ -520,7 +520,18 @@ def redact(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text).alias("digest"), count.cast("int").alias("replaced"))
 
 
-@query()
+@query("""
+with a as (select doc_id, string_split(text, chr(10)) as a from documents),
+r as (select doc_id, generate_subscripts(a, 1) as line, unnest(a) as raw from a),
+l as (select doc_id, line, regexp_replace(lower(trim(raw)), '\\s+', ' ', 'g') as raw from r),
+n as (select *, row_number() over (partition by doc_id order by line) as n from l where raw <> ''),
+b as (select doc_id, line, n, list(raw) over w as block, count(*) over w as size from n window w as (partition by doc_id order by n rows between current row and 7 following)),
+t as (select block from b where size = 8 group by 1 having count(*) > 1),
+c as (select distinct doc_id, unnest(generate_series(n, n + 7)) as n from b where size = 8 and block in (select block from t)),
+i as (select *, n - row_number() over (partition by doc_id order by n) as g from c),
+u as (select doc_id, min(n) as lo, max(n) as hi from i group by doc_id, g having hi - lo + 1 >= 12)
+select u.doc_id, x.line::int as first_line, y.line::int as last_line from u join n x on x.doc_id = u.doc_id and x.n = lo join n y on y.doc_id = u.doc_id and y.n = hi
+""")
 def duplicate_blocks(spark, d):
     return text_rules.duplicate_blocks(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
