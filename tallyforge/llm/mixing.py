@@ -25,7 +25,8 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: i
 
     Sources by code point, null last, weigh cycle[0], cycle[1], ..., repeating; together they share all sizes. A
     target stops at most times its source's size; what is over goes to the others by weight. In order of limit over
-    weight, the sources that reach their limit come first, so one pass over the few source rows finds them.
+    weight, the sources that reach their limit come first, so one pass over the few source rows finds them. That pass is
+    one task over a row a source: some millions of sources at most, whatever the number of documents.
     """
     per = sizes.groupBy("s_null", "s").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
     w = F.element_at(F.array(*map(F.lit, cycle)), ((F.row_number().over(Window.orderBy("s_null", "s")) - 1) % len(cycle) + 1).cast("int")).cast("long")
