@@ -23,9 +23,10 @@ TARGETS = ["None", "Met", "OnTrack", "AtRisk", "Missed"]
 ACTIVE = ["Queued", "Leased", "Running"]
 # Tokens an AI request takes for a method, for itself, and gives for a method.
 TOKENS_IN, TOKENS_REQUEST, TOKENS_OUT = 1100, 650, 180
-# Packages and assemblies that tell of a test project, and packages that only look like it.
+# Packages, assemblies and names that tell of a test project, and packages that only look like it.
 TEST_PACKAGES = ["xunit", "nunit", "mstest", "microsoft.net.test.sdk"]
 TEST_ASSEMBLIES = ["nunit.framework", "microsoft.visualstudio.qualitytools", "xunit"]
+TEST_NAME = r"(?i)(\.|^)(Unit|Integration)?Tests?$"
 NOT_TEST = ["xunit.abstractions", "xunit.extensibility", "nunit.engine"]
 
 
@@ -58,7 +59,7 @@ def is_test_project(name: Column, packages: Column, assemblies: Column) -> Colum
     begins = lambda v, words: F.greatest(*[v.startswith(w) for w in words], F.lit(False))
     package = lambda p: ~begins(F.lower(p), NOT_TEST) & (F.lower(p).isin(TEST_PACKAGES) | begins(F.lower(p), [f"{m}." for m in TEST_PACKAGES]))
     assembly = lambda a: begins(F.lower(a), TEST_ASSEMBLIES)
-    return name.rlike(r"(?i)(\.|^)(Unit|Integration)?Tests?$") | F.exists(F.coalesce(packages, none), package) | F.exists(F.coalesce(assemblies, none), assembly)
+    return name.rlike(TEST_NAME) | F.exists(F.coalesce(packages, none), package) | F.exists(F.coalesce(assemblies, none), assembly)
 
 
 def next_run(now: Column, hour: int) -> Column:
