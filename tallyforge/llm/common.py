@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
@@ -42,6 +42,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that a task takes, about: a key with more is dealt over several parts.
+PART = 256
+
+
+def parts_of(n: Column) -> Column:
+    """Over how many parts n rows of one key are dealt."""
+    return F.ceil(n / PART)
+
+
+def dealt_join(many: DataFrame, few: DataFrame, key: str, other: str, name: str = "dealt") -> DataFrame:
+    """many join few on key; few has a row a key. Keys with more than PART rows of many are dealt over parts by `other`, and
+    their rows of few are repeated once a part, so that no key lands in one task."""
+    heavy = materialize(many.groupBy(key).agg(parts_of(F.count(F.lit(1))).alias("parts")).filter("parts > 1"), f"{name}-heavy")
+    if not heavy.take(1):
+        return many.join(few, key)
+    left = many.join(heavy, key, "left").withColumn("part_", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1)))).drop("parts")
+    right = few.join(heavy, key, "left").withColumn("part_", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))).drop("parts")
+    return left.join(right, [key, "part_"]).drop("part_")
+
+
 def column(docs: DataFrame, name: str, kind: str):
     """docs[name], or a typed null where the table has no such column."""
     return docs[name] if name in docs.columns else F.lit(None).cast(kind).alias(name)

@@ -10,12 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, column, hash_segments, materialize, mix64, text_chunks
+from .common import PART, U64, Words, column, dealt_join, hash_segments, materialize, mix64, parts_of, text_chunks
 
 #: Signature values are compared this many at a time.
 BATCH = 16
-#: Rows of one key that a task takes, about: a key with more is dealt over several parts.
-PART = 256
 #: Members of a group that meet as one block in the last round; a larger group becomes pairs of blocks.
 BLOCK = 1024
 
@@ -198,25 +196,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "compon
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _parts(n: Column) -> Column:
-    """Over how many parts n rows of one key are dealt."""
-    return F.ceil(n / PART)
-
-
-def _dealt_join(many: DataFrame, few: DataFrame, key: str, other: str) -> DataFrame:
-    """many join few on key; few has a row a key. Keys with more than PART rows of many are dealt over parts by `other`, and
-    their rows of few are repeated once a part, so that no key lands in one task."""
-    heavy = materialize(many.groupBy(key).agg(_parts(F.count(F.lit(1))).alias("parts")).filter("parts > 1"), "neardup-heavy")
-    if not heavy.take(1):
-        return many.join(few, key)
-    left = many.join(heavy, key, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1)))).drop("parts")
-    right = few.join(heavy, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))).drop("parts")
-    return left.join(right, [key, "part"]).drop("part")
-
-
 def _a_part(per_group: DataFrame) -> DataFrame:
     """Rows of (bucket, m, ...) once for each part of their group."""
-    return per_group.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), _parts(F.col("m")) - 1))).drop("m")
+    return per_group.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts_of(F.col("m")) - 1))).drop("m")
 
 
 def _hubs(active: DataFrame, place: int) -> DataFrame:
@@ -246,7 +228,7 @@ def _classified(docs: DataFrame, shingle: int, percent: int, lower: bool, miss:
     spans = [F.xxhash64(F.lit(i), F.substring("sig", i * rows * 2 + 1, rows * 2)) for i in range(bands)]
     banded = classes.select("rep", "n_shingles", F.explode(F.array(*spans)).alias("bucket"))
     crowded = materialize(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "neardup-crowded")
-    heavy = crowded.filter(F.col("m") > PART).select("bucket", _parts(F.col("m")).alias("parts"))
+    heavy = crowded.filter(F.col("m") > PART).select("bucket", parts_of(F.col("m")).alias("parts"))
     spread = banded.join(heavy, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1)))).drop("parts")
     members = materialize(spread.join(_a_part(crowded.withColumn("size", F.col("m"))), ["bucket", "part"]).withColumnRenamed("size", "m"), "neardup-groups")
     reps = materialize(classes.join(members.select("rep").distinct(), "rep").select("rep", "first", "sig", "bits"), "neardup-reps")
@@ -266,11 +248,11 @@ def _classified(docs: DataFrame, shingle: int, percent: int, lower: bool, miss:
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The links among pairs: the values' batches, then the full sets."""
         signed = pairs.join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-        close = _dealt_join(signed, reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a", "b")
+        close = dealt_join(signed, reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a", "b")
         close = materialize(close.mapInArrow(_pruner(posterior_bounds(t, miss, hashes)), "a long, b long").distinct(), "neardup-close")
         texts = needed.join(close.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
         worded = close.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-        exact = _dealt_join(worded, texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a", "b")
+        exact = dealt_join(worded, texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a", "b")
         return materialize(exact.mapInArrow(_verifier(shingle, percent, lower), "a long, b long").distinct(), "neardup-links")
 
     def joined(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -311,7 +293,7 @@ def _classified(docs: DataFrame, shingle: int, percent: int, lower: bool, miss:
     # The first row of each component; a component may be large, so its rows are dealt over parts.
     placed = materialize(known.select(F.col("id").alias("rep"), "component").join(classes.select("rep", "first"), "rep"), "neardup-placed")
     leads = placed.groupBy("component").agg(F.min("first").alias("lead"))
-    led = _dealt_join(placed.select("rep", "component"), leads, "component", "rep").select("rep", "lead")
+    led = dealt_join(placed.select("rep", "component"), leads, "component", "rep").select("rep", "lead")
     per_class = classes.select("rep", "set_a", "set_b", "n_shingles", "first").join(led, "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("lead", "first").alias("lead"))
     keyed = sketch.select("doc_id", "text_hash", "n_shingles", "set_a", "set_b").join(per_class, ["set_a", "set_b", "n_shingles"], "left")
     return keyed.select("doc_id", "text_hash", "n_shingles", F.col("lead").isNotNull().alias("linked"), "lead")

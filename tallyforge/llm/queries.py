@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, mixing, neardup, packed_ids, repetition, secrets, toxicity, warc
+from . import bpe, filter_trie, fingerprints, infill, langid, mixing, neardup, packed_ids, positive_unlabelled, repetition, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,21 @@ def op10_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(3, 1), "lang_pred", "score", "rejected")
 
 
+def op11_permutation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_trie.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = infill.restore(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = positive_unlabelled.score(docs, positive_unlabelled.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(3, 1), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_locally_consistent_fingerprints": op2_locally_consistent_fingerprints,
@@ -79,8 +94,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_compression_language": op10_compression_language,
+    "op11_permutation_trie": op11_permutation_trie,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_positive_unlabelled_quality": op13_positive_unlabelled_quality,
 }
 
 SQL: dict[str, str] = {
     "op1_pareto_mix": mixing.MIX_SQL,
+    "op11_permutation_trie": filter_trie.AUDIT_SQL,
+    "op12_fill_in_middle": infill.INFILL_SQL,
 }
