@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import LICENSE_CLASSES, cvss3_score, cvss_severity, license_class, path_normalize, sensitive_category
+from ..functions.scalar import LICENSE_CLASSES, cvss_score, cvss_severity, license_class, path_normalize, sensitive_category
 from ..functions.versions import in_segment, version_key
 from ..operators import graph
 
@@ -80,12 +80,14 @@ def version_conflicts(packages: DataFrame) -> DataFrame:
 def vulnerable_packages(packages: DataFrame, segments: DataFrame) -> DataFrame:
     """(name, version, id, score, severity): packages (ecosystem, name, version) inside a segment of osv_segments.
 
-    Equality on ecosystem and name, then a comparison of order-preserving keys, made once for each distinct version.
+    Equality on ecosystem and name, then a comparison of order-preserving keys, made once for each distinct version. Where the table
+    tells pins from ranges, only pins are judged: a range says nothing of what is installed.
     """
+    packages = packages.filter("pinned") if "pinned" in packages.columns else packages
     p = packages.select("ecosystem", F.lower("name").alias("name"), "version").distinct().withColumn("k", version_key("version"))
     s = segments.withColumns({"i": version_key("introduced"), "f": version_key("fixed"), "l": version_key("last_affected")})
     hit = p.join(s, ["ecosystem", "name"]).filter(F.col("k").isNotNull() & in_segment(F.col("k"), F.col("i"), F.col("f"), F.col("l")))
-    score = cvss3_score(F.col("vector"))
+    score = cvss_score(F.col("vector"))
     return hit.select("ecosystem", "name", "version", "id", score.alias("score"), F.coalesce(cvss_severity(score), F.lit(2)).alias("severity")).distinct()
 
 

@@ -56,19 +56,40 @@ def otlp_spans(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return out.filter("i is not null or o is not null").withColumns({"input_tokens": F.coalesce("i", F.lit(0)), "output_tokens": F.coalesce("o", F.lit(0))}).drop("i", "o")
 
 
-SARIF = "struct<runs:array<struct<tool:struct<driver:struct<name:string,rules:array<struct<id:string,properties:map<string,string>>>>>,results:array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,endLine:int>>>>>>>>>"
+SARIF = "struct<runs:array<struct<tool:struct<driver:struct<name:string,rules:array<struct<id:string,properties:map<string,string>>>>>,results:array<struct<ruleId:string,level:string,properties:map<string,string>,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,endLine:int>>>>>>>>>"
 
 
 def sarif_findings(documents: DataFrame, column: str = "content", prefix: str = "external") -> DataFrame:
-    """(rule_id, severity, message, file_path, line_start, line_end) of the first tool's runs of each SARIF document."""
-    d = documents.select(F.from_json(column, SARIF)["runs"].alias("runs")).withColumn("tool", F.col("runs")[0]["tool"]["driver"]["name"])
-    r = d.select("tool", F.explode("runs").alias("run")).filter(F.col("run.tool.driver.name").eqNullSafe(F.col("tool")))
+    """(rule_id, severity, message, file_path, line_start, line_end, sarif_rule) of the first tool's runs of each SARIF document.
+
+    A rule is known by the slug of its id. Where ids of one document share a slug, the first of them, by its place in the rules and then
+    in the results, keeps it, and the others carry a hash of their id, so that they stay rules of their own. A score of a
+    result outranks that of its rule, and both outrank the level.
+    """
+    d = documents.select(F.xxhash64(column).alias("log"), F.from_json(column, SARIF)["runs"].alias("runs")).withColumn("tool", F.get("runs", F.lit(0))["tool"]["driver"]["name"])
+    runs = d.select("log", "tool", F.posexplode("runs").alias("n", "run")).filter(F.lower("run.tool.driver.name").eqNullSafe(F.lower("tool")))
+    original = F.coalesce(F.nullif("f.ruleId", F.lit("")), F.lit("result"))
+    told = runs.select("log", "tool", F.struct(F.lit(0).alias("kind"), "n", F.lit(0).alias("at")).alias("place"), F.explode("run.tool.driver.rules.id").alias("id")).filter("id is not null")
+    results = runs.select("log", "tool", "n", "run", F.posexplode("run.results").alias("at", "f")).withColumn("id", original)
+    seen = told.unionByName(results.select("log", "tool", F.struct(F.lit(1).alias("kind"), "n", "at").alias("place"), "id"))
+    ids = seen.groupBy("log", "id").agg(F.min("place").alias("place")).withColumn("slug", slug(F.col("id")))
+    owners = ids.groupBy("log", "slug").agg(F.min_by("id", F.struct("place", "id")).alias("owner"), F.count(F.lit(1)).alias("sharers")).filter("sharers > 1")
+    apart = F.concat_ws("-", F.left("slug", F.lit(53)), F.left(F.sha2("id", 256), F.lit(6)))
+    clashing = ids.join(owners, ["log", "slug"]).filter("id <> owner").select("log", "id", apart.alias("own_slug")).distinct()
     rules = F.filter(F.col("run.tool.driver.rules"), lambda x: x["id"].isNotNull())
-    scored = F.array_distinct(F.transform(rules, lambda x: F.struct(x["id"], F.try_element_at(x["properties"], F.lit("security-severity")).try_cast("double"))))
-    scores = F.map_from_entries(scored)
-    r = r.select("tool", scores.alias("scores"), F.explode("run.results").alias("f"))
-    loc = F.col("f.locations")[0]["physicalLocation"]
-    return r.select(F.concat_ws(".", F.lit(prefix), slug(F.col("tool")), slug(F.coalesce("f.ruleId", F.lit("unknown")))).alias("rule_id"), sarif_severity(F.try_element_at("scores", F.col("f.ruleId")), F.col("f.level")).alias("severity"), F.col("f.message.text").alias("message"), loc["artifactLocation"]["uri"].alias("file_path"), loc["region"]["startLine"].alias("line_start"), loc["region"]["endLine"].alias("line_end"))
+    scores = F.map_from_entries(F.array_distinct(F.transform(rules, lambda x: F.struct(x["id"], F.try_element_at(x["properties"], F.lit("security-severity")).try_cast("double")))))
+    own = F.try_element_at("f.properties", F.lit("security-severity")).try_cast("double")
+    r = results.join(clashing, ["log", "id"], "left")
+    loc = F.get("f.locations", F.lit(0))["physicalLocation"]
+    return r.select(
+        F.concat_ws(".", F.lit(prefix), slug(F.col("tool")), F.coalesce("own_slug", slug(F.col("id")))).alias("rule_id"),
+        sarif_severity(F.coalesce(own, F.try_element_at(scores, F.col("f.ruleId"))), F.col("f.level")).alias("severity"),
+        F.col("f.message.text").alias("message"),
+        loc["artifactLocation"]["uri"].alias("file_path"),
+        loc["region"]["startLine"].alias("line_start"),
+        loc["region"]["endLine"].alias("line_end"),
+        F.col("id").alias("sarif_rule"),
+    )
 
 
 def npm_dependencies(files: DataFrame) -> DataFrame:
@@ -95,13 +116,61 @@ def python_requirements(files: DataFrame) -> DataFrame:
     return rows.select("path", python_name(name).alias("name"), F.nullif(version, F.lit("")).alias("version"), F.col("l").rlike(r"[^=!<>~]===?\s*[^*,\s]+$").alias("pinned")).filter("name <> ''")
 
 
+# The properties that name the JDK, the first that is there counts.
+JDK_PROPERTIES = ["java.version", "maven.compiler.release", "maven.compiler.source", "maven.compiler.target"]
+
+
+def _element(text: Column, name: str) -> Column:
+    """The text of the first <name> in text, null where there is none."""
+    return F.nullif(F.trim(F.regexp_extract(text, f"<{name}>([^<]*)</{name}>", 1)), F.lit(""))
+
+
+def _interpolated(value: Column, properties: Column, rounds: int = 8) -> Column:
+    """value with each ${name} replaced by its property, over and over, so that properties made of others resolve; null where one has
+    no value, or where a ring of names never ends."""
+    whole = r"^([^$]*)\$\{([^}]+)\}(.*)$"
+
+    def once(v: Column, _: Column) -> Column:
+        part = lambda i: F.regexp_extract(v, whole, i)
+        return F.when(v.rlike(whole), F.concat(part(1), F.try_element_at(properties, part(2)), part(3))).otherwise(v)
+
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), value, once)
+    return F.when(~F.contains(out, F.lit("${")), out)
+
+
+def maven_modules(files: DataFrame) -> DataFrame:
+    """(path, name, jdk, properties, body) of pom.xml files: a module's own name, the JDK that it asks for, and its properties, which
+    name themselves by project.version and the like too. body is what is left without comments."""
+    text = F.regexp_replace("content", r"(?s)<!--.*?-->", "")
+    poms = files.filter(F.col("path").rlike(r"(^|/)pom\.xml$")).select("path", text.alias("body"))
+    block = F.regexp_extract("body", r"(?s)<properties>(.*?)</properties>", 1)
+    entry = r"<([\w.-]+)>([^<]*)</"
+    pairs = F.transform(F.regexp_extract_all(block, F.lit(entry), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, entry, 1).alias("k"), F.trim(F.regexp_extract(x, entry, 2)).alias("v")))
+    own = F.regexp_replace("body", r"(?s)<(parent|dependencies|dependencyManagement|build|profiles|properties|modules|reporting)>.*?</\1>", "")
+    parent = F.regexp_extract("body", r"(?s)<parent>(.*?)</parent>", 1)
+    told = [F.struct(F.lit(f"project.{k}").alias("k"), F.coalesce(_element(own, k), _element(parent, k)).alias("v")) for k in ("groupId", "version")]
+    told += [F.struct(F.lit(f"project.parent.{k}").alias("k"), _element(parent, k).alias("v")) for k in ("groupId", "version")]
+    every = F.filter(F.concat(pairs, F.array(*told)), lambda x: x["v"].isNotNull())
+    # The first of equal names counts.
+    first = F.aggregate(every, F.array().cast("array<struct<k:string,v:string>>"), lambda acc, x: F.when(F.exists(acc, lambda y: y["k"] == x["k"]), acc).otherwise(F.concat(acc, F.array(x))))
+    # A generator keeps the properties from being worked out at each use.
+    df = poms.select("*", F.inline(F.array(F.struct(F.map_from_entries(first).alias("properties"), _element(own, "artifactId").alias("artifact")))))
+    jdk = F.coalesce(*[_interpolated(F.try_element_at("properties", F.lit(p)), F.col("properties")) for p in JDK_PROPERTIES])
+    folder = F.nullif(F.regexp_extract("path", r"([^/]+)/[^/]*$", 1), F.lit(""))
+    return df.select("path", F.coalesce("artifact", folder, F.lit("maven-module")).alias("name"), jdk.alias("jdk"), "properties", "body")
+
+
 def maven_dependencies(files: DataFrame) -> DataFrame:
-    """(path, coordinate, version) of pom.xml files; ${property} comes from the same file only."""
-    poms = files.filter(F.col("path").rlike(r"(^|/)pom\.xml$")).select("path", "content", F.explode(F.regexp_extract_all("content", F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))).alias("d"))
-    get = lambda t: F.trim(F.regexp_extract("d", f"<{t}>([^<]*)</{t}>", 1))
-    df = poms.select("path", "content", F.concat_ws(":", get("groupId"), get("artifactId")).alias("coordinate"), get("version").alias("v")).withColumn("p", F.regexp_extract("v", r"^\$\{(.+)\}$", 1))
-    filled = F.expr("regexp_extract(content, concat('<', regexp_replace(p, '[.]', '[.]'), '>([^<]*)</'), 1)")
-    return df.select("path", F.lower("coordinate").alias("coordinate"), F.nullif(F.when(F.col("p") != "", F.trim(filled)).otherwise(F.col("v")), F.lit("")).alias("version"))
+    """(path, coordinate, version) of pom.xml files: the parent, and the dependencies of the module itself; those that are only managed
+    or belong to a plug-in or a profile are left out. ${names} are resolved within the file; what can't be has no version."""
+    m = maven_modules(files)
+    own = F.regexp_replace("body", r"(?s)<(dependencyManagement|build|profiles|reporting)>.*?</\1>", "")
+    listed = F.regexp_extract_all(own, F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))
+    parent = F.regexp_extract_all("body", F.lit(r"(?s)<parent>(.*?)</parent>"), F.lit(1))
+    rows = m.select("path", "properties", F.explode(F.concat(parent, listed)).alias("d")).withColumn("d", F.regexp_replace("d", r"(?s)<exclusions>.*?</exclusions>", ""))
+    value = lambda name: _interpolated(_element(F.col("d"), name), F.col("properties"))
+    rows = rows.select("path", value("groupId").alias("g"), value("artifactId").alias("a"), value("version").alias("version")).filter("g is not null and a is not null")
+    return rows.select("path", F.lower(F.concat_ws(":", "g", "a")).alias("coordinate"), "version")
 
 
 def gradle_dependencies(files: DataFrame) -> DataFrame:
@@ -134,11 +203,12 @@ OSV = "struct<id:string,withdrawn:string,summary:string,severity:array<struct<ty
 def osv_segments(entries: DataFrame, column: str = "entry") -> DataFrame:
     """(id, ecosystem, name, introduced, fixed, last_affected, vector) of the version segments of OSV entries.
 
-    Withdrawn entries are skipped. Events fold in their order: each introduced opens a segment that the next fixed or
+    Withdrawn entries are skipped. vector is that of CVSS 3, else that of CVSS 4. Events fold in their order: each introduced opens a segment that the next fixed or
     last_affected event closes; one that nothing closes stays open.
     """
     e = entries.select(F.from_json(column, OSV).alias("e")).select("e.*").filter("withdrawn is null")
-    a = e.select("id", F.filter("severity", lambda s: s["type"].startswith("CVSS_V3"))[0]["score"].alias("vector"), F.explode("affected").alias("a")).select("id", "vector", F.col("a.package.ecosystem").alias("ecosystem"), F.lower("a.package.name").alias("name"), F.explode("a.ranges").alias("r")).filter("r.type <> 'GIT'")
+    first = lambda kind: F.get(F.filter("severity", lambda s: s["type"].startswith(kind)), F.lit(0))["score"]
+    a = e.select("id", F.coalesce(first("CVSS_V3"), first("CVSS_V4")).alias("vector"), F.explode("affected").alias("a")).select("id", "vector", F.col("a.package.ecosystem").alias("ecosystem"), F.lower("a.package.name").alias("name"), F.explode("a.ranges").alias("r")).filter("r.type <> 'GIT'")
     seg = "array<struct<introduced:string,fixed:string,last_affected:string>>"
     start = F.array().cast(seg)
     none = F.lit(None).cast("string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,38 +19,68 @@ from . import documents
 
 
 def package_facts(*facts: tuple[str, DataFrame]) -> DataFrame:
-    """(ecosystem, path, name, version) of all parsers' packages in one table, each once. facts: (ecosystem, table with path,
-    name or coordinate, and version or none)."""
+    """(ecosystem, path, name, version, pinned) of all parsers' packages in one table, each once. facts: (ecosystem, table with path,
+    name or coordinate, and version and pinned or none). Where a table doesn't tell, a literal version is a pin and a range is none."""
     out = None
     for ecosystem, df in facts:
         name = "coordinate" if "coordinate" in df.columns else "name"
         version = F.col("version") if "version" in df.columns else F.lit(None).cast("string")
-        one = df.select(F.lit(ecosystem).alias("ecosystem"), "path", F.col(name).alias("name"), version.alias("version"))
+        pinned = F.col("pinned") if "pinned" in df.columns else version.rlike(r"^[vV=]*[0-9][^\s,*$\[\]()<>^~|]*$")
+        one = df.select(F.lit(ecosystem).alias("ecosystem"), "path", F.col(name).alias("name"), version.alias("version"), F.coalesce(pinned, F.lit(False)).alias("pinned"))
         out = one if out is None else out.unionByName(one)
     return out.distinct()
 
 
+def _nested_dependencies(files: DataFrame) -> DataFrame:
+    """(path, name, version, is_dev) of the dependencies of lockfiles and of all that is nested in them, however deep.
+
+    A level of all files at once: entries come out of their object as they stand, and what they hold below is the next level,
+    written between, until none is left. An alias gives the package that it stands for.
+    """
+    field = lambda column, name: F.get_json_object(column, f"$.{name}")
+    below = files.select("path", field("content", "dependencies").alias("inner"))
+    found = None
+    while True:
+        level = cut(below.filter("inner is not null").select("path", F.explode(F.from_json("inner", "map<string,string>")).alias("key", "entry")), "lockfile-level")
+        version, alias = field("entry", "version"), r"^npm:(.+)@([^@]*)$"
+        real = version.rlike(alias)
+        rows = level.select("path", F.when(real, F.regexp_extract(version, alias, 1)).otherwise(F.col("key")).alias("name"), F.when(real, F.regexp_extract(version, alias, 2)).otherwise(version).alias("version"), (field("entry", "dev") == "true").alias("dev"))
+        found = rows if found is None else found.unionByName(rows)
+        below = level.select("path", field("entry", "dependencies").alias("inner"))
+        if not below.filter("inner is not null").take(1):
+            break
+    return found.filter("version is not null").groupBy("path", F.lower("name").alias("name"), "version").agg(F.bool_and(F.coalesce("dev", F.lit(False))).alias("is_dev"))
+
+
+_LOCKFILE = r"(^|/)package-lock\.json$"
+
+
 def npm_lock_v1(files: DataFrame) -> DataFrame:
-    """(path, name, version, is_dev) of lockfiles without a packages map: their dependencies, two levels deep."""
-    one = "version:string,dev:boolean"
-    schema = f"map<string,struct<{one},dependencies:map<string,struct<{one}>>>>"
-    f = files.filter(F.col("path").rlike(r"(^|/)package-lock\.json$") & F.get_json_object("content", "$.packages").isNull())
-    top = f.select("path", F.explode(F.from_json(F.get_json_object("content", "$.dependencies"), schema)).alias("name", "v"))
-    inner = top.select("path", F.explode("v.dependencies").alias("name", "v")).select("path", "name", "v.version", "v.dev")
-    rows = top.select("path", "name", "v.version", "v.dev").unionByName(inner).filter("version is not null")
-    return rows.groupBy("path", F.lower("name").alias("name"), "version").agg(F.bool_and(F.coalesce("dev", F.lit(False))).alias("is_dev"))
+    """(path, name, version, is_dev) of lockfiles without a packages map: their dependencies at every depth. A package of several uses
+    counts as dev only if all are."""
+    return _nested_dependencies(files.filter(F.col("path").rlike(_LOCKFILE) & F.get_json_object("content", "$.packages").isNull()))
 
 
-_SPEC = r"^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(?:(?:===?|>=|~=|<=|>|<|!=|\^)?\s*([0-9][^,;\s\"']*))?"
+def npm_packages(files: DataFrame) -> DataFrame:
+    """(path, name, version, is_dev) of lockfiles of any version: those of the packages map, and where it tells nothing the nested
+    dependencies. Files that are no JSON have none."""
+    flat = documents.npm_lock(files)
+    rest = files.filter(F.col("path").rlike(_LOCKFILE)).join(flat.select("path").distinct(), "path", "left_anti")
+    return flat.unionByName(_nested_dependencies(rest))
+
+
+_SPEC = r"^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(?:(===?|>=|~=|<=|>|<|!=|\^)?\s*([0-9][^,;\s\"']*))?"
 
 
 def _python(rows: DataFrame, spec: Column) -> DataFrame:
-    out = rows.select("path", python_name(F.regexp_extract(spec, _SPEC, 1)).alias("name"), F.nullif(F.regexp_extract(spec, _SPEC, 2), F.lit("")).alias("version"))
+    """(path, name, version, pinned): only == and === pin."""
+    part = lambda i: F.regexp_extract(spec, _SPEC, i)
+    out = rows.select("path", python_name(part(1)).alias("name"), F.nullif(part(3), F.lit("")).alias("version"), (part(2).isin("==", "===") & ~part(3).contains("*")).alias("pinned"))
     return out.filter("name <> '' and name <> 'python'")
 
 
 def pyproject_dependencies(files: DataFrame) -> DataFrame:
-    """(path, name, version) of pyproject.toml: project.dependencies, and the tables of dependencies of a tool."""
+    """(path, name, version, pinned) of pyproject.toml: project.dependencies, and the tables of dependencies of a tool."""
     f = files.filter(F.col("path").rlike(r"(^|/)pyproject\.toml$"))
     listed = F.regexp_extract("content", r"(?ms)^\[project\].*?^dependencies\s*=\s*\[(.*?)^?\]\s*$", 1)
     pep = _python(f.select("path", F.explode(F.regexp_extract_all(listed, F.lit(r"[\"']([^\"']+)[\"']"), F.lit(1))).alias("s")), F.col("s"))
@@ -61,7 +92,7 @@ def pipfile_dependencies(files: DataFrame) -> DataFrame:
 
 
 def setup_dependencies(files: DataFrame) -> DataFrame:
-    """(path, name, version) of install_requires in setup.py and setup.cfg."""
+    """(path, name, version, pinned) of install_requires in setup.py and setup.cfg."""
     f = files.filter(F.col("path").rlike(r"(^|/)setup\.(py|cfg)$"))
     quoted = F.regexp_extract_all(F.regexp_extract("content", r"(?s)install_requires\s*=\s*\[(.*?)\]", 1), F.lit(r"[\"']([^\"']+)[\"']"), F.lit(1))
     plain = F.filter(F.transform(F.split(F.regexp_extract("content", r"(?m)^install_requires\s*=\s*\n((?:[ \t]+\S.*\n?)+)", 1), "\n"), lambda s: F.trim(s)), lambda s: s != "")
@@ -75,8 +106,10 @@ def _table(files: DataFrame, header: str) -> DataFrame:
     section = F.last(F.when(F.col("l").startswith("["), F.col("l")), ignorenulls=True).over(w)
     rows = rows.withColumn("s", section).filter(F.col("s").rlike(rf"^\[{header}\]")).filter(F.col("l").rlike(r"^[A-Za-z0-9\"]") & F.col("l").contains("="))
     name = python_name(F.regexp_replace(F.regexp_extract("l", r"^\"?([A-Za-z0-9._-]+)", 1), "\"", ""))
-    version = F.regexp_extract("l", r"=\s*(?:\{.*?version\s*=\s*)?[\"'][\^~=<>! ]*([0-9][^,\"']*)", 1)
-    return rows.select("path", name.alias("name"), F.nullif(version, F.lit("")).alias("version")).filter("name <> 'python'")
+    value = r"=\s*(?:\{.*?version\s*=\s*)?[\"']\s*([\^~=<>!]*)\s*v?([0-9][^,\"']*)(,?)"
+    part = lambda i: F.regexp_extract("l", value, i)
+    pinned = (part(2) != "") & part(1).isin("", "=", "==", "===") & ~part(2).contains("*") & (part(3) == "")
+    return rows.select("path", name.alias("name"), F.nullif(part(2), F.lit("")).alias("version"), pinned.alias("pinned")).filter("name <> 'python'")
 
 
 # Build files
@@ -141,62 +174,112 @@ def known_servers(servers: DataFrame, known: DataFrame) -> DataFrame:
 
 # Databases
 
-# What begins a routine and ends a batch, what counts as a branch, a cursor and a statement, what executes text,
-# and how many characters behind it are read.
-_START = re.compile(r"(?im)^\s*CREATE\s+(?:OR\s+(?:ALTER|REPLACE)\s+)?(PROCEDURE|PROC|FUNCTION|TRIGGER)\s+([\[\]\"\w.]+)")
-_GO = re.compile(r"(?im)^\s*GO\s*;?\s*$")
-_COMMENT = re.compile(r"(?s)--[^\n]*|/\*.*?\*/")
-_STRING = re.compile(r"'(?:[^']|'')*'")
-_COUNTS = {
-    "decisions": re.compile(r"(?i)\b(IF|WHILE|CASE|WHEN|ELSIF|ELSEIF|LOOP)\b"),
-    "cursors": re.compile(r"(?i)\bDECLARE\s+\w+\s+(?:INSENSITIVE\s+|SCROLL\s+)*CURSOR\b|\bCURSOR\s+\w+\s+(?:IS|FOR)\b"),
-    "statements": re.compile(r"(?i)\b(SELECT|INSERT|UPDATE|DELETE|MERGE|SET|EXEC|EXECUTE|RETURN|RAISERROR|THROW|BEGIN|COMMIT|ROLLBACK)\b"),
-}
-_EXEC = re.compile(r"(?i)\b(EXEC|EXECUTE)\s*\(|\bsp_executesql\b|\bEXECUTE\s+IMMEDIATE\b")
-_ASSIGN = re.compile(r"(?i)\b(?:SET|SELECT)\s+(@\w+)\s*(\+?=)([^\n]*)|\bDECLARE\s+(@\w+)\s+[^=\n;]*(=)([^\n]*)")
+# Kinds of routines, words that add a branch, words that begin a statement, and how many characters behind a call
+# that executes text are read.
+_ROUTINES = {"PROCEDURE": "procedure", "PROC": "procedure", "FUNCTION": "function", "TRIGGER": "trigger"}
+_BRANCHES = {"IF", "WHILE", "CASE", "WHEN", "ELSIF", "ELSEIF", "LOOP"}
+_STATEMENTS = {"SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "SET", "EXEC", "EXECUTE", "RETURN", "RAISERROR", "THROW", "BEGIN", "COMMIT", "ROLLBACK"}
 _REACH = 400
-
-
-def _joins(text: str) -> bool:
-    return "+" in text or "||" in text or "concat(" in text.lower()
-
-
-def _is_dynamic(body: str) -> bool:
-    """Text is put together where it is executed, or in an assignment to the variable that is executed."""
-    built: dict[str, bool] = {}
-    for m in _ASSIGN.finditer(body):
-        name = (m[1] or m[4]).lower()
-        built[name] = built.get(name, False) or (m[2] == "+=") or _joins(m[3] or m[6] or "")
-    for m in _EXEC.finditer(body):
-        line = body[m.end() : m.end() + _REACH].split("\n", 1)[0]
-        line = line.split(";", 1)[0]
-        variable = re.search(r"@\w+", line)
-        if _joins(line) or (variable and built.get(variable[0].lower())):
-            return True
-    return False
+# A token: a comment, a string, a quoted name, a word or variable, two signs that belong together, or one.
+_TOKEN = re.compile(r"(?s)(?P<comment>--[^\n]*|/\*.*?(?:\*/|\Z))|(?P<text>'[^']*')|(?P<word>\[[^\]\n]*\]|\"[^\"\n]*\"|@{0,2}\w[\w$#]*)|(?P<sign>\|\||\+=|[^\s\w])")
+
+
+class _Sql:
+    """The tokens of a script without its comments: spelt as they stand, in upper case, where they begin, and their line."""
+
+    def __init__(self, sql: str):
+        found = [m for m in _TOKEN.finditer(sql) if m.lastgroup != "comment"]
+        self.text = [m[0] for m in found]
+        self.up = [m[0].upper() if m.lastgroup != "text" else "''" for m in found]
+        self.at = [m.start() for m in found]
+        breaks = [i for i, c in enumerate(sql) if c == "\n"]
+        self.line = [bisect_left(breaks, p) for p in self.at]
+        self.size = len(found)
+
+    def leads(self, i: int) -> bool:
+        """Whether a token is the first of its line."""
+        return i == 0 or self.line[i - 1] < self.line[i]
+
+    def heads(self) -> Iterator[tuple[int, int, int]]:
+        """(CREATE, kind, end of the name) of each routine's beginning."""
+        for i in range(self.size):
+            if self.up[i] != "CREATE" or not self.leads(i):
+                continue
+            kind = i + 1
+            if self.up[kind : kind + 1] == ["OR"] and self.up[kind + 1 : kind + 2] in (["ALTER"], ["REPLACE"]):
+                kind += 2
+            if kind + 1 < self.size and self.up[kind] in _ROUTINES:
+                end = kind + 2
+                while end + 1 < self.size and self.up[end] == ".":
+                    end += 2
+                yield i, kind, end
+
+    def batch_end(self, lo: int, hi: int) -> int:
+        """The first GO that has its line for itself, or hi."""
+        for i in range(lo, hi):
+            alone = i + 1 >= self.size or self.leads(i + 1) or (self.up[i + 1] == ";" and (i + 2 >= self.size or self.leads(i + 2)))
+            if self.up[i] == "GO" and self.leads(i) and alone:
+                return i
+        return hi
+
+    def cursors(self, lo: int, hi: int) -> int:
+        """DECLARE name ... CURSOR, and CURSOR name IS or FOR."""
+        n = 0
+        for i in range(lo, hi):
+            if self.up[i] == "DECLARE":
+                j = i + 2
+                while j < hi and self.up[j] in ("INSENSITIVE", "SCROLL"):
+                    j += 1
+                n += j < hi and self.up[j] == "CURSOR"
+            elif self.up[i] == "CURSOR" and i + 2 < hi and self.up[i + 2] in ("IS", "FOR"):
+                n += 1
+        return n
+
+    def is_dynamic(self, lo: int, hi: int) -> bool:
+        """Text is put together where it is executed, or in an assignment to the variable that is executed."""
+        joins = lambda part: any(t in ("+", "||", "+=", "CONCAT") for t in part)
+        same_line = lambda i, j: next((k for k in range(i, j) if self.line[k] > self.line[i - 1]), j)
+        built: set[str] = set()
+        for i in range(lo, hi - 2):
+            name, j = self.up[i + 1], i + 2
+            if self.up[i] == "DECLARE" and name.startswith("@"):
+                # The sign may stand behind the type, before the statement or the line ends.
+                j = next((k for k in range(j, same_line(j, hi)) if self.up[k] in ("=", ";")), hi)
+            elif self.up[i] not in ("SET", "SELECT") or not name.startswith("@"):
+                continue
+            if j < hi and (self.up[j] == "+=" or self.up[j] == "=" and joins(self.up[j + 1 : same_line(j + 1, hi)])):
+                built.add(name)
+        for i in range(lo, hi):
+            call = self.up[i] in ("EXEC", "EXECUTE") and self.up[i + 1 : min(i + 2, hi)] in (["("], ["IMMEDIATE"])
+            if not call and self.up[i] != "SP_EXECUTESQL":
+                continue
+            first = i + 2 if call else i + 1
+            end = next((k for k in range(first, same_line(first, hi)) if self.up[k] == ";" or self.at[k] > self.at[first - 1] + _REACH), same_line(first, hi)) if first < hi else hi
+            part = self.up[first:end]
+            if joins(part) or next((v for v in part if v.startswith("@")), None) in built:
+                return True
+        return False
 
 
 def sql_routines(files: DataFrame) -> DataFrame:
     """(path, kind, name, line, end_line, complexity, cursors, statements, select_all, dynamic_sql) of routines in SQL files.
 
-    A routine ends before the next one or at its batch's GO. Counts leave out comments; what is put together inside a
-    string does not count as concatenation. One file at a time, in batches of files.
+    A routine ends before the next one or at its batch's GO. Comments and what stands in strings count for nothing. Files are read
+    as tokens, one at a time, in batches of files; a file must fit into Arrow's two GB of text.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, sql in zip(b["path"], b["content"]):
-                starts = list(_START.finditer(sql or ""))
-                for m, after in zip(starts, [*starts[1:], None]):
-                    end = after.start() if after else len(sql)
-                    go = _GO.search(sql, m.start(), end)
-                    body = sql[m.start() : go.start() if go else end].rstrip()
-                    plain = _COMMENT.sub("", body)
-                    n = {k: len(p.findall(plain)) for k, p in _COUNTS.items()}
-                    kind = "procedure" if m[1].upper() == "PROC" else m[1].lower()
-                    line = sql.count("\n", 0, m.start(1)) + 1
-                    rows.append((path, kind, re.sub(r"[\[\]\"]", "", m[2]), line, line + body.lstrip().count("\n"), 1 + n["decisions"], n["cursors"], n["statements"], bool(re.search(r"(?i)\bSELECT\s+\*", plain)), _is_dynamic(_COMMENT.sub("", _STRING.sub("''", body)))))
+                t = _Sql(sql or "")
+                heads = list(t.heads())
+                for (lo, kind, end), after in zip(heads, [*(h[0] for h in heads[1:]), t.size]):
+                    hi = t.batch_end(lo, after)
+                    up = t.up[lo:hi]
+                    name = re.sub(r"[\[\]\"]", "", "".join(t.text[kind + 1 : end]))
+                    everything = any(x == "SELECT" and y == "*" for x, y in zip(up, up[1:]))
+                    rows.append((path, _ROUTINES[t.up[kind]], name, t.line[kind] + 1, t.line[hi - 1] + 1, 1 + sum(x in _BRANCHES for x in up), t.cursors(lo, hi), sum(x in _STATEMENTS for x in up), everything, t.is_dynamic(lo, hi)))
             yield pd.DataFrame(rows, columns=["path", "kind", "name", "line", "end_line", "complexity", "cursors", "statements", "select_all", "dynamic_sql"])
 
     schema = "path string, kind string, name string, line int, end_line int, complexity int, cursors int, statements int, select_all boolean, dynamic_sql boolean"
