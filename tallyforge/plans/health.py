@@ -94,10 +94,31 @@ def open_summary(findings: DataFrame, *keys: str) -> DataFrame:
     return findings.filter(F.col("status").isin(OPEN)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Fixed value: an id that was split into others, which estates that were never scanned again still hold.
+RETIRED_RULES = ["dependency.migration-blocker"]
+
+
 def top_rules(findings: DataFrame, k: int = 15) -> DataFrame:
-    """(rule_id, max_severity, n, assessments), the k of most findings; ties by rule."""
-    per = findings.groupBy("rule_id").agg(F.max("severity").alias("max_severity"), F.count(F.lit(1)).alias("n"), F.countDistinct("assessment_id").alias("assessments"))
-    return per.orderBy(F.desc("n"), "rule_id").limit(k)
+    """(rule_id, max_severity, n, assessments), the k rules of the greatest severity, then of most findings; ties by rule. Retired
+    rules are left out."""
+    per = findings.filter(~F.col("rule_id").isin(RETIRED_RULES)).groupBy("rule_id").agg(F.max("severity").alias("max_severity"), F.count(F.lit(1)).alias("n"), F.countDistinct("assessment_id").alias("assessments"))
+    return per.orderBy(F.desc("max_severity"), F.desc("n"), "rule_id").limit(k)
+
+
+def refreshed(snapshots: DataFrame, findings: DataFrame, projects: DataFrame, changed: DataFrame, key: str, at: Column) -> DataFrame:
+    """snapshots with a new row, of null run_id, for each key of `changed`, from the findings as they stand now.
+
+    snapshots: key, run_id, commit, taken_at, project_count and the columns of health; findings: key, category, severity, status;
+    projects: key, project_count; changed: keys of findings that a decision touched, repeated or not. Only those keys' findings
+    and projects are read: the semi join stands below the aggregate, and prunes partitions where the table has them by key. A
+    new row takes over the commit of the key's last one.
+    """
+    mine = changed.select(key).distinct()
+    open_ = findings.filter(F.col("status").isin(OPEN)).join(mine, key, "left_semi")
+    scores = health(open_, projects.join(mine, key, "left_semi"), key)
+    last = snapshots.join(mine, key, "left_semi").groupBy(key).agg(F.max_by("commit", "taken_at").alias("commit"))
+    new = scores.join(last, key, "left").withColumns({"run_id": F.lit(None).cast(snapshots.schema["run_id"].dataType), "taken_at": at})
+    return snapshots.unionByName(new.select(*[new[c] if c in new.columns else F.lit(None).cast(snapshots.schema[c].dataType).alias(c) for c in snapshots.columns]))
 
 
 def by_rule(findings: DataFrame, files: int = 5) -> DataFrame:
@@ -141,6 +162,62 @@ def run_diff(findings: DataFrame, before: str, after: str) -> DataFrame:
     ).filter("n_new + n_resolved + n_regressed > 0")
 
 
+def rule_deltas(findings: DataFrame, scans: list[str], samples: int = 5) -> DataFrame:
+    """(kind, rule_id, category, max_severity, n, locations) of what the scans of one run changed, by rule: kind is new, resolved or
+    regressed.
+
+    findings: rule_id, category, severity, status, first_seen_scan_id, last_seen_scan_id, resolved_scan_id, file, line, symbol. locations
+    are the `samples` least places, 'file:line', the file alone, or the symbol where there is no file. A task keeps no
+    more than that many of a rule before they meet, so no rule's findings are sorted whole.
+    """
+    of = lambda c: F.col(c).isin(scans)
+    kinds = F.array_compact(F.array(
+        F.when(of("first_seen_scan_id"), "new"),
+        F.when(of("resolved_scan_id"), "resolved"),
+        F.when((F.col("status") == "Regressed") & of("last_seen_scan_id") & ~of("first_seen_scan_id"), "regressed"),
+    ))
+    place = F.when(F.col("file").isNull(), F.col("symbol")).otherwise(F.concat_ws(":", "file", F.col("line").cast("string")))
+    touched = findings.withColumn("kind", F.explode(kinds)).withColumn("place", F.nullif(place, F.lit("")))
+    per = touched.groupBy("kind", "rule_id").agg(F.min("category").alias("category"), F.max("severity").alias("max_severity"), F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("kind", "rule_id").orderBy("place")
+    few = touched.filter("place is not null").select("kind", "rule_id", "place").distinct().withColumn("r", F.row_number().over(w)).filter(F.col("r") <= samples)
+    few = few.groupBy("kind", "rule_id").agg(F.array_sort(F.collect_list("place")).alias("locations"))
+    out = per.join(few, ["kind", "rule_id"], "left")
+    return out.withColumn("locations", F.coalesce("locations", F.array().cast("array<string>"))).orderBy("kind", F.desc("max_severity"), F.desc("n"), "rule_id")
+
+
+def severity_deltas(findings: DataFrame, scans: list[str]) -> DataFrame:
+    """(severity, n_new, n_regressed) of the scans of one run; severities without either are left out."""
+    new = F.col("first_seen_scan_id").isin(scans)
+    back = (F.col("status") == "Regressed") & F.col("last_seen_scan_id").isin(scans) & ~new
+    return findings.groupBy("severity").agg(F.count_if(new).alias("n_new"), F.count_if(back).alias("n_regressed")).filter("n_new + n_regressed > 0")
+
+
+def dimension_deltas(snapshots: DataFrame, key: str) -> DataFrame:
+    """(key, dimension, before, after, delta) of each key's last two runs. snapshots: key, run (a number), and the columns of health; a key
+    with one run has null before and delta. Overall comes first."""
+    from ..operators.latest import top_k
+
+    two = top_k(snapshots, [key], [F.desc("run")], 2)
+    names = ["Overall", *[n for n, _, _ in DIMENSIONS]]
+    columns = ["score", *[f"score_{n.lower()}" for n, _, _ in DIMENSIONS]]
+    each = two.select(key, "run", F.inline(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("dimension"), F.col(c).alias("value")) for i, (n, c) in enumerate(zip(names, columns))])))
+    pair = each.groupBy(key, "place", "dimension").agg(F.max_by("value", "run").alias("after"), F.min_by("value", "run").alias("first"), F.count(F.lit(1)).alias("runs"))
+    before = F.when(F.col("runs") > 1, F.col("first"))
+    return pair.select(key, "place", "dimension", before.alias("before"), "after", (F.col("after") - before).alias("delta")).orderBy(key, "place").drop("place")
+
+
+def inventory_deltas(inventories: DataFrame, key: str) -> DataFrame:
+    """(key, lines_before, lines_after, files_before, ...) of each key's last two runs that have an inventory; keys with one are left
+    out. inventories: key, run, lines, files, projects, several rows a run."""
+    from ..operators.latest import top_k
+
+    sums = ["lines", "files", "projects"]
+    per_run = inventories.groupBy(key, "run").agg(*[F.sum(c).alias(c) for c in sums])
+    pair = top_k(per_run, [key], [F.desc("run")], 2).groupBy(key).agg(*[x for c in sums for x in (F.min_by(c, "run").alias(f"{c}_before"), F.max_by(c, "run").alias(f"{c}_after"))], F.count(F.lit(1)).alias("_n"))
+    return pair.filter("_n > 1").drop("_n")
+
+
 def rule_differences(findings: DataFrame, side: str, a: str, b: str, k: int = 12) -> DataFrame:
     """(rule_id, n_a, n_b): rules whose counts differ between two sides, the k largest differences."""
     per = findings.filter(F.col(side).isin(a, b)).groupBy("rule_id").agg(F.count_if(F.col(side) == a).alias("n_a"), F.count_if(F.col(side) == b).alias("n_b")).filter("n_a <> n_b")
