@@ -10,25 +10,28 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column
-
-# Published token formats, and the names that assignments of secrets go by. No secret has an upper bound: a
-# match that stops early leaves the rest in the text. A key block without an END runs to the end of the text.
-_BLOCK = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?s:.*?)(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|\z)"
-_ASSIGNED = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret)[\"']?\s{0,3}[:=]\s{0,3}"
+from .common import column, materialize
+
+# Published token formats, and the names that assignments of secrets go by, alone or behind a prefix (DB_PASSWORD,
+# dbPassword). No secret has an upper bound: a match that stops early leaves the rest in the text. A key block without an
+# END runs to the end of the text. Runs are possessive, and a token that may fail after a long run begins within the first
+# characters of its run, so that no run is read again from each of its places.
+_BLOCK = r"-----BEGIN [A-Z0-9 ]*+(?<=PRIVATE KEY|PRIVATE KEY BLOCK)-----(?s:.*?)(?:-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|\z)"
+_ASSIGNED = r"(?:password|passwd|passphrase|pwd|client[_-]?secret|secret|token|(?:api|access|secret|private|account|signing|encryption|auth|master)[_-]?key)[0-9]{0,2}[\"']?\s{0,3}[:=]\s{0,3}"
+_NAME_START = r"(?:\b|(?<=_)|(?<=[a-z0-9])(?=[A-Z]))"
 RULES = {
     "private-key": _BLOCK,
     "aws-access-key-id": r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA)[0-9A-Z]{16}\b",
     "github-token": r"\b(?:gh[pousr]_[0-9A-Za-z]{36,}|github_pat_[0-9A-Za-z_]{36,})",
     "slack-token": r"\bxox[abeoprs]-[0-9A-Za-z-]{10,}",
     "stripe-key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}",
-    "vendor-token": r"\b(?:sk-(?:proj-|ant-|svcacct-)?|npm_|glpat-|hf_|pypi-|dop_v1_|shp(?:at|ca|pa|ss)_|SG\.|ya29\.|GOCSPX-|xapp-|lin_api_|dapi)(?=[0-9A-Za-z_.-]*[0-9])[0-9A-Za-z_.-]{20,}",
+    "vendor-token": r"\b(?:sk-(?:proj-|ant-|svcacct-)?|npm_|glpat-|hf_|pypi-|dop_v1_|shp(?:at|ca|pa|ss)_|SG\.|ya29\.|GOCSPX-|xapp-|lin_api_|dapi)(?<=(?<![0-9A-Za-z_.-])[0-9A-Za-z_.-]{0,24})(?=[A-Za-z_.-]*+[0-9])[0-9A-Za-z_.-]{20,}",
     "google-api-key": r"\bAIza[0-9A-Za-z_-]{35,}",
-    "json-web-token": r"\beyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
-    "url-credentials": r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:[^\s/@]{3,}@",
+    "json-web-token": r"\beyJ(?<=(?<![0-9A-Za-z_-])[0-9A-Za-z_-]{0,19})[0-9A-Za-z_-]{8,}+\.eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}",
+    "url-credentials": r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]++:[^\s/@]{3,}+@",
     "bearer": r"(?i:\bbearer\s{1,3}[0-9a-z._~+/=-]{16,})",
-    "assignment": rf"(?i:\b{_ASSIGNED}(?:[\"']?(?-i:{_BLOCK})|[\"']?bearer\s{{1,3}}[^\s\"'<>;,]{{6,}}|\"[^\s\"]{{6,}}|'[^\s']{{6,}}|[^\s\"'<>;,]{{6,}}))",
-    "hex-string": r"\b[0-9A-Fa-f]{32,}\b",
+    "assignment": rf"{_NAME_START}(?i:{_ASSIGNED}(?:[\"']?(?-i:{_BLOCK})|[\"']?bearer\s{{1,3}}[^\s\"'<>;,]{{6,}}|\"[^\s\"]{{6,}}|'[^\s']{{6,}}|[^\s\"'<>;,]{{6,}}))",
+    "hex-string": r"\b[0-9A-Fa-f]{32,}+\b",
 }
 CANDIDATE = "|".join(RULES.values())
 _NAME = rf"^(?i:{_ASSIGNED}[\"']?(?:bearer\s{{1,3}})?|bearer\s{{1,3}})"
@@ -127,8 +130,9 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
 def labelled_findings(spark: SparkSession, n: int = 4000, words: list[str] | None = None) -> DataFrame:
     """(text, path, label, kind): n lines with one finding each, half of them secrets, made from the row number alone.
 
-    Secrets are random strings of the published formats; the others are placeholders, code, paths, documentation
-    keys, hashes that stand beside words such as commit or checksum, and names put together from words of the dictionary.
+    Secrets are random strings of the published formats, and phrases of four words; the others are placeholders, code, paths,
+    documentation keys, hashes that stand alone or beside words such as commit or checksum, and names put together from one
+    or two words of the dictionary.
     kind numbers the form of a line, so that a test can hold whole forms back.
     """
     words = words or ["lantern", "meadow", "copper", "window", "harbour", "morning", "garden", "silver"]
@@ -141,6 +145,8 @@ def labelled_findings(spark: SparkSession, n: int = 4000, words: list[str] | Non
     q = pick("q", ["", "", '"', "'"])
     eq = pick("eq", ["=", " = ", ": ", "="])
     name = pick("name", ["password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "client_secret", "pwd"])
+    join = pick("join3", ["-", "_", "."])
+    prefix = pick("prefix", ["DB_", "AWS_", "my_", "APP_", "prod-", "db."])
     blank = F.lit("")
     secrets = [
         F.concat(name, eq, q, hexes("a", 18), q),
@@ -161,6 +167,10 @@ def labelled_findings(spark: SparkSession, n: int = 4000, words: list[str] | Non
         F.concat(pick("hexname", ["auth ", "private key ", "signing secret ", "login credential "]), F.upper(hexes("z", 128))),
         F.concat(pick("vendor", ["sk-proj-", "sk-ant-", "npm_", "glpat-", "hf_", "pypi-", "dop_v1_", "SG."]), b64("aa", 40)),
         F.concat(F.lit("github_pat_"), b64("bb", 22), F.lit("_"), b64("cc", 40)),
+        F.concat(prefix, name, eq, q, b64("dd", 24), q),
+        F.concat(pick("cloud", ["aws_secret_access_key", "AWS_SECRET_ACCESS_KEY", "secret_access_key"]), eq, q, F.base64(F.unhex(hexes("ee", 60))), q),
+        F.concat(pick("phrase", ["password", "DB_PASSWORD", "passphrase", "pwd"]), eq, q, *[x for i in range(4) for x in (join, pick(f"phrase{i}", words))][1:], q),
+        F.concat(pick("store", ["AccountKey=", "SharedAccessKey=", "private_key=", "account_key: "]), F.base64(F.unhex(hexes("ff", 64))), F.base64(F.unhex(hexes("gg", 64)))),
     ]
     harmless = [
         F.concat(name, eq, q, pick("p", ["changeme", "your_password_here", "example", "xxxxxxxx", "********", "placeholder", "test1234", "password", "insert-token-here", "********************", "dummy_value", "none-required"]), q),
@@ -175,6 +185,11 @@ def labelled_findings(spark: SparkSession, n: int = 4000, words: list[str] | Non
         F.concat(F.lit("sk_test_"), F.lit("xxxxxxxxxxxxxxxxxxxx")),
         F.concat(name, eq, q, pick("word1", words), pick("join", ["_", "-", ".", ""]), pick("word2", words), q),
         F.concat(name, eq, q, pick("word3", words), pick("join2", ["_", "-", " "]), pick("num", ["1", "22", "v2"]), q),
+        F.concat(pick("file", ["file ", "object ", "id ", "image ", "record "]), hexes("hh", 32)),
+        hexes("ii", 40),
+        F.concat(prefix, name, eq, q, pick("p2", ["changeme", "your_password_here", "example", "xxxxxxxx", "${PASSWORD}", "os.environ['KEY']", "placeholder"]), q),
+        F.concat(pick("file2", ["", "release ", "cache ", "entry ", "node "]), hexes("jj", 64)),
+        F.upper(hexes("kk", 32)),
     ]
     label = F.pmod(F.col("id"), F.lit(2))
     at = F.pmod(F.xxhash64(F.lit("kind"), "id"), F.lit(1000))
@@ -211,21 +226,46 @@ def scan(docs: DataFrame, forest: Forest, *keep: str, path: str | None = None) -
     return scored.select(*keep, "rule", "start", "match", "value", "score", (F.col("score") >= THRESHOLD).alias("is_secret"))
 
 
+#: What tokens between candidates are cut at, and the brackets and marks that don't belong to them.
+_APART, _OPEN, _SHUT = r"\s\"'<>;,", "([{", ".:!?)]}"
+
+
+def _units(texts: DataFrame) -> DataFrame:
+    """(key, hash, at, head, body, tail): each text as a run of units, which joined together are the text. A body is a candidate's
+    value, or a token between candidates without the brackets and marks around it."""
+    parts = F.arrays_zip(F.split("text", CANDIDATE).alias("piece"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("match"))
+    parts = texts.select("key", "hash", F.posexplode(parts).alias("part", "x")).select("key", "hash", "part", "x.piece", "x.match")
+    tokens = F.regexp_extract_all(F.coalesce("piece", F.lit("")), F.lit(f"[^{_APART}]++|[{_APART}]++"), F.lit(0))
+
+    def token(t: Column) -> Column:
+        front = F.rtrim(t, F.lit(_SHUT))
+        body = F.ltrim(front, F.lit(_OPEN))
+        return F.struct(F.left(front, F.length(front) - F.length(body)).alias("head"), body.alias("body"), F.substring(t, F.length(front) + 1, F.length(t)).alias("tail"))
+
+    value = F.regexp_replace("match", _NAME, "")
+    last = F.struct(F.left("match", F.length("match") - F.length(value)).alias("head"), value.alias("body"), F.lit("").alias("tail"))
+    units = F.concat(F.transform(tokens, token), F.when(F.col("match").isNotNull(), F.array(last)).otherwise(F.array()))
+    return parts.select("key", "hash", "part", F.posexplode(units).alias("place", "u")).select("key", "hash", F.struct("part", "place").alias("at"), "u.*")
+
+
 def redact(docs: DataFrame, forest: Forest) -> DataFrame:
-    """docs with every occurrence of a text's confirmed secrets replaced by [SECRET]; n_chars follows. All rows stay, and all
-    columns, whatever their names.
+    """docs with the confirmed secrets of each text replaced by [SECRET], wherever they stand in it: as a candidate's value, or as a
+    token of their own between blanks, quotes, brackets, commas and closing marks. n_chars follows. All rows stay, and all columns,
+    whatever their names.
 
-    Secrets come back to their texts by doc_id and a hash of the text, so repeated ids keep apart. The longest secret goes
-    first, as one may hold another. Null and empty texts have no secrets. Texts are read whole; the time of a text grows
-    with its length times its distinct secrets.
+    Texts with a confirmed secret are taken apart once into candidates and tokens; those meet the text's secrets by an equality join
+    and are put together again, so the time of a text grows with its length, however many secrets it has. Secrets come back to their
+    texts by doc_id and a hash of the text, so repeated ids keep apart. Null and empty texts have no secrets. Texts are read whole.
     """
-    key = F.coalesce(column(docs, "doc_id", "long"), F.lit(-(2**63)))
+    key = F.coalesce(column(docs, "doc_id", "long").cast("long"), F.lit(-(2**63)))
     text_of = column(docs, "text", "string")
-    found = scan(docs.select(key.alias("key"), F.xxhash64(text_of).alias("hash"), text_of.alias("text")), forest, "key", "hash").filter("is_secret")
-    longest = lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0)
-    values = found.groupBy("key", "hash").agg(F.array_sort(F.collect_set("value"), longest).alias("values"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), F.xxhash64(text_of).alias("hash")).join(values, ["key", "hash"], "left")
-    hit = F.col("values").isNotNull()
-    clean = F.aggregate("values", F.col("row.text"), lambda t, v: F.replace(t, v, F.lit("[SECRET]")))
-    changed = {"text": clean, "n_chars": F.length(clean)}
-    return rows.select(*[F.when(hit, changed[c].cast(docs.schema[c].dataType)).otherwise(F.col("row")[c]).alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])
+    keyed = docs.select(key.alias("key"), F.xxhash64(text_of).alias("hash"), text_of.alias("text"))
+    values = materialize(scan(keyed, forest, "key", "hash").filter("is_secret").select("key", "hash", F.col("value").alias("body")).distinct(), "secret-values")
+    texts = keyed.join(values.select("key", "hash").distinct(), ["key", "hash"], "left_semi").groupBy("key", "hash").agg(F.first("text").alias("text"))
+    marked = _units(texts).join(values.withColumn("secret", F.lit(True)), ["key", "hash", "body"], "left")
+    out = F.concat("head", F.when(F.col("secret"), F.lit("[SECRET]")).otherwise(F.col("body")), "tail")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", out.alias("out")))), lambda u: u["out"]), "")
+    clean = marked.groupBy("key", "hash").agg(joined.alias("clean"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), F.xxhash64(text_of).alias("hash")).join(clean, ["key", "hash"], "left")
+    changed = {"text": F.col("clean"), "n_chars": F.length("clean")}
+    return rows.select(*[F.when(F.col("clean").isNotNull(), changed[c].cast(docs.schema[c].dataType)).otherwise(F.col("row")[c]).alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])
