@@ -131,7 +131,7 @@ def _bounds(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shards: int | None = None) -> None:
-    """Encodes docs and writes files in ascending doc_id order (a null id first, ties by text).
+    """Encodes docs and writes files in ascending doc_id order (a null id first, ties by a hash of the text).
 
     Texts are dealt out by id range and sorted, then encoded and packed in the task that writes them; a task begins a new
     file whenever one holds SEGMENTS_PER_FILE segments. shards: id ranges, the session's shuffle partitions by default.
@@ -140,7 +140,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
     docs = docs.select(column(docs, "doc_id", "long").alias("doc_id"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"))
     shared = spark.sparkContext.broadcast(definition_of(tokenizer))
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that repeat an id, or have none, are dealt out by their texts' hash.
+    dealt = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
