@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PART, U64, Words, column, dealt_join, hash_segments, materialize, mix64, parts_of, text_chunks
+from .common import U64, Words, column, dealt_join, hash_segments, materialize, mix64, parts_of, text_chunks
 
 #: Signature values are compared this many at a time.
 BATCH = 16
@@ -155,20 +155,56 @@ def _verifier(k: int, percent: int, lower: bool):
     return run
 
 
-def _set_writer(k: int, lower: bool):
-    """32 bits of every shingle of a text's set, and how many of them equal another's."""
+def _block_pruner(bounds: list[int], percent: int, rows: int):
+    """Pairs of the blocks that meet in one group. A row is a member of one side: those of side 0 lie outside the group's largest
+    component. Rows come sorted by group, and a group is no more than two blocks."""
+
+    def pairs(g: dict[str, np.ndarray]) -> np.ndarray:
+        x, y = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
+        out = []
+        for lo in range(0, len(x), max(1, (1 << 18) // max(1, len(y)))):
+            i = x[lo : lo + max(1, (1 << 18) // max(1, len(y)))][:, None]
+            n, m = g["n_shingles"][i], g["n_shingles"][y]
+            # Two members outside the largest component meet twice: the lower class leads.
+            once = (g["component"][y] == g["largest"][y]) | (g["rep"][i] < g["rep"][y])
+            a, b = np.nonzero(once & (g["component"][i] != g["component"][y]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+            a, b = i[a, 0], y[b]
+            matches = np.zeros(len(a), np.int64)
+            for t, least in enumerate(bounds):
+                span = slice(t * BATCH, (t + 1) * BATCH)
+                matches += (g["sig"][a, span] == g["sig"][b, span]).sum(axis=1)
+                stay = matches >= least
+                a, b, matches = a[stay], b[stay], matches[stay]
+            # A pair counts in the first group that it shares.
+            for band in range(int(g["band"].max(initial=0))):
+                span = slice(band * rows, (band + 1) * rows)
+                first = (band >= g["band"][a]) | (g["sig"][a, span] != g["sig"][b, span]).any(axis=1)
+                a, b = a[first], b[first]
+            out.append(np.stack([g["rep"][a], g["rep"][b]]))
+        return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+
+        def finished(parts: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+            found = pairs({k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
+            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
         for b in batches:
-            for i, j, data, offsets in text_chunks(b.column("text")):
-                d, s = _shingles(Words(data, offsets, lower), k)
-                size = np.bincount(d, minlength=j - i)
-                short = (s >> U64(32)).astype(np.uint32)
-                # Sets are sorted, so equal values stand side by side.
-                twin = (short[1:] == short[:-1]) & (d[1:] == d[:-1])
-                lost = np.bincount(d[1:][twin], minlength=j - i)
-                sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(short.view(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column("rep").slice(i, j - i), sets, pa.array(lost.astype(np.int64))], ["rep", "members", "lost"])
+            if not b.num_rows:
+                continue
+            c = {k: b.column(k).to_numpy() for k in ("bucket", "block_a", "block_b", "side", "band", "rep", "n_shingles", "component", "largest")}
+            c["sig"] = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(b.num_rows, -1)
+            key = np.stack([c["bucket"], c["block_a"], c["block_b"]])
+            cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [b.num_rows]])
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                part = {k: v[lo:hi] for k, v in c.items()}
+                if held and any(held[-1][k][-1] != part[k][0] for k in ("bucket", "block_a", "block_b")):
+                    yield finished(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield finished(held)
 
     return run
 
@@ -226,9 +262,9 @@ def _classified(docs: DataFrame, shingle: int, percent: int, lower: bool, miss:
     classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "neardup-classes")
 
     spans = [F.xxhash64(F.lit(i), F.substring("sig", i * rows * 2 + 1, rows * 2)) for i in range(bands)]
-    banded = classes.select("rep", "n_shingles", F.explode(F.array(*spans)).alias("bucket"))
+    banded = classes.select("rep", "n_shingles", F.posexplode(F.array(*spans)).alias("band", "bucket"))
     crowded = materialize(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "neardup-crowded")
-    heavy = crowded.filter(F.col("m") > PART).select("bucket", parts_of(F.col("m")).alias("parts"))
+    heavy = crowded.filter(parts_of(F.col("m")) > 1).select("bucket", parts_of(F.col("m")).alias("parts"))
     spread = banded.join(heavy, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1)))).drop("parts")
     members = materialize(spread.join(_a_part(crowded.withColumn("size", F.col("m"))), ["bucket", "part"]).withColumnRenamed("size", "m"), "neardup-groups")
     reps = materialize(classes.join(members.select("rep").distinct(), "rep").select("rep", "first", "sig", "bits"), "neardup-reps")
@@ -246,10 +282,13 @@ def _classified(docs: DataFrame, shingle: int, percent: int, lower: bool, miss:
         reach &= bits_apart(n) <= 64 * n - fewest_matches(64 * n, (1 + t) / 2, miss)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """The links among pairs: the values' batches, then the full sets."""
+        """The links among pairs: the values' batches, then verified."""
         signed = pairs.join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
         close = dealt_join(signed, reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a", "b")
-        close = materialize(close.mapInArrow(_pruner(posterior_bounds(t, miss, hashes)), "a long, b long").distinct(), "neardup-close")
+        return verified(materialize(close.mapInArrow(_pruner(posterior_bounds(t, miss, hashes)), "a long, b long").distinct(), "neardup-close"))
+
+    def verified(close: DataFrame) -> DataFrame:
+        """The links among pairs: the full sets."""
         texts = needed.join(close.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
         worded = close.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
         exact = dealt_join(worded, texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a", "b")
@@ -275,20 +314,16 @@ def _classified(docs: DataFrame, shingle: int, percent: int, lower: bool, miss:
     # The rest: outside the largest component of each open group, against all of the group, block by block.
     sizes = active.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m"))
     largest = _a_part(sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("m").alias("m")))
-    whole = needed.join(active.select("rep").distinct(), "rep", "left_semi").mapInArrow(_set_writer(shingle, lower), "rep long, members array<int>, lost long")
-    sets = whole.join(classes.select("rep", F.array(*spans).alias("buckets")), "rep")
-    earlier = F.slice("buckets", 1, F.array_position("buckets", F.col("bucket")).cast("int") - 1)
-    full = materialize(active.join(largest, ["bucket", "part"]).join(sets, "rep").withColumns({"earlier": earlier, "blocks": F.ceil(F.col("m") / BLOCK)}), "neardup-full")
+    # Members come with their sizes and values alone; texts are fetched for the pairs that are left.
+    full = active.join(largest, ["bucket", "part"]).join(reps.select("rep", "sig"), "rep").withColumn("blocks", F.ceil(F.col("m") / BLOCK))
+    full = materialize(full.select("bucket", "band", "rep", "n_shingles", "component", "largest", "sig", "blocks"), "neardup-full")
     own, any_ = F.pmod(F.xxhash64("rep"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    outside = full.filter("component <> largest").select("bucket", own.alias("block_a"), any_.alias("block_b"), F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"), F.col("bits").alias("bits_a"), F.col("members").alias("members_a"), F.col("lost").alias("lost_a"), F.col("earlier").alias("earlier_a"))
-    inside = full.select("bucket", any_.alias("block_a"), own.alias("block_b"), "rep", "n_shingles", "component", "largest", "bits", "members", "lost", "earlier")
-    # Both outside the largest: the lower class leads. Then the bits, the first shared group, and the set members, where
-    # equal short values may hide as many common shingles as either side lost.
-    once = (F.col("component") == F.col("largest")) | (F.col("a") < F.col("rep"))
-    both = F.size(F.array_intersect("members", "members_a")) + F.least("lost", "lost_a")
-    near = 100 * both >= percent * (F.col("n_shingles") + F.col("n_a") - both)
-    rest = inside.join(outside, ["bucket", "block_a", "block_b"]).filter(once & reach & ~F.arrays_overlap("earlier", "earlier_a") & near)
-    known = joined(confirmed(materialize(rest.select("a", F.col("rep").alias("b")).distinct(), "neardup-rest")), known)
+    row = ["band", "rep", "n_shingles", "component", "largest", "sig"]
+    outside = full.filter("component <> largest").select("bucket", own.alias("block_a"), any_.alias("block_b"), F.lit(0).alias("side"), *row)
+    inside = full.select("bucket", any_.alias("block_a"), own.alias("block_b"), F.lit(1).alias("side"), *row)
+    met = outside.unionByName(inside).repartition("bucket", "block_a", "block_b").sortWithinPartitions("bucket", "block_a", "block_b")
+    rest = met.mapInArrow(_block_pruner(posterior_bounds(t, miss, hashes), percent, rows), "a long, b long")
+    known = joined(verified(materialize(rest.distinct(), "neardup-rest")), known)
 
     # The first row of each component; a component may be large, so its rows are dealt over parts.
     placed = materialize(known.select(F.col("id").alias("rep"), "component").join(classes.select("rep", "first"), "rep"), "neardup-placed")
@@ -310,10 +345,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, lower:
 
     A group of copies costs its size, not its square: two rounds compare each member with the group's first, then its
     second (by set size), and find the components so far. A third round takes the groups that still hold several
-    components: their members outside the group's largest component meet all members of other components, each pair in
-    the first group that it shares, tested within the join on signature bits and 32-bit set members. So no pair of the
-    groups is left out, and only near certain links leave the join. Large groups are dealt over parts in the first two
-    rounds and over pairs of blocks in the third, so no group lands in one task.
+    components: their members outside the group's largest component meet all members of other components, block by block,
+    each pair in the first group that it shares, on sizes and batches of the values. So no pair of the groups is left
+    out; members travel with a bounded signature, and texts are fetched for the pairs that are left alone. Large groups are
+    dealt over parts in the first two rounds and over pairs of blocks in the third, so no group lands in one task.
 
     A null or wordless text has an empty set, links with nothing and is its own component. Rows that repeat a doc_id are
     placed by their own texts: each text is a document of its own. A row without doc_id links like any other; its

@@ -632,7 +632,7 @@ def test_near_duplicates_of_repeated_ids(spark):
 
 def test_near_duplicates_of_one_template(spark, monkeypatch):
     """Hundreds of texts share a template, most of them below the threshold: parts and blocks are many, and no link is lost."""
-    monkeypatch.setattr(neardup, "PART", 16)
+    monkeypatch.setattr(common, "PART", 16)
     monkeypatch.setattr(neardup, "BLOCK", 24)
     r = np.random.default_rng(12)
     template = many(1, 31)[0].split() * 2
@@ -663,13 +663,30 @@ def test_near_duplicates_of_very_long_texts(spark):
     assert got.n_shingles.tolist() == [199_998] * 4 and got.component_id.tolist() == [0, 0, 2, 3]
 
 
-def test_short_members_tell_what_they_lose():
-    d = np.repeat([0, 1], [300_000, 10])
-    text = [" ".join(f"w{i}" for i in range(300_002)), " ".join(f"q{i}" for i in range(12)), ""]
-    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array(text)], ["rep", "text"])
-    rows = pa.Table.from_batches(list(neardup._set_writer(3, True)(iter([batch])))).to_pylist()
-    assert [len(r["members"]) for r in rows] == [300_000, 10, 0] and len(d) == 300_010
-    assert [r["lost"] for r in rows] == [len(r["members"]) - len(set(r["members"])) for r in rows] and rows[0]["lost"] > 2
+def test_blocks_of_a_group_equal_all_pairs():
+    """Groups over several batches: every pair of two components within reach once, in the first group that it shares."""
+    r = np.random.default_rng(8)
+    rows, bands, hashes = 2, 4, 48
+    sig = r.integers(0, 3, (60, 8)).astype(np.uint16)
+    sig = np.concatenate([sig, sig[r.integers(0, 12, 60)][:, :1] * 0 + r.integers(0, 2, (60, hashes - 8))], axis=1).astype(np.uint16)
+    size, component = r.integers(80, 101, 60), r.integers(0, 30, 60)
+    groups = {}
+    for i in range(60):
+        for band in range(bands):
+            groups.setdefault((band, *sig[i, band * rows : band * rows + rows]), []).append(i)
+    bounds = [6, 16, 27]
+    near = lambda i, j: component[i] != component[j] and 100 * min(size[i], size[j]) >= 85 * max(size[i], size[j]) and all((sig[i, : 16 * (t + 1)] == sig[j, : 16 * (t + 1)]).sum() >= m for t, m in enumerate(bounds))
+    lines, want = [], set()
+    for g, (key, ids) in enumerate(sorted(groups.items())):
+        largest = int(np.bincount(component[ids]).argmax())
+        for side, members in ((0, [i for i in ids if component[i] != largest]), (1, ids)):
+            lines += [(g, 0, 0, side, int(key[0]), i, int(size[i]), int(component[i]), largest, sig[i].tobytes()) for i in members]
+        want |= {frozenset((i, j)) for i in ids for j in ids if near(i, j)}
+    names = ["bucket", "block_a", "block_b", "side", "band", "rep", "n_shingles", "component", "largest", "sig"]
+    columns = [pa.array(c, pa.binary() if n == "sig" else pa.int64()) for n, c in zip(names, zip(*lines))]
+    batches = pa.Table.from_arrays(columns, names).to_batches(max_chunksize=37)
+    got = [(int(a), int(b)) for out in neardup._block_pruner(bounds, 85, rows)(iter(batches)) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist())]
+    assert len(want) > 50 and {frozenset(p) for p in got} == want and len(got) == len(want)
 
 
 def test_posterior_bounds_keep_true_links():
