@@ -40,12 +40,19 @@ def reachable_from(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: st
         seen = _cut(seen.unionByName(frontier))
 
 
+#: Layers of nodes that are peeled off between two writes.
+LAYERS = 4
+
+
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Edges without those that no cycle can hold: into nodes that nothing leaves, or out of nodes that nothing enters."""
     n = edges.count()
     while n:
-        inner = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        inner = _cut(inner.select("src", "dst"))
+        inner = edges
+        for _ in range(LAYERS):
+            leaving, entered = inner.select(F.col("src").alias("dst")).distinct(), inner.select(F.col("dst").alias("src")).distinct()
+            inner = inner.join(entered, "src", "left_semi").join(leaving, "dst", "left_semi").select("src", "dst")
+        inner = _cut(inner)
         now = inner.count()
         if now == n:
             break
@@ -54,11 +61,18 @@ def _trimmed(edges: DataFrame) -> DataFrame:
 
 
 def _least_before(edges: DataFrame) -> DataFrame:
-    """(node, color): the least node from which each node can be reached, itself included."""
+    """(node, color): the least node from which each node can be reached, itself included.
+
+    A round passes colours along each edge, then from each node's colour to the node: what reaches the colour reaches the node. So
+    colours travel twice as far each round along a chain.
+    """
     color = _cut(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("color", F.col("node")))
     while True:
         passed = edges.join(color, edges.src == color.node).groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("new"))
-        new = _cut(color.join(passed, "node", "left").select("node", F.least("color", F.coalesce("new", "color")).alias("color"), (F.col("new") < F.col("color")).alias("moved")))
+        near = color.join(passed, "node", "left").select("node", F.col("color").alias("old"), F.least("color", F.coalesce("new", "color")).alias("via"))
+        near = _cut(near)
+        further = near.select(F.col("node").alias("via"), F.col("via").alias("color"))
+        new = _cut(near.join(further, "via").select("node", "color", (F.col("color") < F.col("old")).alias("moved")))
         color = new.select("node", "color")
         if not new.filter("moved").take(1):
             return color

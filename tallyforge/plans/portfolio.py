@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ladder, localized, path_normalize, repository_key, template_fill
 from ..operators.latest import latest_per_key
+from .health import benchmark, percentile_rank
 from .modernization import is_legacy
 
 OPEN = ("Open", "Regressed")
@@ -167,6 +168,25 @@ def summary(assessments: DataFrame, projects: DataFrame, inventories: DataFrame,
     return out
 
 
+def rows(assessments: DataFrame, projects: DataFrame, inventories: DataFrame, key: str) -> DataFrame:
+    """assessments (key, score and whatever else) with lines, projects, legacy_projects and percentile, the mid-rank of its score among
+    those that have one; lowest scores first, those without one last. projects: key, target_framework; inventories: key, lines."""
+    n = projects.groupBy(key).agg(F.count(F.lit(1)).alias("projects"), F.count_if(is_legacy(F.col("target_framework"))).alias("legacy_projects"))
+    lines = inventories.groupBy(key).agg(F.sum("lines").alias("lines"))
+    ranks = percentile_rank(assessments.filter("score is not null").select(key, "score"), "score").select(key, F.col("pct_rank").alias("percentile"))
+    df = assessments.join(lines, key, "left").join(n, key, "left").join(ranks, key, "left")
+    return df.fillna(0, ["lines", "projects", "legacy_projects"]).orderBy(F.asc_nulls_last("score"), key)
+
+
+def dimension_benchmark(snapshots: DataFrame, dimensions: list[str]) -> DataFrame:
+    """(dimension, n, p25, p50, p75, best, worst) of the whole portfolio: Overall, then each dimension. snapshots: score, score_<name>.
+
+    Scores are whole numbers from 0 to 100, so counts of them by value are all that a group holds."""
+    columns = [("Overall", "score"), *[(d, f"score_{d.lower()}") for d in dimensions]]
+    each = snapshots.select(F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).alias("value")) for d, c in columns])))
+    return benchmark(each.filter("value is not null"), "dimension", "value")
+
+
 def report(summary_: DataFrame, trend: DataFrame) -> DataFrame:
     """(section, item, value): the summary and the trend (day, mean_score, open_findings) in one table, ready to be written."""
     rows = F.array(*[F.struct(F.lit(f"trend.{c}").alias("section"), F.date_format("day", "yyyy-MM-dd").alias("item"), F.col(c).cast("double").alias("value")) for c in ("mean_score", "open_findings")])
@@ -344,8 +364,8 @@ def rule_ids(owned: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def open_findings(findings: DataFrame) -> DataFrame:
-    """Open findings, then regressed ones, as one table."""
-    return findings.filter("status = 'Open'").unionByName(findings.filter("status = 'Regressed'"))
+    """Open findings and regressed ones, in one pass."""
+    return findings.filter(F.col("status").isin("Open", "Regressed"))
 
 
 def compiled(pattern: str) -> bool:

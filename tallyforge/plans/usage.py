@@ -56,6 +56,23 @@ def merged(facts: DataFrame, keys: list[str]) -> DataFrame:
     return facts.groupBy(*keys).agg(*sums, F.max("sessions").alias("sessions"), F.when(~F.bool_or(F.col("estimated_cost").isNull()), F.sum("estimated_cost")).alias("estimated_cost"))
 
 
+#: What a fact of usage is known by, and what of it adds up.
+FACT, SUMS = ["actor", "tool", "period", "model"], [*TOKENS, "requests"]
+
+
+def folded(samples: DataFrame) -> DataFrame:
+    """(actor, tool, period, model, the token counts, requests, sessions, reported_cost) of telemetry samples: at, actor, tool, model,
+    export_id, sample, session_id, the token counts, requests, reported_cost.
+
+    An export that comes again, told by export_id and the sample's place in it, counts once. Tokens, requests and costs add up over
+    exports; sessions are the most that one export tells of, as exports repeat those still open. A cost is null where no sample has one.
+    The order of exports doesn't matter. telemetry.usage_fold gives the same facts from a stream.
+    """
+    once = samples.withColumn("period", F.to_date("at")).dropDuplicates(["export_id", "sample"])
+    per = once.groupBy(*FACT, "export_id").agg(*[F.sum(c).alias(c) for c in SUMS], F.countDistinct("session_id").alias("sessions"), F.sum("reported_cost").alias("reported_cost"))
+    return per.groupBy(*FACT).agg(*[F.sum(c).alias(c) for c in SUMS], F.max("sessions").alias("sessions"), F.sum("reported_cost").alias("reported_cost"))
+
+
 def valid_entries(facts: DataFrame, today: Column) -> DataFrame:
     """facts with `reject`, the reason an entry is refused, or null."""
     reason = F.when(F.col("period") > F.date_add(today, 1), "future").when(F.col("period") < F.date_add(today, -400), "too old").when(F.trim("model") == "", "no model").when(F.least(*TOKENS, "requests") < 0, "negative")

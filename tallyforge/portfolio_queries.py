@@ -21,10 +21,10 @@ def nations(spark, d):
     return table(spark, d, "nation").select(F.col("n_name").alias(KEY), F.col("n_nationkey").cast("long").alias("k"))
 
 
-@query("select assessment_id from (select n_name as assessment_id, n_nationkey as k from nation) where k % 3 = 0 or k % 5 = 0")
+@query("select assessment_id from (select n_name as assessment_id, n_nationkey as k from nation) where (k % 3 = 0 or k % 5 = 0) and k % 7 <> 6")
 def tag_filter(spark, d):
     tags = F.array_compact(F.array(F.when(F.col("k") % 3 == 0, "Core"), F.when(F.col("k") % 5 == 0, "CORE"), F.when(F.col("k") % 2 == 0, "edge")))
-    return nations(spark, d).filter(portfolio.has_tag(F.when(F.col("k") % 7 != 6, tags).otherwise(tags), " core ")).select(KEY)
+    return nations(spark, d).filter(portfolio.has_tag(F.when(F.col("k") % 7 != 6, tags), " core ")).select(KEY)
 
 
 @query("select o_orderkey from orders where o_orderdate::date between date '1997-12-31' - 90 and date '1997-12-31'")
@@ -55,11 +55,13 @@ def access_view(spark, d):
     return portfolio.access(nations(spark, d), entries, KEY, " User-1 ")
 
 
-@query("select n from (select unnest(['Shop.Tests', 'Shop.UnitTest', 'Latest', 'Contest.Api', 'Core', 'Runner', 'Old']) as n, unnest([true, true, false, false, true, false, true]) as t) where t")
+@query("select s_suppkey from supplier where s_suppkey % 7 in (0, 1, 3, 5)")
 def test_projects(spark, d):
-    rows = [("Shop.Tests", [], []), ("Shop.UnitTest", None, None), ("Latest", [], []), ("Contest.Api", ["Dapper"], []), ("Core", ["NUnit.ConsoleRunner"], []), ("Runner", ["xunit.abstractions", "nunit.engine.api"], []), ("Old", [], ["Microsoft.VisualStudio.QualityTools.UnitTestFramework"])]
-    p = spark.createDataFrame(rows, "n string, packages array<string>, assemblies array<string>")
-    return p.filter(portfolio.is_test_project(F.col("n"), F.col("packages"), F.col("assemblies"))).select("n")
+    kind = F.col("s_suppkey") % 7
+    name = F.concat(F.when(kind == 6, "Latest").otherwise(F.concat(F.lit("Shop"), F.col("s_suppkey").cast("string"))), F.when(kind == 0, ".Tests").when(kind == 1, ".UnitTest").when(kind == 2, "Contest.Api").otherwise(""))
+    packages = F.when(kind == 2, F.array(F.lit("Dapper"))).when(kind == 3, F.array(F.lit("NUnit.ConsoleRunner"))).when(kind == 4, F.array(F.lit("xunit.abstractions"), F.lit("nunit.engine.api")))
+    assemblies = F.when(kind == 5, F.array(F.lit("Microsoft.VisualStudio.QualityTools.UnitTestFramework")))
+    return table(spark, d, "supplier").filter(portfolio.is_test_project(name, packages, assemblies)).select("s_suppkey")
 
 
 @query("select distinct l_orderkey from lineitem l where exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus = 'F' and o_custkey % 5 = l_suppkey % 5)")
@@ -140,11 +142,11 @@ def portfolio_summary(spark, d):
 
 
 @query(f"""
-with {SUMMARY}, t as (select o_orderdate::date as day, avg(o_totalprice::double) as m, count(*) as n from orders where o_orderdate < timestamp '1992-02-01' group by 1)
-select * from s union all select 'trend.open_findings', day::varchar, n from t union all select 'trend.mean_score', day::varchar, round_even(m, 1) from t
+with {SUMMARY}, t as (select o_orderdate::date as day, sum(round(o_totalprice * 100)::bigint) // count(*) as m, count(*) as n from orders group by 1)
+select * from s union all select 'trend.open_findings', day::varchar, n from t union all select 'trend.mean_score', day::varchar, m from t
 """)
 def portfolio_report(spark, d):
-    t = table(spark, d, "orders").filter("o_orderdate < timestamp_ntz '1992-02-01'").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.bround(F.avg(F.col("o_totalprice").cast("double")), 1).alias("mean_score"), F.count(F.lit(1)).alias("open_findings"))
+    t = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.expr("sum(cast(round(o_totalprice * 100) as long)) div count(1)").alias("mean_score"), F.count(F.lit(1)).alias("open_findings"))
     return portfolio.report(_summary(spark, d), t)
 
 
@@ -179,12 +181,12 @@ def run_counters(spark, d):
 
 
 @query("""
-with j as (select o_custkey as k, (['Queued', 'Leased', 'Running', 'Done'])[o_orderkey % 4 + 1] as state, o_orderkey % 4 as r from orders where o_orderkey % 4 <> 2 or o_orderkey % 8 = 2)
+with j as (select o_custkey as k, (['Queued', 'Leased', 'Running', 'Done'])[o_orderkey % 4 + 1] as state, o_orderkey % 4 as r from orders)
 select k, arg_max(state, r) as state from j where r < 3 group by 1
 """)
 def active_jobs(spark, d):
     state = F.element_at(F.array(*map(F.lit, ["Queued", "Leased", "Running", "Done"])), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    j = table(spark, d, "orders").filter("o_orderkey % 4 <> 2 or o_orderkey % 8 = 2").select(F.col("o_custkey").alias("k"), state.alias("state"))
+    j = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), state.alias("state"))
     return portfolio.active_states(j, "k")
 
 
@@ -231,11 +233,11 @@ def find_by_locator(spark, d):
     return portfolio.find_by_locator(n.select(F.col("k").alias("lookup_id"), F.lit("git").alias("source_kind"), F.concat(F.lit("https://host/r"), F.col("k").cast("string")).alias("locator"), wanted.alias("branch")), a, "id")
 
 
-@query("select p_partkey, p_size from (select p_partkey, p_size from part where p_partkey % 2 = 0 union all select p_partkey, p_size + 1 from part where p_partkey % 3 = 0) order by p_size desc, p_partkey limit 40")
+@query("select p_partkey, p_size from (select p_partkey, p_size from part union all select p_partkey, length(p_name) from part) order by p_size desc, p_partkey limit 40")
 def merged_candidates(spark, d):
     p = table(spark, d, "part")
-    one = lambda rows, plus: p.filter(rows).select((F.col("p_size") + plus).alias("score"), F.format_string("%012d", "p_partkey").alias("file_path"), F.lit(0).alias("start_line"), "p_partkey")
-    return portfolio.merged_candidates([one("p_partkey % 2 = 0", 0), one("p_partkey % 3 = 0", 1)], 40).select("p_partkey", F.col("score").alias("p_size"))
+    one = lambda score: p.select(score.alias("score"), F.format_string("%012d", "p_partkey").alias("file_path"), F.lit(0).alias("start_line"), "p_partkey")
+    return portfolio.merged_candidates([one(F.col("p_size").cast("int")), one(F.length("p_name"))], 40).select("p_partkey", F.col("score").alias("p_size"))
 
 
 @query("""
@@ -295,22 +297,32 @@ def price_overlay(spark, d):
     return e.join(matching.first_pattern(names, "model", portfolio.overlaid(ours, catalog), "pattern", "ordinal", "input"), "model", "left").select("event_id", "input")
 
 
-@query("select * from (values ('neg'), ('blank')) v(pattern)")
+@query("select p_partkey from part where p_partkey % 5 = 0 or p_size < 2 or p_size % 7 = 0")
 def price_validation(spark, d):
-    p = spark.createDataFrame([(0, "^ok", 1.0, 2.0, None, 0.0), (1, "neg", 1.0, 2.0, -0.5, None), (2, "blank", -1.0, 1.0, None, None), (3, "free", 0.0, 0.0, None, None)], "ordinal int, pattern string, input double, output double, cache_read double, cache_write double")
-    return portfolio.invalid_prices(p).select("pattern")
+    rate = F.col("p_size").cast("double")
+    p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, " ").otherwise(F.col("p_type")).alias("pattern"), (rate - 2).alias("input"), F.col("p_retailprice").cast("double").alias("output"), F.when(F.col("p_size") % 7 == 0, -0.5).alias("cache_read"), F.lit(0.0).alias("cache_write"))
+    return portfolio.invalid_prices(p).select("p_partkey")
 
 
-@query("select * from (values ('b', 'api.beta.com', true), ('c', 'gamma', false)) v(id, fixture, wanted)")
+@query("""
+with p as (select p_partkey as id, lower(p_brand) as b, lower(p_type) as m, p_size from part)
+select id, m as fixture, true as wanted from p where not starts_with(m, b) union all select id, b, false from p where p_size % 2 = 0
+""")
 def signature_selftest(spark, d):
-    c = spark.createDataFrame([("a", r"api\.alpha\.com", ["https://api.alpha.com/v1"], ["api-alpha.com"]), ("b", r"^beta", ["beta", "api.beta.com"], []), ("c", "gam+a", ["gama"], ["gamma"])], "id string, pattern string, hits array<string>, misses array<string>")
+    brand = F.lower("p_brand")
+    misses = F.when(F.col("p_size") % 2 == 0, F.array(F.concat(F.lit("x"), brand), brand)).otherwise(F.array(F.concat(F.lit("x"), brand)))
+    c = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("^"), brand).alias("pattern"), F.array(F.concat(brand, F.lit(".com")), F.lower("p_type")).alias("hits"), misses.alias("misses"))
     return portfolio.failing_signatures(c)
 
 
-@query("select id, v::bigint as v, s from (values (1, 5, 'x'), (2, null, null), (3, null, null), (4, null, '')) t(id, v, s)")
+@query("""
+select event_id, case when event_id % 9 <> 0 and event_id % 4 <> 0 then regexp_extract(props, '[0-9]+')::bigint end as v,
+       case when event_id % 9 <> 0 and event_id % 4 = 0 then regexp_extract(props, '[0-9]+') end as s from events
+""")
 def json_getters(spark, d):
-    j = spark.createDataFrame([(1, '{"a": 5, "b": "x"}'), (2, '{"a": "5", "b": 7}'), (3, "broken"), (4, '{"a": 5.5, "b": ""}')], "id int, n string")
-    return j.select("id", portfolio.json_value(F.col("n"), "$.a", "long").alias("v"), portfolio.json_value(F.col("n"), "$.b", "string").alias("s"))
+    props = F.when(F.col("event_id") % 4 == 0, F.regexp_replace("props", r"(\d+)", '"$1"')).otherwise(F.col("props"))
+    j = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("broken"), "props")).otherwise(props).alias("n"))
+    return j.select("event_id", portfolio.json_value(F.col("n"), "$.k", "long").alias("v"), portfolio.json_value(F.col("n"), "$.k", "string").alias("s"))
 
 
 @query("select c_custkey, trim(c_name)[1:12] as short, least(greatest(c_acctbal::double, 0), 5000) as bal from customer")

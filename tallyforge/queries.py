@@ -119,7 +119,7 @@ def open_summary(spark, d):
     return health.open_summary(order_findings(spark, d), "assessment_id", "rule_id", "category", "severity")
 
 
-@query(f"with {FINDINGS} select rule_id, max(severity) as max_severity, count(*) as n, count(distinct assessment_id) as assessments from f group by 1 order by n desc, rule_id limit 15")
+@query(f"with {FINDINGS} select rule_id, max(severity) as max_severity, count(*) as n, count(distinct assessment_id) as assessments from f group by 1 order by max_severity desc, n desc, rule_id limit 15")
 def top_rules(spark, d):
     return health.top_rules(order_findings(spark, d))
 
@@ -402,15 +402,15 @@ def usage_live_curve(spark, d):
 
 
 @query("""
-with e as (select o_orderpriority as provider, o_orderdate as day, sum(o_totalprice::decimal(18, 2))::double as est from orders where o_orderdate < timestamp '1996-01-01' and o_orderkey % 3 <> 0 group by all),
-r as (select o_orderpriority as provider, o_orderdate as day, sum((o_totalprice * 1.2)::decimal(18, 2))::double as rep from orders where o_orderdate < timestamp '1996-01-01' and o_orderkey % 4 <> 0 group by all),
+with e as (select o_orderpriority as provider, o_orderdate as day, sum(o_totalprice::decimal(18, 2))::double as est from orders where o_orderkey % 3 <> 0 group by all),
+r as (select o_orderpriority as provider, o_orderdate as day, sum((o_totalprice * 1.2)::decimal(18, 2))::double as rep from orders where o_orderkey % 4 <> 0 group by all),
 j as (select lower(coalesce(e.provider, r.provider)) as provider, est, rep from e full join r on e.provider = r.provider and e.day = r.day),
 g as (select provider, round_even(sum(coalesce(est, 0)), 2) as estimated, round_even(sum(coalesce(rep, 0)), 2) as reported, count(*) filter (est is not null and rep is not null) as overlap_days,
   count(*) filter (rep is null) as only_estimated, count(*) filter (est is null) as only_reported, sum(case when est is not null and rep is not null then est else 0 end) as eo, sum(case when est is not null and rep is not null then rep else 0 end) as ro from j group by 1)
 select provider, estimated, reported, overlap_days, only_estimated, only_reported, round_even(ro / eo, 3) as ratio, overlap_days >= 7 as usable, round_even(eo, 2) as est_overlap, round_even(ro, 2) as rep_overlap from g
 """)
 def reconcile_sources(spark, d):
-    o = table(spark, d, "orders").filter("o_orderdate < timestamp_ntz '1996-01-01'")
+    o = table(spark, d, "orders")
     est = o.filter("o_orderkey % 3 <> 0").select(F.col("o_orderpriority").alias("provider"), F.lit("m").alias("model"), F.to_date("o_orderdate").alias("period"), F.col("o_totalprice").cast("decimal(18,2)").alias("estimated_cost"))
     rep = o.filter("o_orderkey % 4 <> 0").select(F.col("o_orderpriority").alias("provider"), F.lit("provider-reported").alias("basis"), F.to_date("o_orderdate").alias("period"), (F.col("o_totalprice") * 1.2).cast("decimal(18,2)").alias("amount"))
     return usage.reconciliation(est, rep)

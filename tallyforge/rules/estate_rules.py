@@ -159,3 +159,82 @@ def estate_rollup(found: DataFrame, findings: DataFrame, key: str) -> DataFrame:
     use = found.groupBy(key).agg(F.array_sort(F.collect_set(F.when(F.col("kind") == "sdk", F.col("provider")))).alias("providers"), F.array_sort(F.collect_set(F.when(F.col("kind") == "framework", F.col("provider")))).alias("frameworks"), F.count(F.lit(1)).alias("packages"))
     risk = findings.filter(F.col("status").isin("Open", "Regressed")).groupBy(key).agg(F.count_if(F.col("rule_id").startswith("privacy.")).alias("personal_data"), F.count_if(F.col("rule_id").startswith("secrets.")).alias("secrets"))
     return use.join(risk, key, "left").fillna(0, ["personal_data", "secrets"])
+
+
+# The kind of a provider that data leaves the estate for, and what rules of personal data and of AI begin with.
+EXTERNAL, PERSONAL, AI = "external-api", "privacy.pii.", "ai."
+
+
+def estate_records(inventories: DataFrame, key: str) -> DataFrame:
+    """(key, catalog_version, providers, frameworks, mcp, remote_mcp, secrets_in_mcp, retired, allowlist, unapproved, external) of AI
+    inventories (key, data): data is a JSON object whose estateJson is the inventory as JSON text.
+
+    The inventory is read as a variant, so a part that is missing, of another type or written by an older version is empty and the rest
+    stands; what is no JSON, or no object, gives no row. providers: (id, name, kind, approved).
+    """
+    get = lambda v, path, kind: F.try_variant_get(v, f"$.{path}", kind)
+    kind_of = lambda v: F.schema_of_variant(v)
+
+    def some(v: Column, path: str, kind: str) -> Column:
+        """The elements of an array that are of a kind; none where there is no array."""
+        return F.filter(F.coalesce(get(v, path, "array<variant>"), F.array().cast("array<variant>")), lambda e: kind_of(e).startswith(kind))
+
+    def text(v: Column, path: str, default: Column | None = None) -> Column:
+        at = get(v, path, "variant")
+        found = F.when(kind_of(at) == "STRING", get(v, path, "string"))
+        return found if default is None else F.coalesce(found, default)
+
+    truth = lambda v, path: F.when(kind_of(get(v, path, "variant")) == "BOOLEAN", get(v, path, "boolean"))
+    strings = lambda v, path: F.transform(some(v, path, "STRING"), lambda e: F.try_variant_get(e, "$", "string"))
+    e = inventories.select(key, F.try_parse_json(F.get_json_object("data", "$.estateJson")).alias("e")).filter(F.schema_of_variant("e").startswith("OBJECT"))
+    v = F.col("e")
+    provider = lambda x: F.struct(text(x, "id", F.lit("?")).alias("id"), text(x, "name", text(x, "id", F.lit("?"))).alias("name"), text(x, "kind", F.lit(EXTERNAL)).alias("kind"), truth(x, "approved").alias("approved"))
+    whole = F.when(F.schema_of_variant(get(v, "secretsInMcp", "variant")) == "BIGINT", get(v, "secretsInMcp", "long"))
+    # Generators keep parts from being read again at each use.
+    e = e.select(key, "e", F.inline(F.array(F.struct(F.transform(some(v, "providers", "OBJECT"), provider).alias("providers"), some(v, "mcp", "OBJECT").alias("servers")))))
+    return e.select(
+        key,
+        text(v, "catalog.version", F.lit("—")).alias("catalog_version"),
+        "providers",
+        F.transform(some(v, "frameworks", "OBJECT"), lambda x: text(x, "name", F.lit("?"))).alias("frameworks"),
+        F.size("servers").alias("mcp"),
+        F.size(F.filter("servers", lambda x: F.coalesce(truth(x, "remote"), F.lit(False)))).alias("remote_mcp"),
+        F.coalesce(whole, F.lit(0)).alias("secrets_in_mcp"),
+        F.size(some(v, "models.retired", "OBJECT")).alias("retired"),
+        F.coalesce(truth(v, "allowlist.configured"), F.lit(False)).alias("allowlist"),
+        strings(v, "allowlist.unapproved").alias("unapproved"),
+        F.exists("providers", lambda x: x["kind"] == EXTERNAL).alias("external"),
+    )
+
+
+def estate_rows(records: DataFrame, open_: DataFrame, key: str) -> DataFrame:
+    """(key, providers, frameworks, mcp, unapproved, retired, secrets_in_mcp, pii_co_located, secrets_co_located) of records that hold
+    anything. open_: key, rule_id, category, n of open findings. The marks tell that an estate talks to an external
+    provider and has open findings of personal data, or of secrets that no AI rule found."""
+    held = records.filter((F.size("providers") > 0) | (F.col("mcp") > 0) | (F.size("frameworks") > 0))
+    counted = F.col("n") > 0
+    flags = open_.groupBy(key).agg(F.bool_or(counted & F.col("rule_id").startswith(PERSONAL)).alias("pii"), F.bool_or(counted & (F.col("category") == "Secrets") & ~F.col("rule_id").startswith(AI)).alias("leaks"))
+    named = lambda a: F.array_sort(a, lambda x, y: F.when(F.lower(x) < F.lower(y), -1).when(F.lower(x) > F.lower(y), 1).otherwise(0))
+    beside = lambda c: F.col("external") & F.coalesce(c, F.lit(False))
+    df = held.join(flags, key, "left")
+    return df.select(key, named(F.transform("providers", lambda p: p["name"])).alias("providers"), named(F.col("frameworks")).alias("frameworks"), "mcp", F.size("unapproved").alias("unapproved"), "retired", "secrets_in_mcp", beside(F.col("pii")).alias("pii_co_located"), beside(F.col("leaks")).alias("secrets_co_located"))
+
+
+def estate_totals(records: DataFrame, rows: DataFrame) -> DataFrame:
+    """(section, item, value, detail) over the portfolio: counts and sums; how many estates use each provider (detail: its kind) and each
+    framework, and in how many each unapproved provider stands. Records without anything count only as scanned."""
+    held = records.filter((F.size("providers") > 0) | (F.col("mcp") > 0) | (F.size("frameworks") > 0))
+    none = F.lit(None).cast("string")
+    line = lambda section, item, value: F.struct(F.lit(section).alias("section"), F.lit(item).alias("item"), value.cast("long").alias("value"), none.alias("detail"))
+    sums = held.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("mcp", "remote_mcp", "secrets_in_mcp", "retired")], F.coalesce(F.bool_or("allowlist"), F.lit(False)).alias("allowlist"))
+    counts = sums.select(F.inline(F.array(line("count", "with_ai", F.col("n")), *[line("count", c, F.col(c)) for c in ("mcp", "remote_mcp", "secrets_in_mcp", "retired")], line("count", "allowlist", F.col("allowlist").cast("int")))))
+    scanned = records.agg(F.count(F.lit(1)).alias("n")).select(F.inline(F.array(line("count", "scanned", F.col("n")))))
+    marks = rows.agg(F.count_if("pii_co_located").alias("p"), F.count_if("secrets_co_located").alias("s")).select(F.inline(F.array(line("count", "ai_with_pii", F.col("p")), line("count", "ai_with_secrets", F.col("s")))))
+    n = F.count(F.lit(1)).alias("value")
+    providers = held.select(F.explode("providers").alias("p")).groupBy("p.id").agg(n, F.min("p.kind").alias("detail")).select(F.lit("provider").alias("section"), F.col("id").alias("item"), "value", "detail")
+    frameworks = held.select(F.explode("frameworks").alias("item")).groupBy("item").agg(n).select(F.lit("framework").alias("section"), "item", "value", none.alias("detail"))
+    unapproved = held.select(F.explode("unapproved").alias("item")).groupBy("item").agg(n).select(F.lit("unapproved").alias("section"), "item", "value", none.alias("detail"))
+    out = counts
+    for part in (scanned, marks, providers, frameworks, unapproved):
+        out = out.unionByName(part)
+    return out

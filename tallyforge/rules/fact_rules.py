@@ -88,7 +88,7 @@ def vulnerable_packages(packages: DataFrame, segments: DataFrame) -> DataFrame:
     s = segments.withColumns({"i": version_key("introduced"), "f": version_key("fixed"), "l": version_key("last_affected")})
     hit = p.join(s, ["ecosystem", "name"]).filter(F.col("k").isNotNull() & in_segment(F.col("k"), F.col("i"), F.col("f"), F.col("l")))
     score = cvss_score(F.col("vector"))
-    return hit.select("ecosystem", "name", "version", "id", score.alias("score"), F.coalesce(cvss_severity(score), F.lit(2)).alias("severity")).distinct()
+    return hit.select("ecosystem", "name", "version", "id", score.alias("score"), F.when(score.isNull(), 2).otherwise(cvss_severity(score)).alias("severity")).distinct()
 
 
 # Rule ids of the licence classes that are findings.

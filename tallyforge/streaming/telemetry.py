@@ -8,10 +8,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.latest import latest_per_key
 from ..operators.store import cut
+from ..plans.usage import FACT, SUMS
 
 #: Idle streams are forgotten after three days.
 TTL_MS = 3 * 24 * 3600 * 1000
@@ -50,8 +52,65 @@ def daily_usage(events: DataFrame, lateness: str = "2 days") -> DataFrame:
     return w.agg(F.sum("tokens").alias("tokens")).select(F.to_date("w.start").alias("day"), "actor", "tool", "tokens")
 
 
+_DAY_MS = 24 * 3600 * 1000
+_FACT_SCHEMA = "actor string, tool string, period date, model string, " + ", ".join(f"{c} long" for c in SUMS) + ", sessions long, reported_cost double"
+
+
+class _UsageFold(StatefulProcessor):
+    """The state of one fact: its sums, and the exports that they hold. A timer at the end of the fact's day, in event time, drops
+    both: what comes later is older than the watermark and doesn't get here."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.total = handle.getValueState("total", ", ".join(f"{c} long" for c in SUMS) + ", sessions long, reported_cost double")
+        self.exports = handle.getMapState("exports", "export_id string", "sessions long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+        batch = pd.concat(list(rows)).drop_duplicates(["export_id", "sample"])
+        state = self.total.get() if self.total.exists() else None
+        sums, sessions, cost = list(state[: len(SUMS)]) if state else [0] * len(SUMS), state[-2] if state else 0, state[-1] if state else None
+        for export, part in batch.groupby("export_id", dropna=False):
+            name = "" if pd.isna(export) else str(export)
+            if self.exports.containsKey((name,)):
+                continue
+            here = int(part["session_id"].nunique())
+            self.exports.updateValue((name,), (here,))
+            sums = [a + int(part[c].fillna(0).sum()) for a, c in zip(sums, SUMS)]
+            sessions = max(sessions, here)
+            if part["reported_cost"].notna().any():
+                cost = (cost or 0.0) + float(part["reported_cost"].sum())
+        if state is None:
+            day = pd.Timestamp(key[FACT.index("period")])
+            self.handle.registerTimer(int(day.timestamp() * 1000) + _DAY_MS)
+        self.total.update((*sums, sessions, cost))
+        row = dict(zip(FACT, key)) | dict(zip(SUMS, sums)) | {"sessions": sessions, "reported_cost": cost}
+        out = pd.DataFrame([row])
+        yield out.astype({"reported_cost": "float64"})
+
+    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self.total.clear()
+        self.exports.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def usage_fold(samples: DataFrame, lateness: str = "2 days") -> DataFrame:
+    """usage.folded of a stream of samples: a fact again, as it stands, whenever a batch changes it.
+
+    Late, repeated and disordered exports end in the state that they would have in order, as long as they come within the lateness; an
+    export must arrive whole, in one batch. The state needs the RocksDB provider:
+    spark.sql.streaming.stateStore.providerClass = org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider.
+    Prices are applied to the facts (usage.priced), which upsert_by keeps by FACT.
+    """
+    keyed = samples.withWatermark("at", lateness).withColumn("period", F.to_date("at"))
+    return keyed.groupBy(*FACT).transformWithStateInPandas(_UsageFold(), outputStructType=_FACT_SCHEMA, outputMode="Update", timeMode="EventTime")
+
+
 def upsert(table: str, keys: list[str], order: str):
-    """A foreachBatch sink that keeps the newest row of each key in a Parquet table, in two folders by turns.
+    """A foreachBatch sink that keeps the newest row of each key in a Parquet table, in two folders by turns: for small tables, as each
+    batch writes the table anew; upsert_by is for large ones.
 
     The new state is written whole beside the old before the pointer file moves, so a lost batch leaves the old one.
     """

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 import tallyforge.portfolio_queries  # noqa: F401
+import tallyforge.run_queries  # noqa: F401
 from tallyforge.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
