@@ -124,6 +124,82 @@ def test_nothing_of_a_secret_is_left(spark, forest):
         assert got[i].startswith("the river and ") and (i == 2 or got[i].endswith(" then stone"))
 
 
+def test_prefixed_names_hashes_and_phrases(spark):
+    """Names behind a prefix, in capitals or camel case, and phrases are secrets; hashes in prose and placeholders are none."""
+    words = ["mountain", "river", "yesterday", "question", "family", "evening", "winter", "letter"]
+    forest = secrets.fit(secrets.labelled_findings(spark, 4000, words), words)
+    r = np.random.default_rng(11)
+    of = lambda n, letters="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/": "".join(r.choice(list(letters), n))
+    hexes = lambda n: of(n, "0123456789abcdef")
+    secret = [lambda: f"aws_secret_access_key = {of(40)}", lambda: f"DB_PASSWORD={hexes(18)}", lambda: f"my_api_key: {of(24)}", lambda: f'dbPassword = "{of(16)}"', lambda: f"AccountKey={of(86)}==", lambda: f"private_key={of(64)}", lambda: f"password=correct-horse-battery-{r.choice(words)}"]
+    harmless = [lambda: f"file {hexes(32)} ok", lambda: hexes(40), lambda: f"see {hexes(64)} there", lambda: "DB_PASSWORD=changeme", lambda: "api_key = os.environ['KEY']", lambda: f"commit {hexes(40)}"]
+    rows = [(k, y, "the river and " + f() + " then stone") for y, forms in ((1, secret), (0, harmless)) for k, f in enumerate(forms) for _ in range(20)]
+    df = spark.createDataFrame(rows, "form int, label int, text string").withColumn("id", F.monotonically_increasing_id())
+    found = secrets.scan(df, forest, "id").groupBy("id").agg(F.max("is_secret").alias("found"))
+    right = df.join(found, "id", "left").withColumn("right", F.coalesce("found", F.lit(False)) == (F.col("label") == 1)).groupBy("label", "form").agg(F.avg(F.col("right").cast("int")).alias("share"))
+    assert all(x.share >= 0.9 for x in right.collect()), right.collect()
+
+
+@pytest.mark.parametrize("unit", ["eyJaaaaaaaa-", "sk-", "npm_-", "a" * 31 + "g", "x://u:", "password=", "-----BEGIN A ", "....", "((([[["])
+def test_long_runs_take_linear_time(spark, forest, unit):
+    import time
+
+    df = spark.createDataFrame([(1, unit * (400_000 // len(unit)) + " DB_PASSWORD=b7db7aa4a5fcc78305")], "doc_id long, text string")
+    secrets.redact(df.limit(0), forest).count()
+    start = time.time()
+    text = secrets.redact(df, forest).first().text
+    assert "b7db7aa4a5fcc78305" not in text and time.time() - start < 60
+
+
+def test_many_secrets_in_one_text(spark, forest):
+    """Each is masked where it is assigned, and where it stands alone, whatever else is in the text."""
+    r = np.random.default_rng(3)
+    keys = ["".join(r.choice(list("0123456789abcdef"), 18)) for _ in range(3000)]
+    text = "".join(f"password={k} é {'(' if i % 3 else ''}{k}{').' if i % 3 else ','}\n" + ("'quoted' <b>;" if i % 5 else "") for i, k in enumerate(keys))
+    df = spark.createDataFrame([(7, text), (7, "other " + keys[0]), (8, text)], "doc_id long, text string")
+    found = {(x.doc_id, x.value) for x in secrets.scan(df, forest, "doc_id").filter("is_secret").collect()}
+    masked = [k for k in keys if (7, k) in found]
+    assert len(masked) > 2900
+    want = text
+    for k in masked:
+        want = want.replace(k, "[SECRET]")
+    got = sorted((x.doc_id, x.text) for x in secrets.redact(df, forest).collect())
+    assert got == sorted([(7, want), (7, "other " + keys[0]), (8, want)])
+
+
+def test_features_equal_plain_forms(spark, forest):
+    """Features from Python's own matcher, and the forest's own answer to them."""
+    import re
+
+    from pyspark.ml.linalg import Vectors
+
+    words = ["lantern", "meadow", "copper", "window"]
+    lines = secrets.labelled_findings(spark, 300, words)
+    found = secrets.with_features(secrets.candidates(lines, "id", path="path"), words).collect()
+    count = lambda p, t: len(re.findall(p, t))
+    assert len(found) > 250
+    for x in found:
+        v, low, n = x.value, x.value.lower(), max(len(x.value), 1)
+        match_head = x.match.split(v, 1)[0] if v else ""
+        near = " ".join([x.before, match_head, x.after])
+        known = sum(len(w) for w in set(re.findall("[a-z]{4,}", low)) if w in words)
+        want = {
+            "f_length": min(n, 200), "f_classes": count(r"(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]", v) / n, "f_vowels": count(r"(?<=[aeiou])[b-df-hj-np-tv-z]|(?<=[b-df-hj-np-tv-z])[aeiou]", low) / n,
+            "f_distinct": len(set(v)) / n, "f_digits": count("[0-9]", v) / n, "f_upper": count("[A-Z]", v) / n, "f_repeats": count(r"(?s)(.)\1", v.replace("\n", "")) / n if "\n" not in v else x.f_repeats,
+            "f_placeholder": 1 - len(re.sub(secrets.PLACEHOLDER, "", low)) / n, "f_dictionary": known / n, "f_path": float(bool(re.search(secrets.TEST_PATH, x.path))),
+            "f_in_path": float(bool(re.search(r"[/\\.][^\s]*$", x.before)) or bool(re.search(r"^[./~]|[/\\].*[/\\]|\.(txt|md|html|json|xml|py|js)$", v))),
+            "f_secret_words": min(count(secrets.SECRET_WORDS, near), 3), "f_harmless_words": min(count(secrets.HARMLESS_WORDS, near), 3), "f_code": float(bool(re.search(r"[(){}$\[\]%*]|^<", v))),
+        }
+        want |= {f"f_{r.replace('-', '_')}": float(x.rule == r) for r in secrets.RULES}
+        for k, y in want.items():
+            assert x[k] == pytest.approx(y), (k, x.match, x.value)
+    scored = secrets.scan(lines, secrets.Forest(forest.model, words), "id", path="path").collect()
+    by = {(x.id, x.start): x for x in found}
+    for x in scored:
+        odds = forest.model.predictProbability(Vectors.dense([by[x.id, x.start][f] for f in secrets.FEATURES]))[1]
+        assert x.score == pytest.approx(odds) and x.is_secret == (x.score >= secrets.THRESHOLD)
+
+
 def test_pipeline_filters(spark, tmp_path):
     pipeline = importlib.import_module("corpus_pipeline")
     r = np.random.default_rng(2)
