@@ -233,7 +233,7 @@ def find_by_locator(spark, d):
     return portfolio.find_by_locator(n.select(F.col("k").alias("lookup_id"), F.lit("git").alias("source_kind"), F.concat(F.lit("https://host/r"), F.col("k").cast("string")).alias("locator"), wanted.alias("branch")), a, "id")
 
 
-@query("select p_partkey, p_size from (select p_partkey, p_size from part union all select p_partkey, length(p_name) from part) order by p_size desc, p_partkey limit 40")
+@query("select p_partkey, p_size from (select p_partkey, p_size from part union all select p_partkey, length(p_name)::int from part) order by p_size desc, p_partkey limit 40")
 def merged_candidates(spark, d):
     p = table(spark, d, "part")
     one = lambda score: p.select(score.alias("score"), F.format_string("%012d", "p_partkey").alias("file_path"), F.lit(0).alias("start_line"), "p_partkey")

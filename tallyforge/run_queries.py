@@ -249,7 +249,7 @@ u as (
   union all select 'provider', id, count(*), min(case kind when 0 then 'external-api' when 1 then 'gateway' else 'local-runtime' end) from p where k in (select k from m) group by id
   union all select 'framework', 'LangKit', count(*), null from m where nk % 2 = 0 having count(*) > 0
   union all select 'unapproved', x, count(*), null from m, (select unnest(['p1', 'p2']) as x) where nk % 3 = 0 group by x)
-select * from u
+select section, item, value::bigint as value, detail from u
 """)
 def ai_estate_totals(spark, d):
     return estate_rules.estate_totals(*_estate(spark, d))
