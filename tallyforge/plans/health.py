@@ -232,6 +232,33 @@ def trend(points_: DataFrame, cuts: DataFrame) -> DataFrame:
     return held.groupBy("day").agg(F.count(F.lit(1)).alias("assessments"), F.bround(F.avg("health_score"), 1).alias("mean_score"), F.sum("open_findings").alias("open_findings"))
 
 
+def sampled_days(runs: DataFrame, today: Column, weeks: int = 26, most: int = 104) -> DataFrame:
+    """(day) of a trend up to today: every day where the first run (finished_at) is less than two weeks old, else the days a week apart,
+    counted back from today, that aren't before the first run. weeks is held between 2 and `most`. Without runs there are none."""
+    weeks = min(max(weeks, 2), most)
+    first = runs.agg(F.min(F.to_date("finished_at")).alias("first")).filter("first is not null").withColumn("today", today)
+    daily = F.sequence("first", "today", F.expr("interval 1 day"))
+    weekly = F.filter(F.transform(F.sequence(F.lit(weeks - 1), F.lit(0), F.lit(-1)), lambda i: F.date_sub("today", i * 7)), lambda day: day >= F.col("first"))
+    age = F.datediff("today", "first")
+    days = F.when(age < 0, F.array("today")).when(age < 14, daily).otherwise(weekly)
+    return first.select(F.explode(F.array_distinct(F.concat(days, F.array("today")))).alias("day"))
+
+
+def sampled_trend(runs: DataFrame, today: Column, weeks: int = 26) -> DataFrame:
+    """(day, average_score, open_findings, assessed, average_<dimension>...) at the sampled days, from each assessment's last run that ended
+    on the day or before. runs: assessment_id, finished_at, health_score, open_findings, score_<dimension>...; a run with neither
+    score nor findings doesn't count."""
+    from ..operators.latest import as_of
+
+    usable = runs.filter(F.col("health_score").isNotNull() | F.col("open_findings").isNotNull())
+    parts = [c for c in runs.columns if c.startswith("score_")]
+    end = F.col("day").cast(runs.schema["finished_at"].dataType) + F.expr("interval 1 day") - F.expr("interval 1 microsecond")
+    cuts = sampled_days(usable, today, weeks).select(end.alias("cut"))
+    held = as_of(usable, cuts, ["assessment_id"], "finished_at", "cut", "health_score", "open_findings", *parts)
+    mean = lambda c: F.bround(F.avg(c), 1)
+    return held.groupBy(F.to_date("cut").alias("day")).agg(mean("health_score").alias("average_score"), F.sum(F.coalesce("open_findings", F.lit(0))).alias("open_findings"), F.count("health_score").alias("assessed"), *[mean(c).alias(f"average_{c.removeprefix('score_')}") for c in parts])
+
+
 def movers(points_: DataFrame, now: Column, k: int = 5, days: int = 7) -> DataFrame:
     """(assessment_id, score_before, score_now, change): the k largest moves between two cuts, in one pass over the runs."""
     at = F.col("finished_at")

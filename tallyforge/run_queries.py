@@ -13,7 +13,7 @@ from .operators import findings as fnd
 from .operators import graph
 from .plans import health, portfolio, usage
 from .portfolio_queries import KEY, nations
-from .queries import FINDINGS, POINTS, order_findings, query, table
+from .queries import FINDINGS, POINTS, RUNS, order_findings, query, runs, table
 from .rules import duplication, estate_rules
 from .sources import manifests
 
@@ -277,6 +277,18 @@ def portfolio_benchmark(spark, d):
     return portfolio.dimension_benchmark(o, ["Security", "Quality"])
 
 
+@query(f"""
+with {RUNS}, n as (select assessment_id, finished_at, case when open_findings % 7 <> 6 then health_score end as health_score, open_findings, health_score * 3 % 101 as q from r where finished_at < timestamp '1998-03-01'),
+cuts as (select day, day + interval 1 day - interval 1 microsecond as cut from (select (date '1998-02-03' - (i * 7)::int)::timestamp as day from range(0, 104) t(i)) where day >= (select min(finished_at)::date from n)),
+h as (select day, assessment_id, arg_max(coalesce(health_score, -1), finished_at) as s, arg_max(open_findings, finished_at) as o, arg_max(q, finished_at) as q from cuts join n on finished_at <= cut group by all)
+select day::date::varchar as day, round_even(avg(s) filter (s >= 0), 1) as average_score, sum(o)::bigint as open_findings, count(*) filter (s >= 0) as assessed, round_even(avg(q), 1) as average_quality from h group by 1
+""")
+def portfolio_trend_sampled(spark, d):
+    """Two years, a week apart."""
+    r = runs(spark, d).withColumns({"finished_at": F.col("finished_at").cast("timestamp_ntz"), "score_quality": F.col("health_score") * 3 % 101, "health_score": F.when(F.col("open_findings") % 7 != 6, F.col("health_score"))})
+    return health.sampled_trend(r.filter("finished_at < timestamp_ntz '1998-03-01'"), F.expr("date '1998-02-03'"), 500).withColumn("day", F.col("day").cast("string"))
+
+
 # Findings as keyed state
 
 

@@ -282,10 +282,55 @@ def coverage_packages(files: DataFrame) -> DataFrame:
     return rows.select("path", F.regexp_extract("p", r'name="([^"]*)"', 1).alias("package"), rate.alias("line_rate")).filter("line_rate between 0 and 1")
 
 
+# Sections that name servers, and hosts that are the machine itself.
+SERVER_SECTIONS = ["mcpServers", "servers", "mcp_servers", "context_servers"]
+LOCAL_HOSTS = ["localhost", "0.0.0.0", "host.docker.internal", "::1", "[::1]"]
+
+
+def _looks_secret(value: Column) -> Column:
+    """A value of 16 characters or more without blanks, references or paths that mixes letters and digits."""
+    return F.coalesce((F.length(value) >= 16) & value.rlike(r"^[^\s${}/\\\\]+$") & value.rlike("[A-Za-z]") & value.rlike("[0-9]"), F.lit(False))
+
+
 def mcp_servers(files: DataFrame) -> DataFrame:
-    """(path, server, command, url, transport) of MCP configuration files, comments allowed."""
-    one = "map<string,struct<command:string,url:string,type:string,args:array<string>>>"
-    text = F.regexp_replace(F.regexp_replace("content", r"(?m)^\s*//.*$", ""), r"(?s)/\*.*?\*/", "")
-    maps = F.array(*[F.from_json(F.get_json_object(text, f"$.{s}"), one) for s in ("mcpServers", "servers", "context_servers")])
-    rows = files.filter(F.col("path").rlike(r"(?i)mcp[^/]*\.json$|claude_desktop_config\.json$|(^|/)\.(cursor|vscode)/")).select("path", F.explode(F.filter(maps, lambda m: m.isNotNull())).alias("m")).select("path", F.explode("m").alias("server", "s"))
-    return rows.select("path", "server", "s.command", "s.url", F.coalesce("s.type", F.when(F.col("s.url").isNotNull(), "http").otherwise("stdio")).alias("transport"))
+    """(path, server, command, url, transport, host, remote, args, env_keys, secrets) of MCP configuration files; comments and trailing
+    commas are allowed.
+
+    Servers come from the sections' objects, from their arrays (by name, or server-0 and on), and from experimental transports
+    (continue-0 and on). command is the program's name alone; host has its port where it isn't the usual one; remote is any host but
+    this machine. secrets counts literal values in args, env and headers that look like keys. What is of another type is as if
+    it weren't there.
+    """
+    text = F.regexp_replace(F.regexp_replace("content", r"(?m)(^|[\s,{\[])//[^\n\"]*$", "$1"), r"(?s)/\*.*?\*/", "")
+    text = F.regexp_replace(text, r",(\s*[}\]])", "$1")
+    get = lambda v, path, kind: F.try_variant_get(v, f"$.{path}", kind)
+    named = lambda name, v: F.struct(name.alias("server"), v.alias("v"))
+    none = F.array().cast("array<struct<server:string,v:variant>>")
+
+    def sections(root: Column) -> Column:
+        parts = []
+        for s in SERVER_SECTIONS:
+            parts.append(F.transform(F.map_entries(get(root, s, "map<string,variant>")), lambda e: named(e["key"], e["value"])))
+            parts.append(F.transform(get(root, s, "array<variant>"), lambda e, i: named(F.coalesce(get(e, "name", "string"), F.concat(F.lit("server-"), i.cast("string"))), e)))
+        inner = get(root, "experimental.modelContextProtocolServers", "array<variant>")
+        parts.append(F.transform(inner, lambda e, i: named(F.concat(F.lit("continue-"), i.cast("string")), F.coalesce(get(e, "transport", "variant"), e))))
+        return F.concat(*[F.coalesce(p, none) for p in parts])
+
+    f = files.filter(F.col("path").rlike(r"(?i)mcp[^/]*\.json$|claude_desktop_config\.json$|(^|/)\.(cursor|vscode|continue|gemini|windsurf)/"))
+    rows = f.select("path", F.try_parse_json(text).alias("root")).select("path", F.inline(sections(F.col("root"))))
+    v = F.col("v")
+    string = lambda path: F.when(F.schema_of_variant(get(v, path, "variant")) == "STRING", F.trim(get(v, path, "string")))
+    rows = rows.select("path", "server", string("command").alias("full"), string("url").alias("url"), F.lower(string("type")).alias("type"), F.coalesce(get(v, "args", "array<string>"), F.array().cast("array<string>")).alias("args"), get(v, "env", "map<string,string>").alias("env"), get(v, "headers", "map<string,string>").alias("headers"))
+    command = F.regexp_extract("full", r"([^/\\]*)$", 1)
+    parts = r"(?i)^([a-z][a-z0-9+.-]*)://(?:[^/@?#]*@)?(\[[^\]]*\]|[^:/?#]+)(?::(\d+))?"
+    part = lambda i: F.regexp_extract("url", parts, i)
+    usual = F.when(F.lower(part(1)) == "http", "80").when(F.lower(part(1)) == "https", "443")
+    name = F.nullif(F.lower(part(2)), F.lit(""))
+    host = F.when((part(3) == "") | part(3).eqNullSafe(usual), name).otherwise(F.concat(name, F.lit(":"), part(3)))
+    told = F.when(F.col("type").isin("stdio", "sse"), F.col("type")).when(F.col("type").isin("http", "streamable-http", "streamablehttp"), "http")
+    transport = F.coalesce(told, F.when(F.col("url").isNotNull(), "http").when(F.col("full").isNotNull(), "stdio").otherwise("unknown"))
+    remote = F.coalesce(~name.isin(LOCAL_HOSTS) & ~name.startswith("127."), F.lit(False))
+    values = lambda c: F.coalesce(F.map_values(c), F.array().cast("array<string>"))
+    literal = F.concat(F.transform("args", lambda a: F.regexp_replace(a, "^[^=]*=", "")), values("env"), F.transform(values("headers"), lambda h: F.regexp_replace(h, "(?i)^bearer ", "")))
+    keys = F.array_sort(F.coalesce(F.map_keys("env"), F.array().cast("array<string>")))
+    return rows.select("path", "server", command.alias("command"), "url", transport.alias("transport"), host.alias("host"), remote.alias("remote"), "args", keys.alias("env_keys"), F.size(F.filter(literal, _looks_secret)).alias("secrets"))

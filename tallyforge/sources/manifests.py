@@ -165,11 +165,14 @@ def project_references(projects: DataFrame) -> DataFrame:
 
 
 def known_servers(servers: DataFrame, known: DataFrame) -> DataFrame:
-    """servers (server, command, url, ...) with the known server (match, known) whose match is the longest in any of them."""
-    text = F.lower(F.concat_ws(" ", "server", "command", "url"))
+    """servers (server, command, url, and args where there are any) with the columns of the known server (match, known, ...) whose match is
+    the longest in any of them; null where none is."""
+    said = ["server", "command", "url", *(["args"] if "args" in servers.columns else [])]
+    text = F.lower(F.concat_ws(" ", *said))
+    told = [c for c in known.columns if c != "match"]
     texts = servers.select(text.alias("_text")).distinct()
-    best = texts.join(known, F.contains("_text", F.lower("match"))).groupBy("_text").agg(F.max_by("known", F.struct(F.length("match"), "match")).alias("known"))
-    return servers.withColumn("_text", text).join(best, "_text", "left").drop("_text")
+    best = texts.join(known, F.contains("_text", F.lower("match"))).groupBy("_text").agg(F.max_by(F.struct(*told), F.struct(F.length("match"), "match")).alias("_known"))
+    return servers.withColumn("_text", text).join(best, "_text", "left").select(*servers.columns, *[F.col(f"_known.{c}").alias(c) for c in told])
 
 
 # Databases

@@ -150,3 +150,37 @@ interface Other { default int size() { return 1; } }
     assert rows(got.filter("kind = 'package'"), "symbol") == [("org.shop.core",)] and rows(got.filter("kind = 'test'"), "symbol", "line") == [("adds", 12), ("test_it", 2)]
     assert rows(got.filter("language = 'python' and kind = 'method'"), "symbol", "line") == [("go", 3), ("test_it", 2)]
     assert rows(got.filter("kind = 'pattern'"), "rule_id", "symbol") == [("sec.crypto.weak-hash", "go")]
+
+
+def test_mcp_servers(spark):
+    config = """{
+  // servers
+  "mcpServers": {
+    "files": {"command": "/usr/bin/npx", "args": ["-y", "server-filesystem", "--token=abcd1234efgh5678"], "env": {"B": "${HOME}", "A": "Zq81mVt0Lp2wZq81"}},
+    "remote": {"url": "https://Tools.example.com:8443/mcp?k=1", "headers": {"Authorization": "Bearer abcdef1234567890"}}, // note
+    "local": {"url": "http://127.0.0.1:80/x", "type": "SSE"},
+    "odd": 7,
+  },
+  "servers": [{"name": "listed", "url": "https://h.io/"}, {"type": "streamable-http"}],
+  "experimental": {"modelContextProtocolServers": [{"transport": {"type": "stdio", "command": "C:\\\\tools\\\\run.exe"}}]}
+}"""
+    got = {r.server: r for r in documents.mcp_servers(files(spark, **{".cursor/mcp.json": config, "mcp.json": "[]", "x/mcp.json": "broken", "other.json": config})).collect()}
+    assert {k: (r.transport, r.command, r.host, r.remote, r.secrets) for k, r in got.items()} == {
+        "files": ("stdio", "npx", None, False, 2), "remote": ("http", None, "tools.example.com:8443", True, 1), "local": ("sse", None, "127.0.0.1", False, 0), "odd": ("unknown", None, None, False, 0),
+        "listed": ("http", None, "h.io", True, 0), "server-1": ("http", None, None, False, 0), "continue-0": ("stdio", "run.exe", None, False, 0),
+    }
+    assert got["files"].env_keys == ["A", "B"] and got["remote"].env_keys == []
+    known = spark.createDataFrame([("filesystem", "Filesystem", "ReadWrite"), ("server", "Any", "Read")], "match string, known string, capability string")
+    told = manifests.known_servers(documents.mcp_servers(files(spark, **{"mcp.json": config})), known)
+    assert rows(told.filter("known is not null"), "server", "known", "capability") == [("files", "Filesystem", "ReadWrite"), ("server-1", "Any", "Read")]
+
+
+def test_sampled_days(spark):
+    from tallyforge.plans import health
+
+    runs = lambda *days: spark.createDataFrame([(d,) for d in days], "finished_at string").withColumn("finished_at", F.to_timestamp("finished_at"))
+    days = lambda r, today, weeks=26: [str(x.day) for x in health.sampled_days(r, F.lit(today).cast("date"), weeks).orderBy("day").collect()]
+    assert days(runs("2025-01-01 10:00:00", "2025-01-03 10:00:00"), "2025-01-04") == ["2025-01-01", "2025-01-02", "2025-01-03", "2025-01-04"]
+    assert days(runs("2025-01-01 10:00:00"), "2025-01-15") == ["2025-01-01", "2025-01-08", "2025-01-15"]
+    assert days(runs("2025-01-02 10:00:00"), "2025-01-16", 1) == ["2025-01-09", "2025-01-16"]
+    assert len(days(runs("2000-01-02 10:00:00"), "2025-01-16", 900)) == 104 and days(runs(), "2025-01-16") == [] and days(runs("2025-02-01 00:00:00"), "2025-01-16") == ["2025-01-16"]
