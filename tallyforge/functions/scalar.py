@@ -45,6 +45,11 @@ def provider_normalize(provider: Column) -> Column:
     return ladder([(p == "", None), *((p == alias, name) for alias, name in PROVIDER_ALIASES.items())], F.left(p, F.lit(40)))
 
 
+def provider_of(provider: Column, model: Column) -> Column:
+    """A provider's own name, else the one that the model's name tells of; null where neither is known."""
+    return F.coalesce(provider_normalize(provider), provider_guess(model))
+
+
 def path_normalize(path: Column) -> Column:
     """Slashes one way, no leading ./ or /, lower case; null and blank become ''."""
     p = F.regexp_replace(F.trim(F.coalesce(path, F.lit(""))), r"\\", "/")

@@ -94,6 +94,15 @@ def open_summary(findings: DataFrame, *keys: str) -> DataFrame:
     return findings.filter(F.col("status").isin(OPEN)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def side_by_side(profiles: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """(metric, value_a, value_b, delta): every numeric column of two rows of profiles, null where a side is missing; delta is b less a."""
+    numbers = [f.name for f in profiles.schema.fields if f.name != key and f.dataType.typeName() in ("integer", "long", "double", "float", "short", "byte") or f.dataType.typeName().startswith("decimal")]
+    each = profiles.filter(F.col(key).isin(a, b)).select(key, F.inline(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for i, c in enumerate(numbers)])))
+    of = lambda side: F.max(F.when(F.col(key) == side, F.col("value")))
+    per = each.groupBy("place", "metric").agg(of(a).alias("value_a"), of(b).alias("value_b"))
+    return per.withColumn("delta", F.col("value_b") - F.col("value_a")).orderBy("place").drop("place")
+
+
 # Fixed value: an id that was split into others, which estates that were never scanned again still hold.
 RETIRED_RULES = ["dependency.migration-blocker"]
 

@@ -62,6 +62,18 @@ def health_after_triage(spark, d):
     return out.select(KEY, "run_id", "commit", "score", "score_security", "score_modernization", "score_quality")
 
 
+@query("""
+with p as (select n_name as k, count(*) as projects, sum(c_acctbal)::decimal(18, 2)::double as balance, (count(*) filter (c_mktsegment = 'BUILDING'))::double as building from customer join nation on c_nationkey = n_nationkey group by 1),
+u as (select k, unnest(['projects', 'balance', 'building']) as metric, unnest([projects::double, balance, building]) as v from p)
+select metric, max(case when k = 'NATION_1' then v end) as value_a, max(case when k = 'NATION_2' then v end) as value_b, round(max(case when k = 'NATION_2' then v end) - max(case when k = 'NATION_1' then v end), 2) as delta
+from u where k in ('NATION_1', 'NATION_2') group by 1
+""")
+def assessment_comparison(spark, d):
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    p = c.groupBy(F.col("n_name").alias("k")).agg(F.count(F.lit(1)).alias("projects"), F.sum("c_acctbal").cast("decimal(18,2)").cast("double").alias("balance"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("building"))
+    return health.side_by_side(p, "k", "NATION_1", "NATION_2").withColumn("delta", F.round("delta", 2))
+
+
 _TOUCHED = f"""
 {FINDINGS},
 t as (select *, year(seen_at)::varchar as first_seen, case when id % 4 <> 0 then '1997' else '1998' end as last_seen, case when id % 5 = 0 then (1992 + id % 7)::varchar end as resolved,

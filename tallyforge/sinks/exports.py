@@ -15,8 +15,12 @@ def guarded(df: DataFrame, chars: str = "=+@-") -> DataFrame:
     return df.select(*[csv_guard(F.col(c), chars).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
 
 
-def write_csv(df: DataFrame, path: str, chars: str = "=+@-") -> None:
-    guarded(df, chars).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, chars: str = "=+@-", mark: bool = False) -> None:
+    """Files with a header below path. mark: each begins with a byte-order mark, by which spreadsheets know UTF-8."""
+    out = guarded(df, chars)
+    if mark and out.columns:
+        out = out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0])
+    out.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def json_rows(df: DataFrame) -> DataFrame:
@@ -72,24 +76,35 @@ def finding_rows(findings: DataFrame) -> DataFrame:
     return guarded(findings.select(*[(F.col(c) if c in findings.columns else F.lit(None).cast("string")).alias(c) for c in FINDING_COLUMNS]))
 
 
-def compliance_files(findings: DataFrame, licenses: DataFrame, waivers: DataFrame, path: str) -> None:
+def compliance_files(findings: DataFrame, licenses: DataFrame, waivers: DataFrame, path: str, mark: bool = False) -> None:
     """summary.md and three guarded CSV folders below path: open privacy findings, licence findings, waivers with their
-    policies. The summary counts each."""
+    policies. The summary counts each. mark: as in write_csv."""
     parts = {"privacy": findings.filter("rule_id like 'privacy.%' and status in ('Open', 'Regressed')"), "licenses": licenses, "waivers": waivers}
     lines = ["# Compliance", ""]
     for name, df in parts.items():
-        write_csv(df, f"{path}/{name}.csv")
+        write_csv(df, f"{path}/{name}.csv", mark=mark)
         lines.append(f"- {name}: {df.count()}")
     spark = findings.sparkSession
     spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{path}/summary.md")
 
 
-def markdown_summary(gate: DataFrame, top: DataFrame, key: str) -> list[str]:
-    """Lines of a summary from two small aggregates: gate verdicts (key, passed, reasons) and top rules."""
+def markdown_summary(gate: DataFrame, top: DataFrame, key: str, dimensions: DataFrame | None = None, rules: DataFrame | None = None, most: int = 10) -> list[str]:
+    """Lines of a summary from small aggregates: gate verdicts (key, passed, reasons) and top rules; what health.dimension_deltas and
+    health.rule_deltas tell of one run, where they are given, `most` rules of each kind."""
     out = ["| | verdict | reasons |", "|-|-|-|"]
     out += [f"| {r[key]} | {'passed' if r['passed'] else 'failed'} | {'; '.join(r['reasons'])} |" for r in gate.orderBy(key).collect()]
+    if dimensions is not None:
+        shown = lambda n: "–" if n is None else f"{n:+d}"
+        out += ["", "| dimension | before | after | change |", "|-|-|-|-|"]
+        out += [f"| {r['dimension']} | {'–' if r['before'] is None else r['before']} | {r['after']} | {shown(r['delta'])} |" for r in dimensions.collect()]
     out += ["", "| rule | findings | worst |", "|-|-|-|"]
-    return out + [f"| {r['rule_id']} | {r['n']} | {r['max_severity']} |" for r in top.collect()]
+    out += [f"| {r['rule_id']} | {r['n']} | {r['max_severity']} |" for r in top.collect()]
+    if rules is not None:
+        w = Window.partitionBy("kind").orderBy(F.desc("max_severity"), F.desc("n"), "rule_id")
+        few = rules.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).orderBy("kind", "_r")
+        out += ["", "| change | rule | findings | where |", "|-|-|-|-|"]
+        out += [f"| {r['kind']} | {r['rule_id']} | {r['n']} | {', '.join(r['locations'])} |" for r in few.collect()]
+    return out
 
 
 def replace_window(spark, new: DataFrame, table: str, partition: str = "period") -> None:

@@ -289,6 +289,18 @@ def sql_routines(files: DataFrame) -> DataFrame:
     return files.filter(F.lower("path").endswith(".sql")).select("path", "content").mapInPandas(run, schema)
 
 
+def sql_cursors(files: DataFrame) -> DataFrame:
+    """(path, cursors) of the SQL files that declare any, in routines or outside them; comments and strings count for nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            scripts = [_Sql(sql or "") for sql in b["content"]]
+            yield pd.DataFrame({"path": b["path"], "cursors": [t.cursors(0, t.size) for t in scripts]})
+
+    found = files.filter(F.lower("path").endswith(".sql")).select("path", "content").mapInPandas(run, "path string, cursors int")
+    return found.filter("cursors > 0")
+
+
 def coverage_reports(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reports (path, line_rate) and packages (path, package, line_rate) of Cobertura and OpenCover files; a module of the latter
     is a package, and rates are shares of visited points."""
