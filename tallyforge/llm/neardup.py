@@ -14,8 +14,8 @@ from .common import U64, Words, column, dealt_join, hash_segments, materialize,
 
 #: Signature values are compared this many at a time.
 BATCH = 16
-#: Members of a group that meet as one block in the last round; a larger group becomes pairs of blocks.
-BLOCK = 1024
+#: Members of a group that meet as one block in the last round, and the shingles of their sets; a larger group becomes pairs of blocks.
+BLOCK, BLOCK_VOLUME = 1024, 1 << 22
 
 
 def banding(similarity: float, miss: float, rows: int = 6) -> int:
@@ -155,15 +155,37 @@ def _verifier(k: int, percent: int, lower: bool):
     return run
 
 
+_GROUP = ("bucket", "block_a", "block_b")
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each group as one table; rows come sorted by group."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(k).to_numpy() for k in _GROUP])
+        cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [b.num_rows]]).tolist()
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if held and any(held[-1].column(k)[-1] != b.column(k)[lo] for k in _GROUP):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _block_pruner(bounds: list[int], percent: int, rows: int):
     """Pairs of the blocks that meet in one group. A row is a member of one side: those of side 0 lie outside the group's largest
-    component. Rows come sorted by group, and a group is no more than two blocks."""
+    component. A group is no more than two blocks. Of the pairs that are left, a row (kind 1) for each first member lists the second
+    ones (others), and a row (kind 0) names each member whose set they need: never a row a pair."""
 
-    def pairs(g: dict[str, np.ndarray]) -> np.ndarray:
+    def pairs(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         x, y = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
-        out = []
-        for lo in range(0, len(x), max(1, (1 << 18) // max(1, len(y)))):
-            i = x[lo : lo + max(1, (1 << 18) // max(1, len(y)))][:, None]
+        out = [np.empty((2, 0), np.int64)]
+        step = max(1, (1 << 18) // max(1, len(y)))
+        for lo in range(0, len(x), step):
+            i = x[lo : lo + step][:, None]
             n, m = g["n_shingles"][i], g["n_shingles"][y]
             # Two members outside the largest component meet twice: the lower class leads.
             once = (g["component"][y] == g["largest"][y]) | (g["rep"][i] < g["rep"][y])
@@ -180,31 +202,83 @@ def _block_pruner(bounds: list[int], percent: int, rows: int):
                 span = slice(band * rows, (band + 1) * rows)
                 first = (band >= g["band"][a]) | (g["sig"][a, span] != g["sig"][b, span]).any(axis=1)
                 a, b = a[first], b[first]
-            out.append(np.stack([g["rep"][a], g["rep"][b]]))
-        return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+            out.append(np.stack([a, b]))
+        found = np.concatenate(out, axis=1)
+        order = np.argsort(found[0], kind="stable")
+        return found[0][order], found[1][order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
+        for table in _by_group(batches):
+            g = {k: table.column(k).to_numpy() for k in ("side", "band", "rep", "n_shingles", "component", "largest")}
+            g["sig"] = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+            a, b = pairs(g)
+            if not len(a):
+                continue
+            first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+            _, wanted = np.unique(g["rep"][np.concatenate([a, b])], return_index=True)
+            wanted = np.concatenate([a, b])[wanted]
+            at = np.concatenate([wanted, a[first]])
+            kind = np.repeat([0, 1], [len(wanted), len(first)])
+            bounds_ = np.concatenate([np.zeros(len(wanted), np.int64), first, [len(a)]]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(bounds_), pa.array(g["rep"][b]))
+            same = [pa.array(np.full(len(at), table.column(k)[0].as_py(), np.int64)) for k in _GROUP]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(kind.astype(np.int32)), pa.array(g["rep"][at]), pa.array(g["component"][at]), lists], [*_GROUP, "kind", "rep", "component", "others"])
 
-        def finished(parts: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
-            found = pairs({k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
-            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+    return run
+
+
+def _set_writer(k: int, lower: bool):
+    """A text's whole set, 8 bytes a shingle in order."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            c = {k: b.column(k).to_numpy() for k in ("bucket", "block_a", "block_b", "side", "band", "rep", "n_shingles", "component", "largest")}
-            c["sig"] = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(b.num_rows, -1)
-            key = np.stack([c["bucket"], c["block_a"], c["block_b"]])
-            cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [b.num_rows]])
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                part = {k: v[lo:hi] for k, v in c.items()}
-                if held and any(held[-1][k][-1] != part[k][0] for k in ("bucket", "block_a", "block_b")):
-                    yield finished(held)
-                    held = []
-                held.append(part)
-        if held:
-            yield finished(held)
+            for i, j, data, offsets in text_chunks(b.column("text")):
+                d, s = _shingles(Words(data, offsets, lower), k)
+                ends = np.cumsum(np.bincount(d, minlength=j - i))[:-1]
+                yield pa.RecordBatch.from_arrays([b.column("rep").slice(i, j - i), pa.array([x.tobytes() for x in np.split(s, ends)], pa.binary())], ["rep", "members"])
+
+    return run
+
+
+def _block_verifier(percent: int):
+    """The links that join the components of a group, from the rows of _block_pruner and the sets that they need: each pair of two
+    components is compared on full sets, until a link has joined them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_group(batches):
+            sets: dict[int, np.ndarray] = {}
+            root: dict[int, int] = {}
+            of: dict[int, int] = {}
+            lists: list[tuple[int, list[int]]] = []
+            for kind, rep, component, others, members in zip(*(table.column(c).to_pylist() for c in ("kind", "rep", "component", "others", "members"))):
+                if kind:
+                    lists.append((rep, others))
+                else:
+                    sets[rep], of[rep] = np.frombuffer(members, U64), component
+
+            def find(x: int) -> int:
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            links = []
+            for a, others in sorted(lists):
+                mine = sets[a]
+                for lo in range(0, len(others), 256):
+                    apart = [b for b in others[lo : lo + 256] if find(of[b]) != find(of[a])]
+                    if not apart:
+                        continue
+                    size = np.array([len(sets[b]) for b in apart])
+                    every = np.concatenate([sets[b] for b in apart])
+                    at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+                    both = np.add.reduceat((mine[at] == every).astype(np.int64), np.cumsum(size) - size)
+                    for i in np.flatnonzero(100 * both >= percent * (len(mine) + size - both)).tolist():
+                        x, y = find(of[a]), find(of[apart[i]])
+                        if x != y:
+                            root[max(x, y)] = min(x, y)
+                            links.append((a, apart[i]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
     return run
 
@@ -282,13 +356,10 @@ def _classified(docs: DataFrame, shingle: int, percent: int, lower: bool, miss:
         reach &= bits_apart(n) <= 64 * n - fewest_matches(64 * n, (1 + t) / 2, miss)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """The links among pairs: the values' batches, then verified."""
+        """The links among pairs: the values' batches, then the full sets."""
         signed = pairs.join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
         close = dealt_join(signed, reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a", "b")
-        return verified(materialize(close.mapInArrow(_pruner(posterior_bounds(t, miss, hashes)), "a long, b long").distinct(), "neardup-close"))
-
-    def verified(close: DataFrame) -> DataFrame:
-        """The links among pairs: the full sets."""
+        close = materialize(close.mapInArrow(_pruner(posterior_bounds(t, miss, hashes)), "a long, b long").distinct(), "neardup-close")
         texts = needed.join(close.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
         worded = close.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
         exact = dealt_join(worded, texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a", "b")
@@ -312,18 +383,26 @@ def _classified(docs: DataFrame, shingle: int, percent: int, lower: bool, miss:
         active = still_open(known)
 
     # The rest: outside the largest component of each open group, against all of the group, block by block.
-    sizes = active.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m"))
-    largest = _a_part(sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("m").alias("m")))
-    # Members come with their sizes and values alone; texts are fetched for the pairs that are left.
-    full = active.join(largest, ["bucket", "part"]).join(reps.select("rep", "sig"), "rep").withColumn("blocks", F.ceil(F.col("m") / BLOCK))
+    sizes = active.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m"), F.sum("n_shingles").alias("volume"))
+    per_group = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("m").alias("m"), F.sum("volume").alias("volume"))
+    # A block is a bounded number of members, and of shingles in their sets.
+    largest = _a_part(per_group.withColumn("blocks", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("volume") / BLOCK_VOLUME))))
+    # Members come with their sizes and values alone; sets, each worked out once, go to the blocks whose pairs are left.
+    full = active.join(largest.drop("m"), ["bucket", "part"]).join(reps.select("rep", "sig"), "rep")
     full = materialize(full.select("bucket", "band", "rep", "n_shingles", "component", "largest", "sig", "blocks"), "neardup-full")
     own, any_ = F.pmod(F.xxhash64("rep"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     row = ["band", "rep", "n_shingles", "component", "largest", "sig"]
     outside = full.filter("component <> largest").select("bucket", own.alias("block_a"), any_.alias("block_b"), F.lit(0).alias("side"), *row)
     inside = full.select("bucket", any_.alias("block_a"), own.alias("block_b"), F.lit(1).alias("side"), *row)
-    met = outside.unionByName(inside).repartition("bucket", "block_a", "block_b").sortWithinPartitions("bucket", "block_a", "block_b")
-    rest = met.mapInArrow(_block_pruner(posterior_bounds(t, miss, hashes), percent, rows), "a long, b long")
-    known = joined(verified(materialize(rest.distinct(), "neardup-rest")), known)
+    met = outside.unionByName(inside).repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    schema = "bucket long, block_a long, block_b long, kind int, rep long, component long, others array<long>"
+    rest = materialize(met.mapInArrow(_block_pruner(posterior_bounds(t, miss, hashes), percent, rows), schema), "neardup-rest")
+    wanted = rest.filter("kind = 0")
+    texts = needed.join(wanted.select("rep").distinct(), "rep", "left_semi")
+    sets = materialize(texts.mapInArrow(_set_writer(shingle, lower), "rep long, members binary"), "neardup-sets")
+    ready = wanted.join(sets, "rep").unionByName(rest.filter("kind = 1"), allowMissingColumns=True)
+    ready = ready.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "kind", "rep")
+    known = joined(materialize(ready.mapInArrow(_block_verifier(percent), "a long, b long"), "neardup-last-links"), known)
 
     # The first row of each component; a component may be large, so its rows are dealt over parts.
     placed = materialize(known.select(F.col("id").alias("rep"), "component").join(classes.select("rep", "first"), "rep"), "neardup-placed")
@@ -346,9 +425,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, lower:
     A group of copies costs its size, not its square: two rounds compare each member with the group's first, then its
     second (by set size), and find the components so far. A third round takes the groups that still hold several
     components: their members outside the group's largest component meet all members of other components, block by block,
-    each pair in the first group that it shares, on sizes and batches of the values. So no pair of the groups is left
-    out; members travel with a bounded signature, and texts are fetched for the pairs that are left alone. Large groups are
-    dealt over parts in the first two rounds and over pairs of blocks in the third, so no group lands in one task.
+    each pair in the first group that it shares, on sizes and batches of the values; what is left is compared on full sets,
+    which go once to each pair of blocks that needs them, and only links that join components leave it. So no pair of the groups
+    is left out, and no step makes a row a pair. Large groups are dealt over parts in the first two rounds and over pairs of
+    blocks in the third, so no group lands in one task.
 
     A null or wordless text has an empty set, links with nothing and is its own component. Rows that repeat a doc_id are
     placed by their own texts: each text is a document of its own. A row without doc_id links like any other; its

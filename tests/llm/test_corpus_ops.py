@@ -685,8 +685,32 @@ def test_blocks_of_a_group_equal_all_pairs():
     names = ["bucket", "block_a", "block_b", "side", "band", "rep", "n_shingles", "component", "largest", "sig"]
     columns = [pa.array(c, pa.binary() if n == "sig" else pa.int64()) for n, c in zip(names, zip(*lines))]
     batches = pa.Table.from_arrays(columns, names).to_batches(max_chunksize=37)
-    got = [(int(a), int(b)) for out in neardup._block_pruner(bounds, 85, rows)(iter(batches)) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist())]
+    out = pa.Table.from_batches(list(neardup._block_pruner(bounds, 85, rows)(iter(batches)))).to_pylist()
+    got = [(x["rep"], b) for x in out if x["kind"] for b in x["others"]]
     assert len(want) > 50 and {frozenset(p) for p in got} == want and len(got) == len(want)
+    for x in out:
+        if x["kind"]:
+            named = {y["rep"] for y in out if not y["kind"] and y["bucket"] == x["bucket"]}
+            assert {x["rep"], *x["others"]} <= named and len([y for y in out if y["bucket"] == x["bucket"] and y["kind"]]) <= 60
+
+    # Sets so that exactly some of these pairs are links: what comes back joins the components as all links do.
+    base = r.integers(0, 1 << 60, (4, 90)).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[i % 4][: 90 - int(r.integers(0, 12))], r.integers(0, 1 << 60, int(r.integers(0, 8))).astype(np.uint64)])) for i in range(60)]
+    ready = sorted((x | {"members": None if x["kind"] else sets[x["rep"]].tobytes()} for x in out), key=lambda x: (x["bucket"], x["kind"], x["rep"]))
+    table = pa.Table.from_pylist(ready, pa.schema([("bucket", pa.int64()), ("block_a", pa.int64()), ("block_b", pa.int64()), ("kind", pa.int32()), ("rep", pa.int64()), ("component", pa.int64()), ("others", pa.list_(pa.int64())), ("members", pa.binary())]))
+    links = [(int(a), int(b)) for o in neardup._block_verifier(85)(iter(table.to_batches(max_chunksize=23))) for a, b in zip(o.column("a").to_pylist(), o.column("b").to_pylist())]
+    alike = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))
+
+    def joined(edges):
+        label = list(range(30))
+        for i, j in [*edges, *edges, *edges, *edges]:
+            low, high = sorted((label[component[i]], label[component[j]]))
+            label = [low if x == high else x for x in label]
+        return label
+
+    true = [tuple(p) for p in want if alike(*p)]
+    assert 5 < len(true) < len(want) and all(frozenset(p) in want and alike(*p) for p in links) and len(links) <= len(true)
+    assert joined(links) == joined(true)
 
 
 def test_posterior_bounds_keep_true_links():
