@@ -80,23 +80,22 @@ def plain_pattern(pattern: str) -> str:
 
 
 class _Known(dict):
-    """Ids of matches, as bytes. A match that is not here is merged by the tokenizer's model when it is asked for, and
-    stays from the second time on, so that matches seen once, the most of them, take no room."""
+    """Ids of matches, as bytes. A match that is not here is merged by the tokenizer's model when it is asked for; it waits in `once`
+    and comes here when it is asked for again, so that the many matches that are seen once never push out the others."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenize = tokenizer.model.tokenize
-        self.once: set[str] = set()
+        self.once: dict[str, bytes] = {}
         self.shown = dict(enumerate(byte_characters()))
 
     def __missing__(self, match: str) -> bytes:
+        ids = self.once.pop(match, None)
+        if ids is not None:
+            self[match] = ids
+            return ids
         # Bytes as Latin-1 characters, so that one translation gives the byte-level spelling.
         tokens = self.tokenize(match.encode().decode("latin-1").translate(self.shown))
-        ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-        if match in self.once:
-            self.once.discard(match)
-            self[match] = ids
-        else:
-            self.once.add(match)
+        ids = self.once[match] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
         return ids
 
     def trim(self) -> None:
