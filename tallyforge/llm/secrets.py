@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -107,7 +108,13 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
     v, low, n = F.col("value"), F.lower("value"), F.greatest(F.length("value"), F.lit(1))
     count = lambda s, p: F.regexp_count(s, F.lit(p)) / n
     near = F.concat_ws(" ", "before", F.expr("substring_index(match, value, 1)"), "after")
-    known = F.filter(F.array_distinct(F.regexp_extract_all(low, F.lit(r"[a-z]{4,}"), F.lit(0))), lambda w: w.isin(words))
+    # The dictionary is one constant of the plan, by first letter: a look-up reads the words of one letter.
+    by_letter: dict[str, list[str]] = {}
+    for w in words:
+        by_letter.setdefault(w[0], []).append(w)
+    dictionary_ = F.from_json(F.lit(json.dumps(by_letter)), "map<string,array<string>>")
+    runs = F.array_distinct(F.regexp_extract_all(low, F.lit(r"[a-z]{4,}"), F.lit(0)))
+    known = F.filter(runs, lambda w: F.coalesce(F.array_contains(F.try_element_at(dictionary_, F.left(w, F.lit(1))), w), F.lit(False)))
     out = {
         "f_length": F.least(n, F.lit(200)).cast("double"),
         "f_classes": count(v, r"(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]"),
@@ -139,7 +146,7 @@ def labelled_findings(spark: SparkSession, n: int = 4000, words: list[str] | Non
     rows = spark.range(0, n, 1, 4)
     hexes = lambda salt, k: F.substring(F.concat(F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256), F.sha2(F.concat(F.lit(salt + "+"), F.col("id").cast("string")), 256)), 1, k)
     b64 = lambda salt, k: F.substring(F.regexp_replace(F.base64(F.unhex(hexes(salt, 96))), r"[+/=]", ""), 1, k)
-    pick = lambda salt, items: F.element_at(F.array(*map(F.lit, items)), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(items))) + 1).cast("int"))
+    pick = lambda salt, items: F.element_at(F.split(F.lit("\x1f".join(items)), "\x1f"), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(items))) + 1).cast("int"))
     word = lambda salt: pick(salt, ["heron", "the", "lantern", "and", "of", "meadow", "river,", "to", "stone", "that.", "with", "copper"])
     around = lambda mid: F.concat_ws(" ", word("w1"), word("w2"), word("w3"), mid, word("w4"), word("w5"))
     q = pick("q", ["", "", '"', "'"])
@@ -202,7 +209,8 @@ def labelled_findings(spark: SparkSession, n: int = 4000, words: list[str] | Non
 def fit(findings: DataFrame, words: list[str] | None = None, trees: int = 24, depth: int = 7) -> Forest:
     """A forest on labelled findings (text, path, label) and a dictionary; lines without a candidate teach nothing."""
     words = words or []
-    found = with_features(candidates(findings, "label", path="path"), words)
+    # Written once, as the trees are grown in passes over them.
+    found = materialize(with_features(candidates(findings, "label", path="path"), words).select("label", *FEATURES), "secret-features")
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found).select("features", "label")
     return Forest(RandomForestClassifier(numTrees=trees, maxDepth=depth, subsamplingRate=0.8, seed=7, cacheNodeIds=False).fit(rows), words)
 
