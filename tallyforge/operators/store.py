@@ -20,10 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
+def cut(df: DataFrame, name: str = "table", again: bool = False) -> DataFrame:
     """Writes df and reads it back. The tables of an application lie in one folder, scratch-<application id>, which may go once
-    it has ended."""
+    it has ended. again: the table's folder is named name and no more, and takes the place of an earlier one, which df mustn't read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}/{name}" + ("" if again else f"-{uuid.uuid4().hex}")
+    df.write.parquet(path, mode="overwrite" if again else "error")
     return spark.read.schema(df.schema).parquet(path)

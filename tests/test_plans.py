@@ -207,3 +207,31 @@ def test_reachable_against_brute_force(spark, n, m, seed):
         paths |= more
     got = [tuple(x) for x in graph.reachable(spark.createDataFrame(sorted(edges), "src long, dst long")).collect()]
     assert sorted(got) == sorted(paths)
+
+
+@pytest.mark.parametrize("n, m, seed, most", [(20, 24, 1, 10**9), (14, 20, 3, 60), (16, 12, 5, 12)])
+def test_reach_counts_against_brute_force(spark, n, m, seed, most, monkeypatch):
+    """Cycles, loops, a graph without long cycles, and nulls; all pairs at once and in blocks."""
+    monkeypatch.setattr(graph, "ROUNDS", 2)
+    r = random.Random(seed)
+    edges = {tuple(r.sample(range(n), 2)) for _ in range(m)} | {(3, 3), (n, n), (None, 4), (5, None), (None, None)}
+    if seed == 5:
+        edges = {e if None in e else tuple(sorted(e)) for e in edges}
+    paths = set(edges)
+    while more := {(a, d) for a, b in paths for c, d in edges if b == c and b is not None} - paths:
+        paths |= more
+    e = spark.createDataFrame(list(edges), "src long, dst long")
+    ahead = graph._weights_ahead
+    monkeypatch.setattr(graph, "_weights_ahead", lambda dag, weights, _: ahead(dag, weights, most))
+    got = {x.src: x.n for x in graph.reach_counts(e, most=most).collect()}
+    assert got == {a: len({(d,) for s, d in paths if s == a}) for a, _ in paths}
+
+
+def test_reach_counts_make_no_row_a_pair(spark, monkeypatch):
+    """600 nodes on one cycle with 100 ends have 420,000 pairs; no table that is written holds more rows than the edges."""
+    written = []
+    monkeypatch.setattr(graph, "_cut", lambda df, cut=graph._cut: written.append(cut(df)) or written[-1])
+    edges = spark.range(600).selectExpr("id as src", "explode(array((id + 1) % 600, id * 7 % 600, (id * 11 + 5) % 600)) as dst").unionByName(spark.range(100).selectExpr("id * 6 as src", "id + 1000 as dst"))
+    got = graph.reach_counts(edges).collect()
+    assert len(got) == 600 and {x.n for x in got} == {700}
+    assert max(df.count() for df in written) <= edges.count()
