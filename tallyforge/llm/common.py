@@ -95,14 +95,31 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
-def hash_segments(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Polynomial hash of values[starts[i] : starts[i] + lengths[i]] for every i. All lengths are at least 1."""
-    if not len(starts):
-        return np.empty(0, U64)
-    first = np.cumsum(lengths) - lengths
-    pos = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    at = pos + np.repeat(starts, lengths)
-    return mix64(np.add.reduceat(values[at] * powers(int(lengths.max()))[pos], first) + lengths.astype(U64))
+#: Values that one step of a loop over segments takes, about: what it holds beside its result stays small whatever the texts' size.
+BLOCK = 1 << 18
+
+
+def blocks(lengths: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """(first, end) of consecutive segments of about `most` values together, at least one segment each."""
+    ends, i = np.cumsum(lengths), 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
+        yield i, j
+        i = j
+
+
+def hash_segments(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Polynomial hash of values[starts[i] : starts[i] + lengths[i]] for every i, or of what table has for them. All lengths are
+    at least 1."""
+    out = np.empty(len(starts), U64)
+    power = powers(int(lengths.max())) if len(starts) else None
+    for i, j in blocks(lengths):
+        n = lengths[i:j]
+        first = np.cumsum(n) - n
+        pos = np.arange(int(n.sum())) - np.repeat(first, n)
+        part = values[pos + np.repeat(starts[i:j], n)]
+        out[i:j] = mix64(np.add.reduceat((part if table is None else table[part]) * power[pos], first) + n.astype(U64))
+    return out
 
 
 class Words:
@@ -125,7 +142,7 @@ class Words:
         self.length = np.flatnonzero(ends) + 1 - self.start
         self.doc = np.searchsorted(offsets[1:], self.start, side="right")
         self.count = np.bincount(self.doc, minlength=len(offsets) - 1)
-        self.hash = hash_segments(_BYTE[_LOWER[data] if lower else data], self.start, self.length) if hashed else None
+        self.hash = hash_segments(data, self.start, self.length, _BYTE[_LOWER] if lower else _BYTE) if hashed else None
 
     def per_doc(self, byte_mask: np.ndarray) -> np.ndarray:
         """How many of the marked bytes each text has."""
@@ -134,7 +151,7 @@ class Words:
 
 
 def line_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    return hash_segments(_BYTE[data], starts, lengths)
+    return hash_segments(data, starts, lengths, _BYTE)
 
 
 def text_chunks(col: pa.Array, max_bytes: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import U64, Words, column, mix64, text_chunks
+from .common import U64, Words, blocks, column, mix64, text_chunks
 
 #: Labelled documents of each class that training reads, at most, and the bytes of their texts.
 SAMPLE, SAMPLE_BYTES = 800, 1 << 23
@@ -41,32 +41,33 @@ def vocabulary(w: Words) -> tuple[Vocabulary, np.ndarray]:
     """(distinct words, index of each word among them). Words compare in lower case of A-Z."""
     _, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
     start, length = w.start[at], w.length[at]
-    low = w.data.copy()
-    low[(low >= 65) & (low <= 90)] += 32
-    # each word between two marks (byte 0), as one buffer
+    # each word between two marks (byte 0), many words as one buffer
     size = length + 2
-    base = np.cumsum(size) - size
-    buf = np.zeros(int(size.sum()), np.uint8)
-    pos = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    buf[pos + np.repeat(base + 1, length)] = low[pos + np.repeat(start, length)]
-    owner = np.repeat(np.arange(len(at)), size)
-    wide = buf.astype(U64) + U64(1)
-    rows, owners = [], []
-    for n in (1, 2, 3, 4):
-        m = len(buf) - n + 1
-        if m <= 0:
-            continue
-        h = np.full(m, n, U64)
-        for j in range(n):
-            h = h * U64(257) + wide[j : m + j]
-        ok = owner[:m] == owner[n - 1 :]
-        rows.append((mix64(h[ok]) % U64(CHAR_ROWS)).astype(np.int64))
-        owners.append(owner[:m][ok])
-    rows, owners = np.concatenate(rows), np.concatenate(owners)
-    order = np.argsort(owners, kind="stable")
-    count = np.bincount(owners, minlength=len(at))
+    rows, count = [np.empty(0, np.int32)], np.zeros(len(at), np.int64)
+    for i, j in blocks(size):
+        base, n = np.cumsum(size[i:j]) - size[i:j], length[i:j]
+        buf = np.zeros(int(size[i:j].sum()), np.uint8)
+        pos = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        low = w.data[pos + np.repeat(start[i:j], n)]
+        buf[pos + np.repeat(base + 1, n)] = low + np.uint8(32) * ((low >= 65) & (low <= 90))
+        owner = np.repeat(np.arange(j - i), size[i:j])
+        wide = buf.astype(U64) + U64(1)
+        part, owners = [], []
+        for k in (1, 2, 3, 4):
+            m = len(buf) - k + 1
+            if m <= 0:
+                continue
+            h = np.full(m, k, U64)
+            for x in range(k):
+                h = h * U64(257) + wide[x : m + x]
+            ok = owner[:m] == owner[k - 1 :]
+            part.append((mix64(h[ok]) % U64(CHAR_ROWS)).astype(np.int32))
+            owners.append(owner[:m][ok])
+        owners = np.concatenate(owners)
+        rows.append(np.concatenate(part)[np.argsort(owners, kind="stable")])
+        count[i:j] = np.bincount(owners, minlength=j - i)
     word = (mix64(w.hash[at]) % U64(WORD_ROWS)).astype(np.int64)
-    return Vocabulary(word, rows[order], np.cumsum(count) - count, count), inverse
+    return Vocabulary(word, np.concatenate(rows), np.cumsum(count) - count, count), inverse
 
 
 def windows(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +97,10 @@ class Network:
         self.only: float | None = None
 
     def embed(self, v: Vocabulary) -> np.ndarray:
-        chars = np.add.reduceat(self.p["C"][v.grams], v.first, axis=0) / np.sqrt(v.count)[:, None].astype(np.float32) if len(v.first) else np.empty((0, CHAR_DIM), np.float32)
+        chars = np.empty((len(v.first), CHAR_DIM), np.float32)
+        for i, j in blocks(v.count):
+            lo, hi = v.first[i], v.first[j - 1] + v.count[j - 1]
+            chars[i:j] = np.add.reduceat(self.p["C"][v.grams[lo:hi]], v.first[i:j] - lo, axis=0) / np.sqrt(v.count[i:j])[:, None].astype(np.float32)
         return np.concatenate([self.p["E"][v.word], chars], axis=1)
 
     def _run(self, x: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: list | None) -> np.ndarray:
@@ -200,9 +204,12 @@ def telling_windows(w: Words, labels: np.ndarray, doc: np.ndarray, first: np.nda
     """For every window, the most telling of its words: log-odds of the word, or of its first `stem` bytes, by how many
     toxic and clean texts hold it, less one standard error."""
     powers_of = np.minimum(w.length, stem)
-    pos = np.arange(int(powers_of.sum())) - np.repeat(np.cumsum(powers_of) - powers_of, powers_of)
-    low = w.data[pos + np.repeat(w.start, powers_of)].astype(U64) | U64(32)
-    stems = mix64(np.add.reduceat(low << (U64(8) * pos.astype(U64)), np.cumsum(powers_of) - powers_of) + (powers_of.astype(U64) << U64(50)))
+    stems = np.empty(len(w.hash), U64)
+    for i, j in blocks(powers_of):
+        n = powers_of[i:j]
+        pos = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        low = w.data[pos + np.repeat(w.start[i:j], n)].astype(U64) | U64(32)
+        stems[i:j] = mix64(np.add.reduceat(low << (U64(8) * pos.astype(U64)), np.cumsum(n) - n) + (n.astype(U64) << U64(50)))
     toxic_docs, clean_docs = labels.sum() + 1, (1 - labels).sum() + 1
     odds = np.full(len(w.hash), -np.inf)
     for key in (w.hash, stems):

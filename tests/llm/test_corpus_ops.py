@@ -5,6 +5,7 @@ import collections
 import hashlib
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -783,3 +784,28 @@ def test_words_and_chunks():
     for i, j, data, offsets in common.text_chunks(col.slice(2), 1 << 30):
         w = common.Words(data, offsets)
         assert w.count.tolist() == [len(WORD.findall(t or "")) for t in ODD[2:]]
+
+
+def test_words_and_vocabulary_in_blocks():
+    """Memory beside the results stays small whatever the texts' size, and blocks change no hash."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(10**6, 10**8, 4000))) for _ in range(60)] + ["", "x" * 60_000, "A b a B"]
+    (_, _, data, offsets), *_ = common.text_chunks(pa.array(texts), 1 << 40)
+    tracemalloc.start()
+    w = common.Words(data, offsets, lower=True)
+    words_peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    held = tracemalloc.get_traced_memory()[0]
+    v, inverse = toxicity.vocabulary(w)
+    vocabulary_peak = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    # Without blocks: 44 and 166 bytes a byte of text.
+    assert words_peak < 30 * len(data) and vocabulary_peak < 80 * len(data)
+    short = [bytes(data[s : s + n]).lower() for s, n in zip(w.start, w.length)]
+    at = [0, 1, len(short) // 2, len(short) - 5, len(short) - 4, len(short) - 1]
+    for i in at:
+        one = common.Words(np.frombuffer(short[i], np.uint8), np.array([0, len(short[i])]))
+        assert one.hash[0] == w.hash[i]
+        alone, _ = toxicity.vocabulary(one)
+        k = inverse[i]
+        assert list(v.grams[v.first[k] : v.first[k] + v.count[k]]) == list(alone.grams)
