@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,42 +33,63 @@ def package_facts(*facts: tuple[str, DataFrame]) -> DataFrame:
     return out.distinct()
 
 
-def _nested_dependencies(files: DataFrame) -> DataFrame:
-    """(path, name, version, is_dev) of the dependencies of lockfiles and of all that is nested in them, however deep.
-
-    A level of all files at once: entries come out of their object as they stand, and what they hold below is the next level,
-    written between, until none is left. An alias gives the package that it stands for.
-    """
-    field = lambda column, name: F.get_json_object(column, f"$.{name}")
-    below = files.select("path", field("content", "dependencies").alias("inner"))
-    found = None
-    while True:
-        level = cut(below.filter("inner is not null").select("path", F.explode(F.from_json("inner", "map<string,string>")).alias("key", "entry")), "lockfile-level")
-        version, alias = field("entry", "version"), r"^npm:(.+)@([^@]*)$"
-        real = version.rlike(alias)
-        rows = level.select("path", F.when(real, F.regexp_extract(version, alias, 1)).otherwise(F.col("key")).alias("name"), F.when(real, F.regexp_extract(version, alias, 2)).otherwise(version).alias("version"), (field("entry", "dev") == "true").alias("dev"))
-        found = rows if found is None else found.unionByName(rows)
-        below = level.select("path", field("entry", "dependencies").alias("inner"))
-        if not below.filter("inner is not null").take(1):
-            break
-    return found.filter("version is not null").groupBy("path", F.lower("name").alias("name"), "version").agg(F.bool_and(F.coalesce("dev", F.lit(False))).alias("is_dev"))
-
-
 _LOCKFILE = r"(^|/)package-lock\.json$"
+_FLAT_NAME, _ALIAS = re.compile(r"node_modules/((?:@[^/]+/)?[^/]+)$"), re.compile(r"npm:(.+)@([^@]*)$")
+
+
+def _locked(content: str | None) -> Iterator[tuple[str, str, bool]]:
+    """(name, version, dev) of a lockfile's entries: of its packages map, and where that tells nothing of its dependencies and of all
+    that is nested in them. An alias gives the package that it stands for. Objects come as tuples of pairs, so that a repeated key
+    keeps its entries, and numbers as they are written. Text that is no JSON, or nested too deep for the parser, has none."""
+    try:
+        root = json.loads(content or "", object_pairs_hook=tuple, parse_int=str, parse_float=str)
+    except (ValueError, RecursionError):
+        return
+    pairs = lambda holder, name: x if isinstance(holder, tuple) and isinstance(x := dict(holder).get(name), tuple) else ()
+    told = False
+    for key, entry in pairs(root, "packages"):
+        said = dict(entry) if isinstance(entry, tuple) else {}
+        if key and isinstance(said.get("version"), str):
+            told, name = True, said.get("name")
+            yield name if isinstance(name, str) else m[1] if (m := _FLAT_NAME.search(key)) else "", said["version"], said.get("dev") is True
+    left = [] if told else [pairs(root, "dependencies")]
+    while left:
+        for key, entry in left.pop():
+            said = dict(entry) if isinstance(entry, tuple) else {}
+            version = said.get("version")
+            if isinstance(version, str):
+                alias = _ALIAS.match(version)
+                yield *(alias.groups() if alias else (key, version)), said.get("dev") in (True, "true")
+            if isinstance(said.get("dependencies"), tuple):
+                left.append(said["dependencies"])
+
+
+def _lock_rows(files: DataFrame) -> DataFrame:
+    """(path, name, version, is_dev) of lockfiles. Each is parsed and walked once, in batches of files, so the work grows with the text,
+    however deep it nests. A file must fit into Arrow's two GB of text."""
+    # Half of a broken surrogate pair, which UTF-8 can't hold, becomes a question mark.
+    plain = lambda t: t if t.isascii() else t.encode("utf-8", "replace").decode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, *x) for i, content in enumerate(b.column("content").to_pylist()) for x in _locked(content)]
+            at, name, version, dev = zip(*found) if found else ((),) * 4
+            yield pa.RecordBatch.from_arrays([b.column("path").take(pa.array(at, pa.int64())), pa.array(map(plain, name), pa.string()), pa.array(map(plain, version), pa.string()), pa.array(dev, pa.bool_())], ["path", "name", "version", "dev"])
+
+    rows = files.select("path", "content").mapInArrow(run, "path string, name string, version string, dev boolean")
+    return rows.groupBy("path", F.lower("name").alias("name"), "version").agg(F.bool_and("dev").alias("is_dev"))
 
 
 def npm_lock_v1(files: DataFrame) -> DataFrame:
     """(path, name, version, is_dev) of lockfiles without a packages map: their dependencies at every depth. A package of several uses
     counts as dev only if all are."""
-    return _nested_dependencies(files.filter(F.col("path").rlike(_LOCKFILE) & F.get_json_object("content", "$.packages").isNull()))
+    return _lock_rows(files.filter(F.col("path").rlike(_LOCKFILE) & F.get_json_object("content", "$.packages").isNull()))
 
 
 def npm_packages(files: DataFrame) -> DataFrame:
     """(path, name, version, is_dev) of lockfiles of any version: those of the packages map, and where it tells nothing the nested
     dependencies. Files that are no JSON have none."""
-    flat = documents.npm_lock(files)
-    rest = files.filter(F.col("path").rlike(_LOCKFILE)).join(flat.select("path").distinct(), "path", "left_anti")
-    return flat.unionByName(_nested_dependencies(rest))
+    return _lock_rows(files.filter(F.col("path").rlike(_LOCKFILE)))
 
 
 _SPEC = r"^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(?:(===?|>=|~=|<=|>|<|!=|\^)?\s*([0-9][^,;\s\"']*))?"

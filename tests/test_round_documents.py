@@ -34,6 +34,21 @@ def test_lockfile_at_any_depth(spark):
     assert manifests.npm_packages(f.limit(0)).count() == 0
 
 
+def test_lockfile_is_read_once_however_deep(spark):
+    """1,500 levels, of which none is a pass or a table of its own: nothing is written between, and no job runs before the result is asked for."""
+    deep = '{"lockfileVersion":1' + "".join(f',"dependencies":{{"P{i}":{{"version":"{i}.0"' for i in range(1500)) + "}}" * 1500 + "}"
+    odd = '{"dependencies": {"a": {"version": 1.50, "dev": "true"}, "b": "text", "c": {"version": null, "dependencies": {"d": {"version": "\\ud800x"}}}, "a": {"version": "2"}, "e": {"version": "3", "dependencies": []}}}'
+    f = files(spark, **{"package-lock.json": deep, "o/package-lock.json": odd, "p/package-lock.json": '{"packages": {"node_modules/@s/x": {"version": "1", "name": "Real"}, "node_modules/y": {"version": "npm:z@2", "dev": true}}}'})
+    got = manifests.npm_packages(f)
+    assert "lockfile-level" not in got._jdf.queryExecution().toString()
+    by_path = {}
+    for r in got.collect():
+        by_path.setdefault(r["path"], set()).add((r["name"], r["version"], r["is_dev"]))
+    assert by_path["package-lock.json"] == {(f"p{i}", f"{i}.0", False) for i in range(1500)}
+    assert by_path["o/package-lock.json"] == {("a", "1.50", True), ("a", "2", False), ("d", "?x", False), ("e", "3", False)}
+    assert by_path["p/package-lock.json"] == {("real", "1", False), ("y", "npm:z@2", True)}
+
+
 def test_only_pins_are_judged(spark):
     f = files(spark, **{
         "pyproject.toml": '[project]\ndependencies = [\n  "django>=4.2",\n  "exact==1.5",\n  "wild==2.*",\n]\n\n[tool.poetry.dependencies]\nflask = "^2.0"\nnumpy = {version = "1.26.0", extras = ["x"]}\nrange = ">=1.0,<2"\nbare = "3.1"\n',
