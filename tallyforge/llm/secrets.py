@@ -143,10 +143,15 @@ def labelled_findings(spark: SparkSession, n: int = 4000, words: list[str] | Non
     kind numbers the form of a line, so that a test can hold whole forms back.
     """
     words = words or ["lantern", "meadow", "copper", "window", "harbour", "morning", "garden", "silver"]
-    rows = spark.range(0, n, 1, 4)
-    hexes = lambda salt, k: F.substring(F.concat(F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256), F.sha2(F.concat(F.lit(salt + "+"), F.col("id").cast("string")), 256)), 1, k)
-    b64 = lambda salt, k: F.substring(F.regexp_replace(F.base64(F.unhex(hexes(salt, 96))), r"[+/=]", ""), 1, k)
-    pick = lambda salt, items: F.element_at(F.split(F.lit("\x1f".join(items)), "\x1f"), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(items))) + 1).cast("int"))
+    # What is drawn for each salt: one expression a kind over the array of its salts, as each of a hundred draws would else be compiled.
+    drawn: dict[str, dict[tuple[str, ...], Column]] = {"hexes": {}, "b64s": {}, "picks": {}}
+
+    def draw(kind: str, *of: str) -> Column:
+        return drawn[kind].setdefault(of, F.col(kind)[len(drawn[kind])])
+
+    hexes = lambda salt, k: F.substring(draw("hexes", salt), 1, k)
+    b64 = lambda salt, k: F.substring(draw("b64s", salt), 1, k)
+    pick = lambda salt, items: draw("picks", salt, *items)
     word = lambda salt: pick(salt, ["heron", "the", "lantern", "and", "of", "meadow", "river,", "to", "stone", "that.", "with", "copper"])
     around = lambda mid: F.concat_ws(" ", word("w1"), word("w2"), word("w3"), mid, word("w4"), word("w5"))
     q = pick("q", ["", "", '"', "'"])
@@ -203,7 +208,18 @@ def labelled_findings(spark: SparkSession, n: int = 4000, words: list[str] | Non
     line = F.when(label == 1, F.element_at(F.array(*secrets), (F.pmod(at, F.lit(len(secrets))) + 1).cast("int"))).otherwise(F.element_at(F.array(*harmless), (F.pmod(at, F.lit(len(harmless))) + 1).cast("int")))
     where = F.when((label == 0) & (F.pmod(at, F.lit(7)) == 0), F.lit("tests/fixtures/keys.py")).otherwise(blank)
     kind = F.when(label == 1, F.pmod(at, F.lit(len(secrets)))).otherwise(F.pmod(at, F.lit(len(harmless))) + 100)
-    return rows.select("id", around(line).alias("text"), where.alias("path"), label.cast("double").alias("label"), kind.alias("kind"))
+    text = around(line)
+    digits = F.col("id").cast("string")
+    hexed = lambda salt: F.concat(F.sha2(F.concat(salt, digits), 256), F.sha2(F.concat(salt, F.lit("+"), digits), 256))
+    picked = lambda p: F.element_at(p["items"], (F.pmod(F.xxhash64(p["salt"], "id"), F.size(p["items"])) + 1).cast("int"))
+    rows = spark.range(0, n, 1, 4).select(
+        "id",
+        F.transform(F.array(*[F.lit(salt) for (salt,) in drawn["hexes"]]), hexed).alias("hexes"),
+        F.transform(F.array(*[F.lit(salt) for (salt,) in drawn["b64s"]]), lambda salt: F.regexp_replace(F.base64(F.unhex(F.substring(hexed(salt), 1, 96))), r"[+/=]", "")).alias("b64s"),
+        F.transform(F.array(*[F.struct(F.lit(salt).alias("salt"), F.split(F.lit("\x1f".join(items)), "\x1f").alias("items")) for salt, *items in drawn["picks"]]), picked).alias("picks"),
+    )
+    # A generator at the end, as a filter on the text would else bring all forms along a second time.
+    return rows.select("id", F.inline(F.array(F.struct(text.alias("text"), where.alias("path"), label.cast("double").alias("label"), kind.alias("kind")))))
 
 
 def fit(findings: DataFrame, words: list[str] | None = None, trees: int = 24, depth: int = 7) -> Forest:

@@ -200,6 +200,17 @@ def test_features_equal_plain_forms(spark, forest):
         assert x.score == pytest.approx(odds) and x.is_secret == (x.score >= secrets.THRESHOLD)
 
 
+def test_labelled_findings_compile_to_little_code(spark):
+    """The driver compiles what the query of the findings' features becomes: 1.6 million characters once, as every draw of every
+    form was code of its own, and twice where the filter on the text brought it along."""
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    lines = secrets.labelled_findings(spark, 4000, words)
+    found = secrets.with_features(secrets.candidates(lines, "label", path="path"), words).select("label", *secrets.FEATURES)
+    code = found._jdf.queryExecution().debug().codegenToSeq()
+    assert 0 < sum(len(code.apply(i)._2()) for i in range(code.size())) < 500_000
+    assert lines.count() == 4000 and lines.filter("text is null or path is null or label is null or kind is null").count() == 0
+
+
 def test_pipeline_filters(spark, tmp_path):
     pipeline = importlib.import_module("corpus_pipeline")
     r = np.random.default_rng(2)
